@@ -5,20 +5,23 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.functions.numeric import mean_milli, pct, to_milli
+from catalens.functions.numeric import mean_milli, milli, pct
 
 SCORE = "decimal(4,3)"
 LEVELS = ("High", "Medium", "Low")
+PHASES = ("phase1", "phase2")
 
 
 @dataclass(frozen=True)
 class ConfidenceRules:
-    """``flags``: flag -> name of its coverage column; ``medium``: any of these suffices."""
+    """``flags``: flag -> name of its coverage column; ``medium``: any of these suffices.
+
+    Weights and cuts are decimal text, as 0.3 is no exact double.
+    """
 
     entities: str
     flags: Mapping[str, str]
@@ -30,32 +33,32 @@ class ConfidenceRules:
     @property
     def counted(self) -> dict[str, str]:
         """Flag -> name of its count column, e.g. has_isrc -> works_with_isrc."""
-        return {
-            name: f"{self.entities}_{name.replace('has_', 'with_')}" for name in self.flags
-        }
+        return {name: f"{self.entities}_{name.replace('has_', 'with_')}" for name in self.flags}
 
 
-def _all(flags: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f) == 1 for f in flags])
+def _all(flags: Sequence[str]) -> str:
+    return f"({' and '.join(f'{flag} = 1' for flag in flags)})"
 
 
 def categorical_level(rules: ConfidenceRules) -> Column:
     """High when every flag is set, Medium when any listed combination is, else Low."""
-    medium = reduce(lambda a, b: a | b, [_all(combo) for combo in rules.medium])
-    return F.when(_all(list(rules.flags)), "High").when(medium, "Medium").otherwise("Low")
+    medium = " or ".join(_all(combo) for combo in rules.medium)
+    return F.expr(
+        f"case when {_all(list(rules.flags))} then 'High' when {medium} then 'Medium' "
+        "else 'Low' end"
+    )
 
 
 def weighted_score(rules: ConfidenceRules) -> Column:
     """Sum of the weights of the set flags, exact, to 3 decimals."""
-    terms = [F.lit(Decimal(w)) * F.col(name) for name, w in rules.weights.items()]
-    return F.round(reduce(lambda a, b: a + b, terms), 3).cast(SCORE)
+    terms = " + ".join(f"{Decimal(weight)}BD * {name}" for name, weight in rules.weights.items())
+    return F.expr(f"cast(round({terms}, 3) as {SCORE})")
 
 
-def score_level(score: Column, rules: ConfidenceRules) -> Column:
-    return (
-        F.when(score >= F.lit(Decimal(rules.high_cut)), "High")
-        .when(score >= F.lit(Decimal(rules.medium_cut)), "Medium")
-        .otherwise("Low")
+def score_level(score: str, rules: ConfidenceRules) -> Column:
+    return F.expr(
+        f"case when {score} >= {rules.high_cut}BD then 'High' "
+        f"when {score} >= {rules.medium_cut}BD then 'Medium' else 'Low' end"
     )
 
 
@@ -65,8 +68,8 @@ def scored(flags: DataFrame, rules: ConfidenceRules) -> DataFrame:
         "*",
         categorical_level(rules).alias("phase1_confidence_level"),
         weighted_score(rules).alias("phase2_confidence_score"),
-    ).withColumn(
-        "phase2_confidence_level", score_level(F.col("phase2_confidence_score"), rules)
+    ).select(
+        "*", score_level("phase2_confidence_score", rules).alias("phase2_confidence_level")
     )
 
 
@@ -78,43 +81,36 @@ def confidence(flags: DataFrame, rules: ConfidenceRules) -> DataFrame:
     """
     names = list(rules.flags)
     combos = scored(flags.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), rules)
-    n, score = F.col("n"), to_milli(F.col("phase2_confidence_score"))
-
-    def count(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
-
-    levels = {
-        f"{phase}_{level.lower()}": count(F.col(f"{phase}_confidence_level") == level)
-        for phase in ("phase1", "phase2")
-        for level in LEVELS
-    }
-    sums = combos.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("total"),
-        F.sum(score * n).alias("milli"),
-        *[expr.alias(name) for name, expr in levels.items()],
-        *[count(F.col(name) == 1).alias(name) for name in names],
-    )
-    total, milli = F.col("total"), F.col("milli")
+    levels = [(phase, level) for phase in PHASES for level in LEVELS]
 
-    def at_least(cut: str) -> Column:
-        return milli >= total * int(Decimal(cut) * 1000)
+    def held(condition: str) -> str:
+        return f"coalesce(sum(case when {condition} then n end), 0)"
+
+    sums = combos.selectExpr(
+        "coalesce(sum(n), 0) as total",
+        f"sum({milli('phase2_confidence_score')} * n) as milli",
+        *[f"{held(f'{p}_confidence_level = {lv!r}')} as {p}_{lv.lower()}" for p, lv in levels],
+        *[f"{held(f'{name} = 1')} as {name}" for name in names],
+    )
 
     def phase(which: str) -> list[Column]:
         keys = [f"{which}_{level.lower()}" for level in LEVELS]
         return [F.col(k).alias(f"{k}_count") for k in keys] + [
-            pct(F.col(k), total).alias(f"{k}_pct") for k in keys
+            pct(k, "total").alias(f"{k}_pct") for k in keys
         ]
 
+    # Judged on the exact mean, not on the rounded one; an empty population is Low.
+    overall = (
+        f"case when milli >= total * {rules.high_cut}BD * 1000 then 'High Confidence' "
+        f"when milli >= total * {rules.medium_cut}BD * 1000 then 'Medium Confidence' "
+        "else 'Low Confidence' end"
+    )
     return sums.select(
-        total.alias(f"total_{rules.entities}"),
+        F.col("total").alias(f"total_{rules.entities}"),
         *phase("phase1"),
         *phase("phase2"),
-        mean_milli(milli, total).alias("average_phase2_score"),
+        mean_milli("milli", "total").alias("average_phase2_score"),
         *[F.col(name).alias(column) for name, column in rules.counted.items()],
-        *[pct(F.col(name), total).alias(column) for name, column in rules.flags.items()],
-        # Judged on the exact mean, not on the rounded one; an empty population is Low.
-        F.when(at_least(rules.high_cut), "High Confidence")
-        .when(at_least(rules.medium_cut), "Medium Confidence")
-        .otherwise("Low Confidence")
-        .alias("overall_confidence_level"),
+        *[pct(name, "total").alias(column) for name, column in rules.flags.items()],
+        F.expr(overall).alias("overall_confidence_level"),
     )

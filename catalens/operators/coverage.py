@@ -49,34 +49,35 @@ def coverage(
     codes and duplicates look at non-NULL codes only.
     """
     with_code, without = f"{entities}_with_{code}", f"{entities}_without_{code}"
+    zero = "cast(0 as bigint)"
     covered = members(
         [Evidence(entity, "id", {"member": None}), Evidence(link, link_key, {"coded": None})]
-    ).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("coded") == 1).alias("coded"),
-        *[F.lit(0).cast("bigint").alias(c) for c in ("codes", "shared", "sharing")],
+    ).selectExpr(
+        "count(*) as total",
+        "count_if(coded = 1) as coded",
+        f"{zero} as codes",
+        f"{zero} as shared",
+        f"{zero} as sharing",
     )
-    shared = F.col("entities") > 1
-    codes = code_groups(code_pairs(entity, link, link_key, code), code).agg(
-        *[F.lit(0).cast("bigint").alias(c) for c in ("total", "coded")],
-        F.count(F.lit(1)).alias("codes"),
-        F.count_if(shared).alias("shared"),
-        F.coalesce(F.sum(F.when(shared, F.col("entities"))), F.lit(0)).alias("sharing"),
+    codes = code_groups(code_pairs(entity, link, link_key, code), code).selectExpr(
+        f"{zero} as total",
+        f"{zero} as coded",
+        "count(*) as codes",
+        "count_if(entities > 1) as shared",
+        "coalesce(sum(case when entities > 1 then entities end), 0) as sharing",
     )
-    one_row = covered.unionByName(codes).agg(
-        *[F.sum(c).alias(c) for c in ("total", "coded", "codes", "shared", "sharing")]
-    )
-    total, coded = F.col("total"), F.col("coded")
+    # Two one-row frames become one row by addition, which needs no join.
+    one_row = covered.unionByName(codes).groupBy().sum().toDF(*covered.columns)
     return one_row.select(
-        total.alias(f"total_{entities}"),
-        coded.alias(with_code),
-        (total - coded).alias(without),
+        F.col("total").alias(f"total_{entities}"),
+        F.col("coded").alias(with_code),
+        F.expr("total - coded").alias(without),
         F.col("codes").alias(f"unique_{code}s"),
-        pct(coded, total).alias(f"{code}_coverage_pct"),
-        pct(total - coded, total).alias(f"missing_{code}_pct"),
+        pct("coded", "total").alias(f"{code}_coverage_pct"),
+        pct("total - coded", "total").alias(f"missing_{code}_pct"),
         F.col("shared").alias(f"duplicate_{code}_count"),
         F.col("sharing").alias(f"total_duplicate_{entities}"),
-        pct(F.col("sharing"), coded).alias("duplicate_rate_pct"),
+        pct("sharing", "coded").alias("duplicate_rate_pct"),
     )
 
 
@@ -129,7 +130,7 @@ def coverage_gaps(
     without = (
         members(
             [
-                Evidence(entity, "id", {"member": None}, carry={c: F.col(c) for c in carry}),
+                Evidence(entity, "id", {"member": None}, carry=carry),
                 Evidence(link, link_key, {"coded": None}),
             ]
         )

@@ -16,11 +16,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.functions.numeric import flag, none
-
 MAX_FLAGS = 31
 
 
@@ -28,66 +26,70 @@ MAX_FLAGS = 31
 class Evidence:
     """What one table says about the entities its ``key`` column names.
 
-    ``flags``: flag name -> condition, or None when every row is proof.
-    ``counts``: measures to add up per entity.
+    ``flags``: flag name -> SQL condition, or None when every row is proof.
+    ``counts``: measures to add up per entity, as SQL.
     ``carry``: attributes of the entity itself, given by the one table that has them.
     """
 
     rows: DataFrame
     key: str
-    flags: Mapping[str, Column | None] = field(default_factory=dict)
-    counts: Mapping[str, Column] = field(default_factory=dict)
-    carry: Mapping[str, Column] = field(default_factory=dict)
+    flags: Mapping[str, str | None] = field(default_factory=dict)
+    counts: Mapping[str, str] = field(default_factory=dict)
+    carry: Sequence[str] = ()
 
+    @classmethod
+    def of_flags(cls, rows: DataFrame, key: str, names: Sequence[str]) -> Evidence:
+        """Pass on 0/1 columns under their own names."""
+        return cls(rows, key, {name: f"{name} = 1" for name in names})
 
-def _names(mappings: Sequence[Mapping[str, object]]) -> list[str]:
-    return list(dict.fromkeys(name for m in mappings for name in m))
 
+def gather(
+    evidence: Sequence[Evidence], key: str = "id", population: str | None = None
+) -> DataFrame:
+    """One row per key: the key, every flag as 0/1, every count, every carried column.
 
-def gather(evidence: Sequence[Evidence], key: str = "id") -> DataFrame:
-    """One row per key: the key, every flag as 0/1, every count, every carried column."""
-    flags = _names([e.flags for e in evidence])
-    counts = _names([e.counts for e in evidence])
-    carried = _names([e.carry for e in evidence])
+    With ``population``, only keys that have that flag, which itself is left out.
+    """
+    flags = list(dict.fromkeys(name for e in evidence for name in e.flags))
+    counts = list(dict.fromkeys(name for e in evidence for name in e.counts))
+    carried = list(dict.fromkeys(name for e in evidence for name in e.carry))
     if len(flags) > MAX_FLAGS:
         raise ValueError(f"at most {MAX_FLAGS} flags fit one mask, got {len(flags)}")
     bit = {name: 1 << i for i, name in enumerate(flags)}
-    carry_type = {
-        name: e.rows.select(column.alias(name)).schema[name].dataType
-        for e in evidence
-        for name, column in e.carry.items()
-    }
 
     def contribution(e: Evidence) -> DataFrame:
         always = sum(bit[name] for name, cond in e.flags.items() if cond is None)
-        mask = reduce(
-            lambda acc, item: acc + flag(item[1]) * bit[item[0]],
-            [(name, cond) for name, cond in e.flags.items() if cond is not None],
-            F.lit(always),
-        )
-        rows = e.rows.filter(F.col(e.key).isNotNull()).select(
-            F.col(e.key).alias(key),
-            mask.cast("int").alias("_mask"),
-            *[e.counts.get(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
-            *[e.carry.get(c, none("void")).cast(carry_type[c]).alias(c) for c in carried],
+        when = [
+            f"case when {cond} then {bit[name]} else 0 end"
+            for name, cond in e.flags.items()
+            if cond is not None
+        ]
+        rows = e.rows.selectExpr(
+            f"{e.key} as {key}",
+            f"{' + '.join([str(always), *when])} as _mask",
+            *[f"cast({e.counts.get(c, 0)} as bigint) as {c}" for c in counts],
+            *[f"{c if c in e.carry else 'null'} as {c}" for c in carried],
         )
         silent = not (always or e.counts or e.carry)
-        return rows.filter(F.col("_mask") != 0) if silent else rows
+        return rows.where(f"{key} is not null{' and _mask <> 0' if silent else ''}")
 
-    everything = reduce(DataFrame.unionByName, [contribution(e) for e in evidence])
+    everything = reduce(DataFrame.union, [contribution(e) for e in evidence])
     merged = everything.groupBy(key).agg(
         F.bit_or("_mask").alias("_mask"),
         *[F.sum(c).alias(c) for c in counts],
         *[F.max(c).alias(c) for c in carried],
     )
-    return merged.select(
+    if population is not None:
+        merged = merged.where(f"_mask & {bit[population]} <> 0")
+        flags.remove(population)
+    return merged.selectExpr(
         key,
-        *[flag(F.col("_mask").bitwiseAND(bit[name]) != 0).alias(name) for name in flags],
+        *[f"cast(_mask & {bit[name]} <> 0 as int) as {name}" for name in flags],
         *counts,
         *carried,
     )
 
 
-def members(evidence: Sequence[Evidence], population: str = "member", key: str = "id") -> DataFrame:
-    """``gather`` kept to the keys of the scored population, whose flag is ``population``."""
-    return gather(evidence, key).filter(F.col(population) == 1).drop(population)
+def members(evidence: Sequence[Evidence], key: str = "id") -> DataFrame:
+    """``gather`` kept to the keys flagged ``member``: the population under study."""
+    return gather(evidence, key, population="member")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +18,19 @@ def presence(evidence: Sequence[Evidence]) -> DataFrame:
     return members(evidence)
 
 
-def join_rows(fanout: Mapping[str, int]) -> Column:
-    """How many rows an entity becomes when its link tables are outer-joined side by side.
+def join_rows(fanout: Mapping[str, int]) -> str:
+    """SQL text: the rows an entity becomes when its link tables are outer-joined.
 
     ``fanout`` maps a link count to the number of times that table is joined.  The
     product of the counts gives the figure without ever producing those rows; it is a
     decimal because a cube of a large count does not fit a bigint.
     """
     factors = [
-        F.greatest(F.col(count), F.lit(1)).cast(_WIDE)
+        f"cast(greatest({count}, 1) as {_WIDE})"
         for count, times in fanout.items()
         for _ in range(times)
     ]
-    return reduce(lambda a, b: (a * b).cast(_WIDE), factors, F.lit(1).cast(_WIDE))
+    return " * ".join(factors)
 
 
 def presence_profile(
@@ -44,27 +43,27 @@ def presence_profile(
 
     The total is the number of entities, or with ``fanout`` the number of join rows.
     """
-    one = F.count(F.lit(1)) if fanout is None else F.sum(join_rows(fanout))
-    sums = entities.agg(
-        F.coalesce(one, F.lit(0)).alias("total"),
-        *[F.count_if(F.col(name) == 1).alias(name) for name in names],
+    total = "count(*)" if fanout is None else f"coalesce(sum({join_rows(fanout)}), 0)"
+    sums = entities.selectExpr(
+        f"{total} as total", *[f"count_if({name} = 1) as {name}" for name in names]
     )
-    total = F.col("total")
+    held = " + ".join(names)
     return sums.select(
-        total.cast("bigint").alias(f"total_{label}"),
+        F.expr("cast(total as bigint)").alias(f"total_{label}"),
         *[F.col(name).alias(f"{label}_with_{name}") for name in names],
-        *[(total - F.col(name)).cast("bigint").alias(f"{label}_missing_{name}") for name in names],
-        *[pct(F.col(name), total).alias(f"{name}_coverage_pct") for name in names],
-        pct(sum((F.col(n) for n in names), F.lit(0)), total * len(names)).alias(
-            "overall_id_completeness_pct"
-        ),
+        *[
+            F.expr(f"cast(total - {name} as bigint)").alias(f"{label}_missing_{name}")
+            for name in names
+        ],
+        *[pct(name, "total").alias(f"{name}_coverage_pct") for name in names],
+        pct(f"({held})", f"(total * {len(names)})").alias("overall_id_completeness_pct"),
     )
 
 
 def presence_labels(titles: Mapping[str, str]) -> list[Column]:
     """`Has X` / `Missing X` per identifier, as <name>_status."""
     return [
-        F.concat(F.when(F.col(name) == 1, "Has ").otherwise("Missing "), F.lit(title)).alias(
+        F.expr(f"case when {name} = 1 then 'Has {title}' else 'Missing {title}' end").alias(
             f"{name}_status"
         )
         for name, title in titles.items()
@@ -72,4 +71,4 @@ def presence_labels(titles: Mapping[str, str]) -> list[Column]:
 
 
 def presence_score(names: Sequence[str]) -> Column:
-    return sum((F.col(n) for n in names), F.lit(0)).cast("int")
+    return F.expr(" + ".join(names))

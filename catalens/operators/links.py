@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions.numeric import pct
@@ -25,17 +26,15 @@ def link_state(
     ``path`` is a table whose rows lead to the entity, and entities it never reaches
     are left out.
     """
-    named = F.when(F.col(link_value).isNotNull(), 1).otherwise(0)
+    counts = {"links": f"{link_value} is not null", "link_rows": "1"}
     evidence = [
         Evidence(entity, "id", {"member": None}),
-        Evidence(
-            link, link_key, {"linked": None}, counts={"links": named, "link_rows": F.lit(1)}
-        ),
+        Evidence(link, link_key, {"linked": None}, counts=counts),
     ]
     if path is None:
         return members(evidence)
-    evidence.append(Evidence(path, path_key, {"reached": None}, counts={"paths": F.lit(1)}))
-    return members(evidence).filter(F.col("reached") == 1)
+    evidence.append(Evidence(path, path_key, {"reached": None}, counts={"paths": "1"}))
+    return members(evidence).where("reached = 1")
 
 
 def link_audit(
@@ -46,58 +45,41 @@ def link_audit(
     With ``distinct_entities=False`` the total counts the rows of an outer join with the
     link table, so an entity with five links counts five times.
     """
-    total_expr = (
-        F.count(F.lit(1))
-        if distinct_entities
-        else F.coalesce(F.sum(F.greatest(F.col("link_rows"), F.lit(1))), F.lit(0))
-    )
-    sums = state.agg(
-        total_expr.alias("total"),
-        F.count_if(F.col("linked") == 1).alias("linked"),
-        F.count_if(F.col("linked") == 0).alias("unlinked"),
+    join_rows = "coalesce(sum(greatest(link_rows, 1)), 0)"
+    sums = state.selectExpr(
+        f"{'count(*)' if distinct_entities else join_rows} as total",
+        "count_if(linked = 1) as linked",
+        "count_if(linked = 0) as unlinked",
     )
     return sums.select(
         F.col("total").alias(f"total_{label}"),
         F.col("linked").alias(f"{linked_to}_with"),
         F.col("unlinked").alias(f"{linked_to}_without"),
-        pct(F.col("linked"), F.col("total")).alias("with_pct"),
-        pct(F.col("unlinked"), F.col("total")).alias("without_pct"),
+        pct("linked", "total").alias("with_pct"),
+        pct("unlinked", "total").alias("without_pct"),
     )
 
 
-def unlinked_count(state: DataFrame, weight: str | None = None) -> DataFrame:
+def unlinked_count(state: DataFrame, weight: str = "1") -> DataFrame:
     """One row, ``n``: the entities without a link, or the sum of ``weight`` over them."""
-    each = F.lit(1) if weight is None else F.col(weight)
-    return state.agg(
-        F.coalesce(F.sum(F.when(F.col("linked") == 0, each)), F.lit(0)).alias("n")
-    )
+    return state.selectExpr(f"coalesce(sum(case when linked = 0 then {weight} end), 0) as n")
 
 
 def inconsistency_shares(counts: Mapping[str, DataFrame]) -> DataFrame:
     """One row per label with its count and its share of all counts."""
-    labels = list(counts)
-    cells: list[DataFrame] = [
-        frame.select(
-            *[(F.col("n") if i == j else F.lit(0)).cast("bigint").alias(f"n{j}")
-              for j in range(len(labels))]
-        )
-        for i, frame in enumerate(counts.values())
+    columns = [f"n{i}" for i in range(len(counts))]
+    parts = [
+        frame.selectExpr(*[f"cast({'n' if c == own else 0} as bigint) as {c}" for c in columns])
+        for own, frame in zip(columns, counts.values())
     ]
-    wide = cells[0]
-    for cell in cells[1:]:
-        wide = wide.unionByName(cell)
-    columns: Sequence[str] = [f"n{j}" for j in range(len(labels))]
-    wide = wide.agg(*[F.sum(c).alias(c) for c in columns])
-    total: Column = sum((F.col(c) for c in columns), F.lit(0))
-    rows = F.array(
-        *[
-            F.struct(F.lit(label).alias("inconsistency_type"), F.col(c).alias("count"),
-                     total.alias("total"))
-            for label, c in zip(labels, columns)
-        ]
+    wide = reduce(DataFrame.unionByName, parts).groupBy().sum().toDF(*columns)
+    rows = ", ".join(
+        f"named_struct('inconsistency_type', '{label}', 'count', {c}, "
+        f"'total', {' + '.join(columns)})"
+        for label, c in zip(counts, columns)
     )
-    return wide.select(F.inline(rows)).select(
+    return wide.selectExpr(f"inline(array({rows}))").select(
         "inconsistency_type",
         "count",
-        pct(F.col("count"), F.col("total")).alias("percentage_of_inconsistencies"),
+        pct("count", "total").alias("percentage_of_inconsistencies"),
     )

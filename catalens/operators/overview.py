@@ -22,7 +22,7 @@ def overview(entities: Mapping[str, tuple[DataFrame, Column | None]], id_col: st
             F.lit(label).alias("entity_type"),
             "total_count",
             f"with_{id_col}",
-            pct(F.col(f"with_{id_col}"), F.col("total_count")).alias(f"{id_col}_coverage_pct"),
+            pct(f"with_{id_col}", "total_count").alias(f"{id_col}_coverage_pct"),
         )
 
     return reduce(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.operators.evidence import Evidence, members
@@ -20,16 +20,16 @@ RECORDING_FLAGS = ("has_isrc", "has_iswc", "has_artist_id", "on_release")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("edits_pending") == 0)
+    return df.where("edits_pending = 0")
 
 
 def persons(artist: DataFrame) -> DataFrame:
-    return artist.filter(F.col("type") == 1)
+    return artist.where("type = 1")
 
 
 def coded_rows(cat: Catalogue, table: str) -> DataFrame:
     """Rows of isrc or iswc that do hold a code."""
-    return cat[table].filter(F.col(table).isNotNull())
+    return cat[table].where(f"{table} is not null")
 
 
 def placed_tracks(cat: Catalogue, releases: DataFrame) -> DataFrame:
@@ -57,20 +57,20 @@ def _identified_credits(cat: Catalogue) -> DataFrame:
             ],
             key="artist_credit",
         )
-        .filter(F.col("identified") == 1)
-        .select("artist_credit", F.lit(True).alias("credit_identified"))
+        .where("identified = 1")
+        .selectExpr("artist_credit", "true as credit_identified")
     )
 
 
 def recording_facts(cat: Catalogue, needed: Iterable[str] = RECORDING_FLAGS) -> DataFrame:
     """Per recording: id, artist_credit, settled and the ``needed`` flags as 0/1."""
     needed = set(needed)
-    own: dict[str, Column | None] = {"member": None, "settled": F.col("edits_pending") == 0}
+    own: dict[str, str | None] = {"member": None, "settled": "edits_pending = 0"}
     rows = cat["recording"].select("id", "artist_credit", "edits_pending")
     if "has_artist_id" in needed:
         rows = rows.join(_identified_credits(cat), "artist_credit", "left")
-        own["has_artist_id"] = F.col("credit_identified")
-    evidence = [Evidence(rows, "id", own, carry={"artist_credit": F.col("artist_credit")})]
+        own["has_artist_id"] = "credit_identified"
+    evidence = [Evidence(rows, "id", own, carry=["artist_credit"])]
     if "has_isrc" in needed:
         evidence.append(Evidence(coded_rows(cat, "isrc"), "recording", {"has_isrc": None}))
     if "has_iswc" in needed:
@@ -80,7 +80,7 @@ def recording_facts(cat: Catalogue, needed: Iterable[str] = RECORDING_FLAGS) ->
                 Evidence(coded_rows(cat, "iswc"), "work", {"coded": None}),
             ],
             key="entity1",
-        ).filter(F.col("coded") == 1)
+        ).where("coded = 1")
         linked = cat["l_recording_work"].join(works.select("entity1"), "entity1", "left_semi")
         evidence.append(Evidence(linked, "entity0", {"has_iswc": None}))
     if "on_release" in needed:
@@ -90,10 +90,6 @@ def recording_facts(cat: Catalogue, needed: Iterable[str] = RECORDING_FLAGS) ->
     return members(evidence)
 
 
-def _rolled(rows: DataFrame, key: str, names: Iterable[str]) -> Evidence:
-    return Evidence(rows, key, {name: F.col(name) == 1 for name in names})
-
-
 def artist_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame:
     """Settled persons: has_artist_id, has_isrc, has_iswc, on_release."""
     names = ("has_isrc", "has_iswc", "on_release")
@@ -102,7 +98,7 @@ def artist_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFra
     credits = members(
         [
             Evidence(cat["artist_credit"], "id", {"member": None}),
-            _rolled(facts, "artist_credit", names),
+            Evidence.of_flags(facts, "artist_credit", names),
         ],
         key="artist_credit",
     )
@@ -114,7 +110,7 @@ def artist_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFra
             Evidence(settled(persons(cat["artist"])), "id", {"member": None}),
             Evidence(cat["artist_isni"], "artist", {"has_artist_id": None}),
             Evidence(cat["artist_ipi"], "artist", {"has_artist_id": None}),
-            _rolled(artists, "artist", names),
+            Evidence.of_flags(artists, "artist", names),
         ]
     )
 
@@ -130,7 +126,7 @@ def work_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame
         [
             Evidence(settled(cat["work"]), "id", {"member": None}),
             Evidence(coded_rows(cat, "iswc"), "work", {"has_iswc": None}),
-            _rolled(linked, "entity1", names),
+            Evidence.of_flags(linked, "entity1", names),
         ]
     )
 
@@ -138,20 +134,20 @@ def work_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame
 def recording_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame:
     """Settled recordings: has_isrc, has_iswc, has_artist_id, on_release."""
     facts = recording_facts(cat) if recordings is None else recordings
-    return facts.filter(F.col("settled") == 1).select("id", *RECORDING_FLAGS)
+    return facts.where("settled = 1").select("id", *RECORDING_FLAGS)
 
 
 def release_flags(
     cat: Catalogue,
     recordings: DataFrame | None = None,
-    has_date: Column | None = None,
-    has_country: Column | None = None,
+    has_date: str = "release_group_type is not null",
+    has_country: str = "status is not null",
 ) -> DataFrame:
     """Settled releases: has_date, has_country, has_isrc, has_iswc, has_artist_id.
 
     The catalogue holds no dates or countries, so by default a typed release group
     stands in for a date and a status for a country.  A caller whose release table has
-    the real columns passes conditions over them.
+    the real columns passes SQL conditions over them.
     """
     names = ("has_isrc", "has_iswc", "has_artist_id")
     facts = recording_facts(cat, names) if recordings is None else recordings
@@ -159,10 +155,6 @@ def release_flags(
         F.col("id").alias("release_group"), F.col("type").alias("release_group_type")
     )
     releases = settled(cat["release"]).join(groups, "release_group", "left")
-    if has_date is None:
-        has_date = F.col("release_group_type").isNotNull()
-    if has_country is None:
-        has_country = F.col("status").isNotNull()
     tracks = (
         cat["track"]
         .select("recording", "medium")
@@ -175,7 +167,7 @@ def release_flags(
             Evidence(
                 releases, "id", {"member": None, "has_date": has_date, "has_country": has_country}
             ),
-            _rolled(tracks, "release", names),
+            Evidence.of_flags(tracks, "release", names),
         ]
     )
 

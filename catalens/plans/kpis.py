@@ -264,13 +264,13 @@ def artist_presence(cat: Catalogue) -> DataFrame:
     return presence(
         [
             Evidence(settled(persons(cat["artist"])), "id", {"member": None}),
-            Evidence(cat["artist_ipi"], "artist", {"ipi": None}, counts={"ipis": F.lit(1)}),
-            Evidence(cat["artist_isni"], "artist", {"isni": None}, counts={"isnis": F.lit(1)}),
-            Evidence(links, "entity0", counts={"urls": F.lit(1)}),
+            Evidence(cat["artist_ipi"], "artist", {"ipi": None}, counts={"ipis": "1"}),
+            Evidence(cat["artist_isni"], "artist", {"isni": None}, counts={"isnis": "1"}),
+            Evidence(links, "entity0", counts={"urls": "1"}),
             Evidence(
                 links.join(known, "entity1"),
                 "entity0",
-                {name: F.col(name) for name in URL_IDENTIFIERS},
+                {name: name for name in URL_IDENTIFIERS},
             ),
         ]
     )
@@ -565,7 +565,7 @@ def work_recording_inconsistencies(
     seed: int = DEFAULT_SEED,
     distinct_entities: bool = False,
 ) -> DataFrame:
-    weight = None if distinct_entities else "paths"
+    weight = "1" if distinct_entities else "paths"
     return (
         inconsistency_shares(
             {
@@ -771,9 +771,17 @@ KPIS: dict[str, Kpi] = {
 
 
 def register(
-    spark: SparkSession, cat: Catalogue, as_of: AsOf = None, seed: int = DEFAULT_SEED
+    spark: SparkSession,
+    cat: Catalogue,
+    as_of: AsOf = None,
+    seed: int = DEFAULT_SEED,
+    recordings: DataFrame | None = None,
 ) -> list[str]:
-    """Publish every KPI as a temporary view of its name; running it again replaces them."""
+    """Publish every KPI as a temporary view of its name; running it again replaces them.
+
+    ``recordings`` are ready recording facts for the confidence views to share.
+    """
     for kpi in KPIS.values():
-        kpi.build(cat, as_of=as_of, seed=seed).createOrReplaceTempView(kpi.name)
+        shared = {"recordings": recordings} if kpi.name.startswith("confidence_") else {}
+        kpi.build(cat, as_of=as_of, seed=seed, **shared).createOrReplaceTempView(kpi.name)
     return list(KPIS)

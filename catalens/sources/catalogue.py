@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalens.sources.contract import CONTRACT
 
-Catalogue = dict[str, DataFrame]
+Catalogue = Mapping[str, DataFrame]
 
 _TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -45,11 +44,11 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     ]
     if wrong:
         raise ContractError(f"table {table}: {'; '.join(wrong)}")
-    return df.select(
+    return df.selectExpr(
         *[
-            F.col(f.name)
+            f.name
             if actual[f.name] == f.dataType or isinstance(actual[f.name], _TIMES)
-            else F.col(f.name).cast(f.dataType).alias(f.name)
+            else f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}"
             for f in wanted
         ]
     )
