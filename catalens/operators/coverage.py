@@ -18,9 +18,24 @@ def code_pairs(
 
     The population's ``id`` is unique, so this neither multiplies nor repeats rows.
     """
-    ids = entity.select("id", *carry)
-    codes = link.filter(F.col(code).isNotNull()).select(F.col(link_key).alias("id"), code)
-    return codes.join(ids, "id")
+    codes = link.where(f"{code} is not null").selectExpr(f"{link_key} as id", code)
+    return codes.join(entity.select("id", *carry), "id")
+
+
+def coded_state(
+    entity: DataFrame, link: DataFrame, link_key: str, carry: Sequence[str] = ()
+) -> DataFrame:
+    """The population with a 0/1 flag, ``coded``: does any link row name the entity.
+
+    Read several times in one plan it is shuffled once, and joins on ``id`` find it
+    already partitioned.
+    """
+    return members(
+        [
+            Evidence(entity, "id", {"member": None}, carry=carry),
+            Evidence(link, link_key, {"coded": None}),
+        ]
+    )
 
 
 def code_groups(pairs: DataFrame, code: str) -> DataFrame:
@@ -50,16 +65,16 @@ def coverage(
     """
     with_code, without = f"{entities}_with_{code}", f"{entities}_without_{code}"
     zero = "cast(0 as bigint)"
-    covered = members(
-        [Evidence(entity, "id", {"member": None}), Evidence(link, link_key, {"coded": None})]
-    ).selectExpr(
+    state = coded_state(entity, link, link_key)
+    pairs = code_pairs(state.where("coded = 1"), link, link_key, code)
+    covered = state.selectExpr(
         "count(*) as total",
         "count_if(coded = 1) as coded",
         f"{zero} as codes",
         f"{zero} as shared",
         f"{zero} as sharing",
     )
-    codes = code_groups(code_pairs(entity, link, link_key, code), code).selectExpr(
+    codes = code_groups(pairs, code).selectExpr(
         f"{zero} as total",
         f"{zero} as coded",
         "count(*) as codes",
@@ -81,10 +96,9 @@ def coverage(
     )
 
 
-def shared_codes(entity: DataFrame, link: DataFrame, link_key: str, code: str) -> DataFrame:
-    """The codes more than one entity of the population carries."""
-    groups = code_groups(code_pairs(entity, link, link_key, code), code)
-    return groups.filter(F.col("entities") > 1).select(code)
+def shared_codes(pairs: DataFrame, code: str) -> DataFrame:
+    """The codes more than one entity carries."""
+    return code_groups(pairs, code).where("entities > 1").select(code)
 
 
 def code_status(
@@ -102,7 +116,8 @@ def code_status(
     missing, duplicate, unique = labels
     status = f"{code}_status"
     rows = link.select(F.col(link_key).alias("id"), code)
-    shared = shared_codes(entity, link, link_key, code).withColumn("shared", F.lit(True))
+    pairs = code_pairs(entity, link, link_key, code)
+    shared = shared_codes(pairs, code).withColumn("shared", F.lit(True))
     judged = (
         rows.filter(F.col(code).isNotNull())
         .join(shared, code, "left")
@@ -127,24 +142,12 @@ def coverage_gaps(
     Columns: sample_type (one of ``labels``), id, code (NULL for the former), carry...
     """
     missing, duplicate = labels
-    without = (
-        members(
-            [
-                Evidence(entity, "id", {"member": None}, carry=carry),
-                Evidence(link, link_key, {"coded": None}),
-            ]
-        )
-        .filter(F.col("coded") == 0)
-        .select(
-            F.lit(missing).alias("sample_type"),
-            "id",
-            F.lit(None).cast("string").alias(code),
-            *carry,
-        )
+    state = coded_state(entity, link, link_key, carry)
+    without = state.where("coded = 0").selectExpr(
+        f"'{missing}' as sample_type", "id", f"cast(null as string) as {code}", *carry
     )
-    sharing = (
-        code_pairs(entity, link, link_key, code, carry)
-        .join(shared_codes(entity, link, link_key, code), code, "left_semi")
-        .select(F.lit(duplicate).alias("sample_type"), "id", code, *carry)
+    pairs = code_pairs(state.where("coded = 1"), link, link_key, code, carry)
+    sharing = pairs.join(shared_codes(pairs, code), code, "left_semi").selectExpr(
+        f"'{duplicate}' as sample_type", "id", code, *carry
     )
-    return without.unionByName(sharing)
+    return without.union(sharing)
