@@ -29,8 +29,8 @@ def _readable_as(actual: T.DataType, wanted: T.DataType) -> bool:
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Exactly the contract's columns of ``table``, in its types; else ContractError.
 
-    The cast of a column that already has its type vanishes in the optimizer, so
-    filters on the result still reach the file scan.
+    Columns that already have their type are passed on as they are, so filters on the
+    result still reach the file scan.
     """
     actual = {f.name: f.dataType for f in df.schema.fields}
     wanted = CONTRACT[table].fields
@@ -44,14 +44,13 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     ]
     if wrong:
         raise ContractError(f"table {table}: {'; '.join(wrong)}")
-    return df.selectExpr(
-        *[
-            f.name
-            if actual[f.name] == f.dataType or isinstance(actual[f.name], _TIMES)
-            else f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}"
-            for f in wanted
-        ]
-    )
+    columns = [
+        f.name
+        if actual[f.name] == f.dataType or isinstance(actual[f.name], _TIMES)
+        else f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}"
+        for f in wanted
+    ]
+    return df if columns == list(actual) else df.selectExpr(*columns)
 
 
 def load_catalogue(

@@ -15,6 +15,16 @@ from catalens.sources.catalogue import conform
 
 Read = Callable[[str], DataFrame]
 
+# The columns the rules below use; a declared schema spares a look into every file first.
+SOURCES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int",
+}
+
 # Recordings take their titles from the parts with these keys: 0 .. TITLES - 1.
 TITLES = 50
 
@@ -189,7 +199,7 @@ class DerivedCatalogue(Mapping[str, DataFrame]):
     def _read(self, source: str) -> DataFrame:
         if source not in self._sources:
             path = f"{self._directory}/{source}.parquet"
-            self._sources[source] = self._spark.read.parquet(path)
+            self._sources[source] = self._spark.read.schema(SOURCES[source]).parquet(path)
         return self._sources[source]
 
     def __getitem__(self, table: str) -> DataFrame:
