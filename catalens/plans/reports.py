@@ -147,7 +147,7 @@ def recordings_without_isrc(
     return (
         kpis.kpi_isrc_coverage_samples(cat, seed=seed)
         .filter(F.col("sample_type") == "Recordings without ISRC")
-        .orderBy("recording_gid", "artist_gid")
+        .orderBy(F.asc_nulls_last("recording_gid"), F.asc_nulls_last("artist_gid"))
         .limit(n)
         .select("recording_name", "artist_name", "recording_gid")
     )
@@ -158,7 +158,7 @@ def works_without_iswc(cat: Catalogue, n: int = 20, seed: int = DEFAULT_SEED) ->
     return (
         kpis.kpi_iswc_coverage_samples(cat, seed=seed)
         .filter(F.col("sample_type") == "Works without ISWC")
-        .orderBy("work_gid")
+        .orderBy(F.asc_nulls_last("work_gid"))
         .limit(n)
         .select("work_name", "work_type", "language_code", "work_gid")
     )
@@ -189,7 +189,7 @@ def sampled_artists_at_level(
     return (
         kpis.confidence_artist_samples(cat, seed=seed)
         .filter(F.col("phase2_confidence_level") == level)
-        .orderBy(_towards(level), "artist_gid")
+        .orderBy(_towards(level), F.asc_nulls_last("artist_gid"))
         .limit(n)
         .select(*LEVEL_COLUMNS)
     )

@@ -74,15 +74,15 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the cluster's shared folder and read back.
+def shared_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written once to a folder all executors share, and read back.
 
     Used for a frame that many KPIs read: the lineage ends here, so a lost executor
     costs a re-read of a file rather than the whole computation.  The folder is the
-    session's spark.checkpoint.dir.
+    session's spark.checkpoint.dir; another is for sessions that set none.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or folder
     if not folder:
         raise ValueError("spark.checkpoint.dir names no shared folder for intermediate tables")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

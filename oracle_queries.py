@@ -281,9 +281,12 @@ SHARED["isrc_risk"] = """
     from isrc_group"""
 
 
-def sql(body: str) -> str:
-    """``body`` with the WITH clause of everything it mentions, directly or not."""
-    definitions = {**CATALOGUE, **SHARED}
+def sql(body: str, derived: bool = True) -> str:
+    """``body`` with the WITH clause of everything it mentions, directly or not.
+
+    With ``derived=False`` the catalogue tables are expected to exist as they are.
+    """
+    definitions = {**CATALOGUE, **SHARED} if derived else SHARED
     needed: set[str] = set()
     frontier = [body]
     while frontier:
@@ -302,6 +305,8 @@ def sql(body: str) -> str:
                 ordered.append(name)
                 pending.remove(name)
                 break
+    if not ordered:
+        return body
     ctes = ",\n".join(f"{name} as ({definitions[name]})" for name in ordered)
     return f"with {ctes}\n{body}"
 
