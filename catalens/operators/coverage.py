@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions.numeric import pct
-from catalens.operators.evidence import Evidence, members
+from catalens.operators.evidence import Evidence, observe
 
 
 def code_pairs(
@@ -25,17 +25,8 @@ def code_pairs(
 def coded_state(
     entity: DataFrame, link: DataFrame, link_key: str, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """The population with a 0/1 flag, ``coded``: does any link row name the entity.
-
-    Read several times in one plan it is shuffled once, and joins on ``id`` find it
-    already partitioned.
-    """
-    return members(
-        [
-            Evidence(entity, "id", {"member": None}, carry=carry),
-            Evidence(link, link_key, {"coded": None}),
-        ]
-    )
+    """The population with a 0/1 flag, ``coded``: does any link row name the entity."""
+    return observe(entity, [Evidence(link, link_key, {"coded": None})], carry=carry)
 
 
 def code_groups(pairs: DataFrame, code: str) -> DataFrame:
@@ -65,9 +56,9 @@ def coverage(
     """
     with_code, without = f"{entities}_with_{code}", f"{entities}_without_{code}"
     zero = "cast(0 as bigint)"
-    state = coded_state(entity, link, link_key)
-    pairs = code_pairs(state.where("coded = 1"), link, link_key, code)
-    covered = state.selectExpr(
+    # Both branches shuffle the population's ids by id: Spark runs that exchange once.
+    pairs = code_pairs(entity, link, link_key, code)
+    covered = coded_state(entity, link, link_key).selectExpr(
         "count(*) as total",
         "count_if(coded = 1) as coded",
         f"{zero} as codes",
@@ -146,7 +137,7 @@ def coverage_gaps(
     without = state.where("coded = 0").selectExpr(
         f"'{missing}' as sample_type", "id", f"cast(null as string) as {code}", *carry
     )
-    pairs = code_pairs(state.where("coded = 1"), link, link_key, code, carry)
+    pairs = code_pairs(entity, link, link_key, code, carry)
     sharing = pairs.join(shared_codes(pairs, code), code, "left_semi").selectExpr(
         f"'{duplicate}' as sample_type", "id", code, *carry
     )

@@ -1,13 +1,14 @@
 """Presence flags per entity, gathered from many tables in one shuffle.
 
 "Does X have at least one Y" is asked of every entity many times over.  Instead of one
-join per question, each table contributes small rows (key, bit) and a single
-``groupBy(key)`` ORs the bits together:
+join per question, each table contributes small rows (key, bit), a single
+``groupBy(key)`` ORs the bits together, and the entities take up the result in one join:
 
 * the shuffle carries a key and an int, nothing else;
 * partial aggregation folds a key that holds any share of the rows into one row per
   task before the shuffle, so hot keys cost nothing;
-* no sort, no broadcast, and no row is ever multiplied.
+* both sides of the join have one row per key and are partitioned by it already, so no
+  row is ever multiplied and no join task is larger than another.
 """
 
 from __future__ import annotations
@@ -28,14 +29,12 @@ class Evidence:
 
     ``flags``: flag name -> SQL condition, or None when every row is proof.
     ``counts``: measures to add up per entity, as SQL.
-    ``carry``: attributes of the entity itself, given by the one table that has them.
     """
 
     rows: DataFrame
     key: str
     flags: Mapping[str, str | None] = field(default_factory=dict)
     counts: Mapping[str, str] = field(default_factory=dict)
-    carry: Sequence[str] = ()
 
     @classmethod
     def of_flags(cls, rows: DataFrame, key: str, names: Sequence[str]) -> Evidence:
@@ -43,19 +42,24 @@ class Evidence:
         return cls(rows, key, {name: f"{name} = 1" for name in names})
 
 
-def gather(
-    evidence: Sequence[Evidence], key: str = "id", population: str | None = None
+def observe(
+    entity: DataFrame,
+    evidence: Sequence[Evidence],
+    flags: Mapping[str, str] | None = None,
+    carry: Sequence[str] = (),
+    key: str = "id",
 ) -> DataFrame:
-    """One row per key: the key, every flag as 0/1, every count, every carried column.
+    """One row per entity: its id as ``key``, every flag as 0/1, every count, ``carry``.
 
-    With ``population``, only keys that have that flag, which itself is left out.
+    ``entity`` is the population, unique on ``id``; ``flags`` are SQL conditions over its
+    own columns, ``carry`` columns of it to keep.  Evidence about other keys is dropped.
     """
-    flags = list(dict.fromkeys(name for e in evidence for name in e.flags))
+    own = dict(flags or {})
+    seen_flags = list(dict.fromkeys(name for e in evidence for name in e.flags))
     counts = list(dict.fromkeys(name for e in evidence for name in e.counts))
-    carried = list(dict.fromkeys(name for e in evidence for name in e.carry))
-    if len(flags) > MAX_FLAGS:
-        raise ValueError(f"at most {MAX_FLAGS} flags fit one mask, got {len(flags)}")
-    bit = {name: 1 << i for i, name in enumerate(flags)}
+    if len(seen_flags) > MAX_FLAGS:
+        raise ValueError(f"at most {MAX_FLAGS} flags fit one mask, got {len(seen_flags)}")
+    bit = {name: 1 << i for i, name in enumerate(seen_flags)}
 
     def contribution(e: Evidence) -> DataFrame:
         always = sum(bit[name] for name, cond in e.flags.items() if cond is None)
@@ -68,28 +72,24 @@ def gather(
             f"{e.key} as {key}",
             f"{' + '.join([str(always), *when])} as _mask",
             *[f"cast({e.counts.get(c, 0)} as bigint) as {c}" for c in counts],
-            *[f"{c if c in e.carry else 'null'} as {c}" for c in carried],
         )
-        silent = not (always or e.counts or e.carry)
+        silent = not (always or e.counts)
         return rows.where(f"{key} is not null{' and _mask <> 0' if silent else ''}")
 
-    everything = reduce(DataFrame.union, [contribution(e) for e in evidence])
-    merged = everything.groupBy(key).agg(
-        F.bit_or("_mask").alias("_mask"),
-        *[F.sum(c).alias(c) for c in counts],
-        *[F.max(c).alias(c) for c in carried],
+    seen = (
+        reduce(DataFrame.union, [contribution(e) for e in evidence])
+        .groupBy(key)
+        .agg(F.bit_or("_mask").alias("_mask"), *[F.sum(c).alias(c) for c in counts])
     )
-    if population is not None:
-        merged = merged.where(f"_mask & {bit[population]} <> 0")
-        flags.remove(population)
-    return merged.selectExpr(
+    population = entity.selectExpr(
+        f"id as {key}",
+        *[f"cast(coalesce({cond}, false) as int) as {name}" for name, cond in own.items()],
+        *carry,
+    )
+    return population.join(seen, key, "left").selectExpr(
         key,
-        *[f"cast(_mask & {bit[name]} <> 0 as int) as {name}" for name in flags],
-        *counts,
-        *carried,
+        *own,
+        *[f"cast(coalesce(_mask & {bit[name]} <> 0, false) as int) as {name}" for name in bit],
+        *[f"coalesce({c}, 0) as {c}" for c in counts],
+        *carry,
     )
-
-
-def members(evidence: Sequence[Evidence], key: str = "id") -> DataFrame:
-    """``gather`` kept to the keys flagged ``member``: the population under study."""
-    return gather(evidence, key, population="member")

@@ -8,16 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions.numeric import pct
-from catalens.operators.evidence import Evidence, members
 
 _WIDE = "decimal(38,0)"
 
 
-def presence(evidence: Sequence[Evidence]) -> DataFrame:
-    """Per entity of the population: a 0/1 flag per identifier, and the link counts."""
-    return members(evidence)
-
-
 def join_rows(fanout: Mapping[str, int]) -> str:
     """SQL text: the rows an entity becomes when its link tables are outer-joined.
 
@@ -39,9 +33,10 @@ def presence_profile(
     label: str,
     fanout: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """One row of presence figures from the frame ``presence`` returns.
+    """One row of presence figures; ``entities`` has a 0/1 column per identifier.
 
-    The total is the number of entities, or with ``fanout`` the number of join rows.
+    The total is the number of entities, or with ``fanout`` the number of join rows
+    (see ``join_rows``).
     """
     total = "count(*)" if fanout is None else f"coalesce(sum({join_rows(fanout)}), 0)"
     sums = entities.selectExpr(

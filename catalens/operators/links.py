@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions.numeric import pct
-from catalens.operators.evidence import Evidence, members
+from catalens.operators.evidence import Evidence, observe
 
 
 def link_state(
@@ -27,14 +27,11 @@ def link_state(
     are left out.
     """
     counts = {"links": f"{link_value} is not null", "link_rows": "1"}
-    evidence = [
-        Evidence(entity, "id", {"member": None}),
-        Evidence(link, link_key, {"linked": None}, counts=counts),
-    ]
+    evidence = [Evidence(link, link_key, {"linked": None}, counts=counts)]
     if path is None:
-        return members(evidence)
+        return observe(entity, evidence)
     evidence.append(Evidence(path, path_key, {"reached": None}, counts={"paths": "1"}))
-    return members(evidence).where("reached = 1")
+    return observe(entity, evidence).where("reached = 1")
 
 
 def link_audit(

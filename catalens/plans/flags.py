@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.operators.evidence import Evidence, members
+from catalens.operators.evidence import Evidence, observe
 from catalens.sources.catalogue import Catalogue
 
 RECORDING_FLAGS = ("has_isrc", "has_iswc", "has_artist_id", "on_release")
@@ -49,45 +49,35 @@ def _identified_credits(cat: Catalogue) -> DataFrame:
     """Credits that name at least one artist with an ISNI or IPI."""
     artists = cat["artist_isni"].select("artist").union(cat["artist_ipi"].select("artist"))
     named = cat["artist_credit_name"].join(artists.distinct(), "artist", "left_semi")
-    return (
-        members(
-            [
-                Evidence(cat["artist_credit"], "id", {"member": None}),
-                Evidence(named, "artist_credit", {"identified": None}),
-            ],
-            key="artist_credit",
-        )
-        .where("identified = 1")
-        .selectExpr("artist_credit", "true as credit_identified")
+    credits = observe(
+        cat["artist_credit"],
+        [Evidence(named, "artist_credit", {"identified": None})],
+        key="artist_credit",
     )
+    return credits.where("identified = 1").select("artist_credit")
 
 
 def recording_facts(cat: Catalogue, needed: Iterable[str] = RECORDING_FLAGS) -> DataFrame:
     """Per recording: id, artist_credit, settled and the ``needed`` flags as 0/1."""
     needed = set(needed)
-    own: dict[str, str | None] = {"member": None, "settled": "edits_pending = 0"}
+    own = {"settled": "edits_pending = 0"}
     rows = cat["recording"].select("id", "artist_credit", "edits_pending")
     if "has_artist_id" in needed:
-        rows = rows.join(_identified_credits(cat), "artist_credit", "left")
-        own["has_artist_id"] = "credit_identified"
-    evidence = [Evidence(rows, "id", own, carry=["artist_credit"])]
+        identified = _identified_credits(cat).selectExpr("artist_credit", "true as identified")
+        rows = rows.join(identified, "artist_credit", "left")
+        own["has_artist_id"] = "identified"
+    evidence = []
     if "has_isrc" in needed:
         evidence.append(Evidence(coded_rows(cat, "isrc"), "recording", {"has_isrc": None}))
     if "has_iswc" in needed:
-        works = members(
-            [
-                Evidence(cat["work"], "id", {"member": None}),
-                Evidence(coded_rows(cat, "iswc"), "work", {"coded": None}),
-            ],
-            key="entity1",
-        ).where("coded = 1")
+        coded = [Evidence(coded_rows(cat, "iswc"), "work", {"coded": None})]
+        works = observe(cat["work"], coded, key="entity1").where("coded = 1")
         linked = cat["l_recording_work"].join(works.select("entity1"), "entity1", "left_semi")
         evidence.append(Evidence(linked, "entity0", {"has_iswc": None}))
     if "on_release" in needed:
-        evidence.append(
-            Evidence(placed_tracks(cat, cat["release"]), "recording", {"on_release": None})
-        )
-    return members(evidence)
+        placed = placed_tracks(cat, cat["release"])
+        evidence.append(Evidence(placed, "recording", {"on_release": None}))
+    return observe(rows, evidence, flags=own, carry=["artist_credit"])
 
 
 def artist_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame:
@@ -95,23 +85,19 @@ def artist_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFra
     names = ("has_isrc", "has_iswc", "on_release")
     facts = recording_facts(cat, names) if recordings is None else recordings
     # Folded per credit first: a catch-all credit is one row before it meets its artists.
-    credits = members(
-        [
-            Evidence(cat["artist_credit"], "id", {"member": None}),
-            Evidence.of_flags(facts, "artist_credit", names),
-        ],
+    credits = observe(
+        cat["artist_credit"],
+        [Evidence.of_flags(facts, "artist_credit", names)],
         key="artist_credit",
     )
-    artists = cat["artist_credit_name"].select("artist_credit", "artist").join(
-        credits, "artist_credit"
-    )
-    return members(
+    credited = cat["artist_credit_name"].select("artist_credit", "artist")
+    return observe(
+        settled(persons(cat["artist"])),
         [
-            Evidence(settled(persons(cat["artist"])), "id", {"member": None}),
             Evidence(cat["artist_isni"], "artist", {"has_artist_id": None}),
             Evidence(cat["artist_ipi"], "artist", {"has_artist_id": None}),
-            Evidence.of_flags(artists, "artist", names),
-        ]
+            Evidence.of_flags(credited.join(credits, "artist_credit"), "artist", names),
+        ],
     )
 
 
@@ -122,12 +108,12 @@ def work_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame
     linked = cat["l_recording_work"].join(
         facts.select(F.col("id").alias("entity0"), *names), "entity0"
     )
-    return members(
+    return observe(
+        settled(cat["work"]),
         [
-            Evidence(settled(cat["work"]), "id", {"member": None}),
             Evidence(coded_rows(cat, "iswc"), "work", {"has_iswc": None}),
             Evidence.of_flags(linked, "entity1", names),
-        ]
+        ],
     )
 
 
@@ -154,7 +140,6 @@ def release_flags(
     groups = cat["release_group"].select(
         F.col("id").alias("release_group"), F.col("type").alias("release_group_type")
     )
-    releases = settled(cat["release"]).join(groups, "release_group", "left")
     tracks = (
         cat["track"]
         .select("recording", "medium")
@@ -162,12 +147,8 @@ def release_flags(
         .select("recording", "release")
         .join(facts.select(F.col("id").alias("recording"), *names), "recording")
     )
-    return members(
-        [
-            Evidence(
-                releases, "id", {"member": None, "has_date": has_date, "has_country": has_country}
-            ),
-            Evidence.of_flags(tracks, "release", names),
-        ]
+    return observe(
+        settled(cat["release"]).join(groups, "release_group", "left"),
+        [Evidence.of_flags(tracks, "release", names)],
+        flags={"has_date": has_date, "has_country": has_country},
     )
-

@@ -17,9 +17,8 @@ from catalens.functions.sampling import DEFAULT_SEED, seeded_top_k
 from catalens.operators.confidence import ConfidenceRules, confidence, scored
 from catalens.operators.coverage import code_status, coverage, coverage_gaps
 from catalens.operators.duplicates import RISK, RiskRules, duplicate_candidates, duplicate_listing
-from catalens.operators.evidence import Evidence
+from catalens.operators.evidence import Evidence, observe
 from catalens.operators.identifiers import (
-    presence,
     presence_labels,
     presence_profile,
     presence_score,
@@ -261,9 +260,9 @@ def artist_presence(cat: Catalogue) -> DataFrame:
         *[F.contains(F.col("url"), F.lit(name)).alias(name) for name in URL_IDENTIFIERS],
     )
     known = urls.filter(" or ".join(URL_IDENTIFIERS))
-    return presence(
+    return observe(
+        settled(persons(cat["artist"])),
         [
-            Evidence(settled(persons(cat["artist"])), "id", {"member": None}),
             Evidence(cat["artist_ipi"], "artist", {"ipi": None}, counts={"ipis": "1"}),
             Evidence(cat["artist_isni"], "artist", {"isni": None}, counts={"isnis": "1"}),
             Evidence(links, "entity0", counts={"urls": "1"}),
@@ -272,7 +271,7 @@ def artist_presence(cat: Catalogue) -> DataFrame:
                 "entity0",
                 {name: name for name in URL_IDENTIFIERS},
             ),
-        ]
+        ],
     )
 
 

@@ -30,9 +30,13 @@ TITLES = 50
 
 
 def _unfold(df: DataFrame, *cases: tuple[str, str]) -> DataFrame:
-    """Per row of ``df``, one output row for every (condition, struct) whose condition holds."""
+    """Per row of ``df``, one output row for every (condition, struct) whose condition holds.
+
+    The first field of every struct is a key and never NULL, unlike that of a skipped case.
+    """
     rows = ", ".join(f"case when {cond} then named_struct({fields}) end" for cond, fields in cases)
-    return df.selectExpr(f"inline(array_compact(array({rows})))")
+    unfolded = df.selectExpr(f"inline(array({rows}))")
+    return unfolded.where(f"{unfolded.columns[0]} is not null")
 
 
 def _url(read: Read) -> DataFrame:

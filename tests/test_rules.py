@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalens.functions.numeric import mean_milli, pct
 from catalens.operators import duplicates as dup
 from catalens.operators.confidence import confidence, scored
-from catalens.operators.evidence import Evidence, gather
+from catalens.operators.evidence import Evidence, observe
 from catalens.operators.identifiers import join_rows
 from catalens.plans import reports
 from catalens.plans.kpis import CONFIDENCE
@@ -168,20 +168,15 @@ def test_overall_level_uses_the_exact_mean(spark):
     assert row["overall_confidence_level"] == "Low Confidence"
 
 
-def test_gather(spark):
+def test_observe(spark):
     people = spark.createDataFrame([(1, 5), (2, None), (3, 9)], "id bigint, area int")
     links = spark.createDataFrame(
         [(1, "a"), (1, None), (2, None), (9, "x"), (None, "z")], "who bigint, code string"
     )
-    got = gather(
-        [
-            Evidence(people, "id", {"member": None, "north": "area > 6"}, carry=["area"]),
-            Evidence(
-                links, "who", {"linked": None, "coded": "code is not null"}, counts={"n": "1"}
-            ),
-        ],
-        population="member",
+    linked = Evidence(
+        links, "who", {"linked": None, "coded": "code is not null"}, counts={"n": "1"}
     )
+    got = observe(people, [linked], flags={"north": "area > 6"}, carry=["area"])
     rows = {r["id"]: r for r in rows_of(got)}
     assert set(rows) == {1, 2, 3}
     assert rows[1] == {"id": 1, "north": 0, "linked": 1, "coded": 1, "n": 2, "area": 5}
@@ -189,10 +184,10 @@ def test_gather(spark):
     assert rows[3] == {"id": 3, "north": 1, "linked": 0, "coded": 0, "n": 0, "area": 9}
 
 
-def test_gather_refuses_too_many_flags(spark):
+def test_observe_refuses_too_many_flags(spark):
     df = spark.range(1)
     with pytest.raises(ValueError, match="31"):
-        gather([Evidence(df, "id", {f"f{i}": None for i in range(32)})])
+        observe(df, [Evidence(df, "id", {f"f{i}": None for i in range(32)})])
 
 
 def test_score_histogram_bins(spark):
