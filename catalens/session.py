@@ -11,8 +11,6 @@ RUNTIME_SETTINGS = {
     # shuffle because a later aggregate wanted the join's partitioning.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Where every partition of one side turns out this small, joins hash it and skip the sort.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
 }
 
