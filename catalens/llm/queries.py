@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import language_id, mixing, pii, simhash_dedup, token_counts, token_output, url_filter
+from catalens.llm import decontamination, language_id, mixing, pii, simhash_dedup, token_counts, token_output, url_filter
 from catalens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     spans = F.col("spans")
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_url_filter,
         op3_source_mix,
+        op4_decontamination,
         op5_pii,
         op6_simhash_groups,
         op7_token_counts,
