@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import decontamination, language_id, mixing, pii, simhash_dedup, token_counts, token_output, url_filter
+from catalens.llm import decontamination, language_id, mixing, pii, simhash_dedup, suffix_dedup, token_counts, token_output, topk_search, url_filter
 from catalens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, junk, RULES)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -72,10 +84,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk_search.search(docs, docs.where("doc_id % 50 = 0"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filter,
+        op2_suffix_dedup,
         op3_source_mix,
         op4_decontamination,
         op5_pii,
@@ -83,6 +101,7 @@ QUERIES: dict[str, Query] = {
         op7_token_counts,
         op8_language_id,
         op9_token_files,
+        op10_topk_search,
     )
 }
 
