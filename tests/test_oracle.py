@@ -8,8 +8,8 @@ from oracle_tools import assert_same, over_parquet
 import __spark_entry__ as entry_point
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
+QUERIES = {name: query for name, query in entry_point.queries().items() if name in entry_point.BUILDERS}
+ORACLE = entry_point.ORACLE
 
 
 @pytest.fixture(scope="module")
