@@ -408,12 +408,14 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     whole = rows.join(copied, ["gram", "context"], "left_semi").select(*KEY, "start", end.alias("end")).distinct()
 
     # One place for each context of the grams that have several.
-    mixed = contexts.where("mixed")
-    split = mixed.groupBy("gram").agg((F.count(F.lit(1)) > SPLIT_ABOVE).alias("split"))
+    sizes = contexts.where("mixed").groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"))
+    # Few, as each stands for many contexts; a table of its own, so that a gram's contexts need not meet.
+    split = written(sizes.where(F.col("contexts") > SPLIT_ABOVE).select("gram", F.lit(True).alias("split")), "split-grams")
     place = F.min(F.struct(*KEY, "start", "windows", "offset")).alias("place")
     places = rows.where("mixed").groupBy("gram", "context").agg(F.count(F.lit(1)).alias("copies"), place)
-    wanted = places.join(split, "gram").select(
-        "place.*", F.struct("gram", "place.start", "place.windows", "place.offset", "split", (F.col("copies") == 1).alias("once")).alias("w")
+    once, parted = (F.col("copies") == 1).alias("once"), F.coalesce("split", F.lit(False)).alias("split")
+    wanted = places.join(split, "gram", "left").select(
+        "place.*", F.struct("gram", "place.start", "place.windows", "place.offset", parted, once).alias("w")
     )
     wanted = written(wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")), "wanted")
     texts = _keyed(docs.select(F.col(text_col).alias("text")), "text").join(_few(wanted.select(*KEY)), KEY, "left_semi")
