@@ -36,8 +36,8 @@ WORDS_KEPT = 8000
 GRAMS_KEPT = 4000
 LONGEST_GRAM = 5
 UNKNOWN = "und"
-#: Scores below this count as rejected.
-MIN_SCORE = 0.5
+#: Scores below this count as rejected, besides ``und``; short clean texts score low.
+MIN_SCORE = 0.0
 #: Words whose scores a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 #: Words are runs of letters; [^\W\d_] is that in Python, \p{L}\p{M} covers it in Java.
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a language scored at ``min_score`` or more, columns as they are."""
+    """The documents with a language, scored at ``min_score`` or more; columns as they are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.BooleanType())
