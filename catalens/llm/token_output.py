@@ -18,6 +18,7 @@ spread over shards by it if they are many.  An empty table writes no shard.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ MAGIC = b"EFIDS01\0"
 HEADER = struct.Struct("<8sQQIIQ")
 STEP = 256
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
 
 class EliasFano:
@@ -125,34 +126,59 @@ class Shard:
         return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
 
 
-class Encoder:
-    """Ids of whole texts; words met lately are not encoded again.
+def byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: printable ones as
+    they are, the others numbered from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
-    For tokenizers that split at white space and drop it, as that of ``path`` does: a text's
-    ids are then those of its words one after the other.  Texts are cut at blanks and line
-    breaks only; other white space is left to the tokenizer.
+
+class Encoder(dict):
+    """The ids of words, as bytes; words met lately are not encoded again.
+
+    For byte-level tokenizers that lower-case, split at white space and between letters and
+    other marks, and drop white space, as that of ``word_bpe_49k.json`` does: a text's ids
+    are then those of its words one after the other, and a word's those of its letters and
+    of the marks after them.  Texts are cut at blanks and line breaks only.  Words of Latin
+    letters go to the tokenizer's BPE model directly, all others through the whole of it.
     """
 
     def __init__(self, path: str):
+        # Spark runs a worker per core; more threads in each would only get in their way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.id_bytes}"
-        self.end = np.array([END_ID], dtype=self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        missing = list(set().union(*split).difference(known))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for word, coded in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[word] = np.array(coded.ids, dtype=self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+        self.kind = "H" if self.id_bytes == 2 else "I"
+        self.end = self._bytes([END_ID])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(",.!?")
+        low = stem.lower()
+        if low.isalpha() and max(low) < "\u0250":
+            spelled = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
+            coded = self._bytes([t.id for t in self.model.tokenize(spelled)])
+            if stem != word:
+                coded += self[word[len(stem) :]]
+        else:
+            coded = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = coded
+        return coded
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > REMEMBERED:
+            # Words met first are mostly the common ones.
+            for word in list(self)[REMEMBERED // 2 :]:
+                del self[word]
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + self.end
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -184,7 +210,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
         doc_ids, sizes, ids = [], [], []
         for batch in batches:
             # A shard is one range partition of bounded size, as are all Spark partitions.
-            coded = coder.encode(batch.column("text").to_pylist())
+            coded = [coder.encode(t.as_py()) for t in batch.column("text")]
             doc_ids += batch.column("doc_id").to_pylist()
             sizes += [len(c) // coder.id_bytes for c in coded]
             ids += coded

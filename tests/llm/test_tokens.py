@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from catalens.llm import queries, token_counts, token_output
 
-ODD = [None, "", " \n\t", "Hello  World's\nêtre 12", "<|endoftext|> a<|endoftext|>b", "ΑΣ ς\x1cx\x85y\xa0z", "e\u0301 e \u0301", "日本語 text", "x" * 3000]
+ODD = [None, "", " \n\t", "Hello  World's\nêtre 12", "<|endoftext|> a<|endoftext|>b", "ΑΣ ς\x1cx\x85y\xa0z", "e\u0301 e \u0301", "日本語 text", "x" * 3000, "word, Word. WORD!? it's. 's, don't! a.b, ,. é\u0301, 'll. İ, straße."]
 
 
 @given(st.lists(st.integers(0, 5000), max_size=600))
