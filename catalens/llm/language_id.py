@@ -47,7 +47,8 @@ SMOOTHING = 0.5
 
 def _sampled(labelled: DataFrame, sample_docs: int) -> DataFrame:
     """About ``sample_docs`` documents of each language, by a hash of the text."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # A written table of one row per language: its known size keeps the texts from being shuffled.
+    counts = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     chance = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n"))
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return labelled.join(counts.select("lang", chance.alias("chance")), "lang").where(drawn < F.col("chance")).select("lang", "text")
