@@ -30,6 +30,8 @@ from catalens.llm.shared import map_texts
 
 MARK = "▁"
 REMEMBERED = 400_000
+#: Characters of texts that are split into words at a time.
+AT_ONCE = 4_000_000
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -94,6 +96,17 @@ class Counter:
         self.model, self.known = model, {}
 
     def count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
+        words, tokens, first, held = [], [], 0, 0
+        for i, text in enumerate(texts, 1):
+            held += len(text or "")
+            if held >= AT_ONCE or i == len(texts):
+                more_words, more_tokens = self._count(texts[first:i])
+                words += more_words
+                tokens += more_tokens
+                first, held = i, 0
+        return words, tokens
+
+    def _count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         split = [_words(t) if isinstance(t, str) else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
