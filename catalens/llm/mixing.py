@@ -80,7 +80,7 @@ def plan(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id") -> DataFrame
         "mix-sizes",
     )
     sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes).withColumnRenamed("source", "_source")
+    targets = written(source_targets(sizes).withColumnRenamed("source", "_source"), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     copies = whole + (F.col("draw") < rate - whole).cast("long")
@@ -92,7 +92,8 @@ def plan(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id") -> DataFrame
 def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``.
 
-    Only the rates, one row per source, are joined to the documents.
+    Only the rates, one row per source, are joined to the documents.  They are a written
+    table, whose known size lets Spark broadcast them: a source's texts need not meet.
     """
     rates = (
         plan(docs, seed, id_col)
@@ -100,6 +101,7 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
         .agg(F.first("source_size").alias("__llm_size"), F.first("target").alias("__llm_target"))
         .withColumnRenamed("source", "__llm_source")
     )
+    rates = written(rates, "mix-rates")
     rate = F.when(F.col("__llm_size") > 0, F.col("__llm_target") / F.col("__llm_size")).otherwise(0.0)
     whole = F.floor(rate)
     copies = whole + (draw(F.col(id_col), F.col("text"), seed) < rate - whole).cast("long")
