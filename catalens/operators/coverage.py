@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalens.functions.numeric import pct
 from catalens.operators.evidence import Evidence, observe
+from catalens.operators.skew import salted_join
 
 
 def code_pairs(
@@ -110,8 +111,7 @@ def code_status(
     pairs = code_pairs(entity, link, link_key, code)
     shared = shared_codes(pairs, code).withColumn("shared", F.lit(True))
     judged = (
-        rows.filter(F.col(code).isNotNull())
-        .join(shared, code, "left")
+        salted_join(rows.filter(F.col(code).isNotNull()), shared, code, "left", ["id"])
         .select("id", code, F.when(F.col("shared"), duplicate).otherwise(unique).alias(status))
     )
     blank = rows.filter(F.col(code).isNull()).select("id", code, F.lit(unique).alias(status))
@@ -138,7 +138,8 @@ def coverage_gaps(
         f"'{missing}' as sample_type", "id", f"cast(null as string) as {code}", *carry
     )
     pairs = code_pairs(entity, link, link_key, code, carry)
-    sharing = pairs.join(shared_codes(pairs, code), code, "left_semi").selectExpr(
+    # A placeholder code may be held by a large share of all entities.
+    sharing = salted_join(pairs, shared_codes(pairs, code), code, "left_semi", ["id"]).selectExpr(
         f"'{duplicate}' as sample_type", "id", code, *carry
     )
     return without.union(sharing)

@@ -172,5 +172,5 @@ def duplicate_listing(
     )
     credit_names = credits.select(F.col("id").alias("credit"), F.col("name").alias("credit_name"))
     described = attach(listed, n, entity, "id")
-    named = attach_optional(described, n, described, credit_names, "credit")
+    named = attach_optional(described, credit_names, "credit")
     return named.orderBy(code, "id", "group_rank").limit(n)

@@ -4,7 +4,7 @@
 join per question, each table contributes small rows (key, bit), a single
 ``groupBy(key)`` ORs the bits together, and the entities take up the result in one join:
 
-* the shuffle carries a key and an int, nothing else;
+* the shuffle carries a key and a bigint, nothing else;
 * partial aggregation folds a key that holds any share of the rows into one row per
   task before the shuffle, so hot keys cost nothing;
 * both sides of the join have one row per key and are partitioned by it already, so no
@@ -20,7 +20,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_FLAGS = 31
+#: Flags that share one bigint mask; further flags go to further masks.
+MASK_BITS = 63
 
 
 @dataclass(frozen=True)
@@ -57,29 +58,33 @@ def observe(
     own = dict(flags or {})
     seen_flags = list(dict.fromkeys(name for e in evidence for name in e.flags))
     counts = list(dict.fromkeys(name for e in evidence for name in e.counts))
-    if len(seen_flags) > MAX_FLAGS:
-        raise ValueError(f"at most {MAX_FLAGS} flags fit one mask, got {len(seen_flags)}")
-    bit = {name: 1 << i for i, name in enumerate(seen_flags)}
+    bit = {name: (f"_mask{i // MASK_BITS}", 1 << i % MASK_BITS) for i, name in enumerate(seen_flags)}
+    masks = list(dict.fromkeys(mask for mask, _ in bit.values())) or ["_mask0"]
 
     def contribution(e: Evidence) -> DataFrame:
-        always = sum(bit[name] for name, cond in e.flags.items() if cond is None)
-        when = [
-            f"case when {cond} then {bit[name]} else 0 end"
-            for name, cond in e.flags.items()
-            if cond is not None
-        ]
+        def bits(mask: str) -> str:
+            own = {name: cond for name, cond in e.flags.items() if bit[name][0] == mask}
+            always = sum(bit[name][1] for name, cond in own.items() if cond is None)
+            when = [
+                f"case when {cond} then {bit[name][1]}L else 0L end"
+                for name, cond in own.items()
+                if cond is not None
+            ]
+            return " + ".join([f"{always}L", *when])
+
         rows = e.rows.selectExpr(
             f"{e.key} as {key}",
-            f"{' + '.join([str(always), *when])} as _mask",
+            *[f"{bits(mask)} as {mask}" for mask in masks],
             *[f"cast({e.counts.get(c, 0)} as bigint) as {c}" for c in counts],
         )
-        silent = not (always or e.counts)
-        return rows.where(f"{key} is not null{' and _mask <> 0' if silent else ''}")
+        silent = not (None in e.flags.values() or e.counts)
+        some = " or ".join(f"{mask} <> 0" for mask in masks)
+        return rows.where(f"{key} is not null{f' and ({some})' if silent else ''}")
 
     seen = (
         reduce(DataFrame.union, [contribution(e) for e in evidence])
         .groupBy(key)
-        .agg(F.bit_or("_mask").alias("_mask"), *[F.sum(c).alias(c) for c in counts])
+        .agg(*[F.bit_or(m).alias(m) for m in masks], *[F.sum(c).alias(c) for c in counts])
     )
     population = entity.selectExpr(
         f"id as {key}",
@@ -89,7 +94,10 @@ def observe(
     return population.join(seen, key, "left").selectExpr(
         key,
         *own,
-        *[f"cast(coalesce(_mask & {bit[name]} <> 0, false) as int) as {name}" for name in bit],
+        *[
+            f"cast(coalesce({mask} & {value}L <> 0, false) as int) as {name}"
+            for name, (mask, value) in bit.items()
+        ],
         *[f"coalesce({c}, 0) as {c}" for c in counts],
         *carry,
     )

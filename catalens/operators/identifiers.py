@@ -36,7 +36,7 @@ def presence_profile(
     """One row of presence figures; ``entities`` has a 0/1 column per identifier.
 
     The total is the number of entities, or with ``fanout`` the number of join rows
-    (see ``join_rows``).
+    (see ``join_rows``); those are decimals without places, as they outgrow a bigint.
     """
     total = "count(*)" if fanout is None else f"coalesce(sum({join_rows(fanout)}), 0)"
     sums = entities.selectExpr(
@@ -44,10 +44,10 @@ def presence_profile(
     )
     held = " + ".join(names)
     return sums.select(
-        F.expr("cast(total as bigint)").alias(f"total_{label}"),
+        F.col("total").alias(f"total_{label}"),
         *[F.col(name).alias(f"{label}_with_{name}") for name in names],
         *[
-            F.expr(f"cast(total - {name} as bigint)").alias(f"{label}_missing_{name}")
+            F.expr(f"total - {name}").alias(f"{label}_missing_{name}")
             for name in names
         ],
         *[pct(name, "total").alias(f"{name}_coverage_pct") for name in names],

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A sample of up to this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 10_000
-
 
 def bounded(df: DataFrame, n: int) -> DataFrame:
-    """Broadcast hint for a frame proven to hold at most ``n`` rows, if ``n`` is small."""
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    """A frame of at most ``n`` rows with the limit stated.
+
+    No row is lost; the limit gives Spark the size, n times the row width, by which its own
+    threshold chooses between a broadcast and a shuffled join.
+    """
+    return df.limit(n)
 
 
 def attach(sample: DataFrame, n: int, table: DataFrame, on: str) -> DataFrame:
@@ -24,38 +25,31 @@ def attach(sample: DataFrame, n: int, table: DataFrame, on: str) -> DataFrame:
     return table.join(bounded(sample, n), on)
 
 
-def attach_optional(
-    sample: DataFrame, n: int, keys: DataFrame, table: DataFrame, on: str
-) -> DataFrame:
-    """Left join of a sample with a table in which ``on`` is unique.
+def attach_optional(sample: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Left join of a sample with a narrow table in which ``on`` is unique.
 
-    ``keys`` is the sample's key column; the matching rows are picked out first and are
-    therefore no more than ``n`` themselves.
+    Shuffles the table's few columns; picking its rows out first would plan the sample,
+    and all that went into it, a second time.
     """
-    hits = table.join(bounded(keys.select(on), n), on, "left_semi")
-    return sample.join(bounded(hits, n), on, "left")
+    return sample.join(table, on, "left")
 
 
-def linked_names(
-    sample_keys: DataFrame,
-    n: int,
-    links: DataFrame,
-    on: str,
-    other: str,
-    named: DataFrame,
+def with_linked_names(
+    sample: DataFrame, links: DataFrame, on: str, other: str, named: DataFrame
 ) -> DataFrame:
-    """Names of everything linked to the sampled keys: (on, names = [(name, times)], sorted).
+    """``sample`` with ``names``: the names of everything linked to its ``on``, as sorted
+    [(name, times)], or NULL when there are none.
 
-    ``named`` holds (``other``, name).  Equal names are counted before they are
-    collected, so an entity linked to the same name again and again stays one entry.
+    ``named`` holds (``other``, name).  The links join onto the sample itself, which is
+    therefore planned once.  Equal names are counted before they are collected, so an
+    entity linked to the same name again and again stays one entry.
     """
-    wanted = links.join(bounded(sample_keys.select(on).distinct(), n), on, "left_semi")
-    per_name = (
-        wanted.join(named.filter(F.col("name").isNotNull()), other).groupBy(on, "name").count()
-    )
-    return per_name.groupBy(on).agg(
-        F.array_sort(F.collect_list(F.struct("name", "count"))).alias("names")
-    )
+    keys = sample.columns
+    linked = sample.join(links.select(on, other), on, "left").join(named, other, "left")
+    per_name = linked.groupBy(*keys, "name").count()
+    entry = F.when(F.col("name").isNotNull(), F.struct("name", "count"))
+    collected = per_name.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("names"))
+    return collected.withColumn("names", F.when(F.size("names") > 0, F.col("names")))
 
 
 def repeat_names(names: str, times: Sequence[str]) -> F.Column:

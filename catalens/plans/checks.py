@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.plans import kpis
-from catalens.plans.flags import coded_rows, recording_facts
+from catalens.plans.flags import coded_rows, shared_facts
 from catalens.plans.reports import ENTITIES
 from catalens.sources.catalogue import Catalogue
 
@@ -67,7 +67,7 @@ def data_checks(
     recordings: DataFrame | None = None,
 ) -> DataFrame:
     """check, status (ok, warn or fail), value."""
-    facts = recording_facts(cat) if recordings is None else recordings
+    facts = shared_facts(cat) if recordings is None else recordings
     ids = cat["artist_isni"].select("artist").union(cat["artist_ipi"].select("artist"))
     frames = [
         _some(coded_rows(cat, "isrc"), "some recording has an ISRC"),

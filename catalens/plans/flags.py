@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.operators.evidence import Evidence, observe
+from catalens.operators.skew import salted_join
 from catalens.sources.catalogue import Catalogue
+from catalens.sources.store import shared_table
 
 RECORDING_FLAGS = ("has_isrc", "has_iswc", "has_artist_id", "on_release")
 
@@ -48,7 +50,9 @@ def placed_tracks(cat: Catalogue, releases: DataFrame) -> DataFrame:
 def _identified_credits(cat: Catalogue) -> DataFrame:
     """Credits that name at least one artist with an ISNI or IPI."""
     artists = cat["artist_isni"].select("artist").union(cat["artist_ipi"].select("artist"))
-    named = cat["artist_credit_name"].join(artists.distinct(), "artist", "left_semi")
+    named = salted_join(
+        cat["artist_credit_name"], artists.distinct(), "artist", "left_semi", ["artist_credit"]
+    )
     credits = observe(
         cat["artist_credit"],
         [Evidence(named, "artist_credit", {"identified": None})],
@@ -64,7 +68,7 @@ def recording_facts(cat: Catalogue, needed: Iterable[str] = RECORDING_FLAGS) ->
     rows = cat["recording"].select("id", "artist_credit", "edits_pending")
     if "has_artist_id" in needed:
         identified = _identified_credits(cat).selectExpr("artist_credit", "true as identified")
-        rows = rows.join(identified, "artist_credit", "left")
+        rows = salted_join(rows, identified, "artist_credit", "left", ["id"])
         own["has_artist_id"] = "identified"
     evidence = []
     if "has_isrc" in needed:
@@ -72,7 +76,9 @@ def recording_facts(cat: Catalogue, needed: Iterable[str] = RECORDING_FLAGS) ->
     if "has_iswc" in needed:
         coded = [Evidence(coded_rows(cat, "iswc"), "work", {"coded": None})]
         works = observe(cat["work"], coded, key="entity1").where("coded = 1")
-        linked = cat["l_recording_work"].join(works.select("entity1"), "entity1", "left_semi")
+        linked = salted_join(
+            cat["l_recording_work"], works.select("entity1"), "entity1", "left_semi", ["entity0"]
+        )
         evidence.append(Evidence(linked, "entity0", {"has_iswc": None}))
     if "on_release" in needed:
         placed = placed_tracks(cat, cat["release"])
@@ -80,6 +86,11 @@ def recording_facts(cat: Catalogue, needed: Iterable[str] = RECORDING_FLAGS) ->
     return observe(rows, evidence, flags=own, carry=["artist_credit"])
 
 
+def shared_facts(cat: Catalogue) -> DataFrame:
+    """The recording facts written once, for several roll-ups to read."""
+    return shared_table(recording_facts(cat), "recording_facts")
+
+
 def artist_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame:
     """Settled persons: has_artist_id, has_isrc, has_iswc, on_release."""
     names = ("has_isrc", "has_iswc", "on_release")
@@ -142,11 +153,12 @@ def release_flags(
     )
     tracks = (
         cat["track"]
-        .select("recording", "medium")
+        .select("id", "recording", "medium")
         .join(cat["medium"].select(F.col("id").alias("medium"), "release"), "medium")
-        .select("recording", "release")
-        .join(facts.select(F.col("id").alias("recording"), *names), "recording")
+        .select("id", "recording", "release")
     )
+    by_recording = facts.select(F.col("id").alias("recording"), *names)
+    tracks = salted_join(tracks, by_recording, "recording", "inner", ["id"])
     return observe(
         settled(cat["release"]).join(groups, "release_group", "left"),
         [Evidence.of_flags(tracks, "release", names)],

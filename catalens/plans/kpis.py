@@ -6,7 +6,7 @@ Every KPI is ``build(cat, as_of=None, seed=42)``; ``as_of`` fills ``calculated_a
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,7 @@ from catalens.operators.identifiers import (
     presence_score,
 )
 from catalens.operators.links import inconsistency_shares, link_audit, link_state, unlinked_count
-from catalens.operators.lookup import attach, attach_optional, linked_names, repeat_names
+from catalens.operators.lookup import attach, attach_optional, repeat_names, with_linked_names
 from catalens.operators.overview import overview
 from catalens.plans.flags import (
     artist_flags,
@@ -120,6 +120,14 @@ def _stamp(as_of: AsOf, note: str) -> list[Column]:
     return [_calculated_at(as_of), F.lit(note).alias("scope_note")]
 
 
+def with_scope_note(view: DataFrame, note: str) -> DataFrame:
+    """A KPI with another scope note; marker rows keep theirs."""
+    if "scope_note" not in view.columns:
+        return view
+    own = F.when(F.col("scope_note") == SCOPE_MARKER, SCOPE_MARKER).otherwise(note)
+    return view.withColumn("scope_note", own)
+
+
 # --- overview ---------------------------------------------------------------------
 
 
@@ -160,17 +168,26 @@ def credited_persons(cat: Catalogue) -> DataFrame:
     )
 
 
+ISRC_GAPS = ("Recordings without ISRC", "Duplicate ISRCs")
+ISWC_GAPS = ("Works without ISWC", "Duplicate ISWCs")
+
+
 def kpi_isrc_coverage_samples(
-    cat: Catalogue, as_of: AsOf = None, seed: int = DEFAULT_SEED, n: int = 20
+    cat: Catalogue,
+    as_of: AsOf = None,
+    seed: int = DEFAULT_SEED,
+    n: int = 20,
+    kinds: Sequence[str] = ISRC_GAPS,
 ) -> DataFrame:
+    """``n`` rows of all gaps of the given kinds."""
     gaps = coverage_gaps(
         settled(cat["recording"]),
         cat["isrc"],
         "recording",
         "isrc",
-        ("Recordings without ISRC", "Duplicate ISRCs"),
+        ISRC_GAPS,
         carry=["artist_credit"],
-    )
+    ).filter(F.col("sample_type").isin(list(kinds)))
     rows = gaps.join(credited_persons(cat), "artist_credit").select(
         "sample_type", F.col("id").alias("recording_id"), "isrc", "artist"
     )
@@ -209,15 +226,15 @@ def _work_columns(cat: Catalogue) -> DataFrame:
 
 
 def kpi_iswc_coverage_samples(
-    cat: Catalogue, as_of: AsOf = None, seed: int = DEFAULT_SEED, n: int = 20
+    cat: Catalogue,
+    as_of: AsOf = None,
+    seed: int = DEFAULT_SEED,
+    n: int = 20,
+    kinds: Sequence[str] = ISWC_GAPS,
 ) -> DataFrame:
-    rows = coverage_gaps(
-        settled(cat["work"]),
-        cat["iswc"],
-        "work",
-        "iswc",
-        ("Works without ISWC", "Duplicate ISWCs"),
-    ).withColumnRenamed("id", "work_id")
+    """``n`` rows of all gaps of the given kinds."""
+    gaps = coverage_gaps(settled(cat["work"]), cat["iswc"], "work", "iswc", ISWC_GAPS)
+    rows = gaps.filter(F.col("sample_type").isin(list(kinds))).withColumnRenamed("id", "work_id")
     keys = ["sample_type", "work_id", "iswc"]
     sample = seeded_top_k(rows, [], keys, n, seed)
     described = attach(sample, n, _work_columns(cat), "work_id")
@@ -458,18 +475,16 @@ def rec_on_release_without_work_samples(
         F.col("name").alias("release_group_name"),
         F.col("type").alias("release_group_type"),
     )
-    works = linked_names(
+    sample = with_linked_names(
         sample,
-        n,
         cat["l_recording_work"].withColumnRenamed("entity0", "recording_id"),
         "recording_id",
         "entity1",
         cat["work"].select(F.col("id").alias("entity1"), "name"),
     )
     base = attach(attach(sample, n, recordings, "recording_id"), n, releases, "release_id")
-    described = attach_optional(base, n, base, credits, "credit")
-    described = attach_optional(described, n, base, groups, "release_group")
-    described = described.join(F.broadcast(works), "recording_id", "left")
+    described = attach_optional(base, credits, "credit")
+    described = attach_optional(described, groups, "release_group")
     return seeded_top_k(described, order, keys, n, seed).select(
         "recording_id",
         "recording_name",
@@ -531,17 +546,14 @@ def work_without_recording_samples(
     )
     keys, order = ["work_id", "iswc"], [F.col("recording_count")]
     sample = seeded_top_k(rows, order, keys, n, seed)
-    recordings = linked_names(
+    sample = with_linked_names(
         sample,
-        n,
         cat["l_recording_work"].withColumnRenamed("entity1", "work_id"),
         "work_id",
         "entity0",
         cat["recording"].select(F.col("id").alias("entity0"), "name"),
     )
-    described = attach(sample, n, _work_columns(cat), "work_id").join(
-        F.broadcast(recordings), "work_id", "left"
-    )
+    described = attach(sample, n, _work_columns(cat), "work_id")
     return seeded_top_k(described, order, keys, n, seed).select(
         "work_id",
         "work_name",
@@ -574,7 +586,6 @@ def work_recording_inconsistencies(
         )
         .select("*", _calculated_at(as_of))
         .orderBy(F.desc("count"), "inconsistency_type")
-        .limit(2)
     )
 
 
@@ -607,14 +618,11 @@ def _confidence_sample(
 ) -> DataFrame:
     order = [F.desc("phase2_confidence_score")]
     sample = seeded_top_k(confidence_scored(entity, cat, recordings), order, ["id"], n, seed)
-    described = attach(sample, n, cat[entity], "id")
     if code is not None:
         # Of several codes the smallest, so that the choice is repeatable.
-        held = cat[code].withColumnRenamed(entity, "id").join(
-            F.broadcast(sample.select("id")), "id", "left_semi"
-        )
-        codes = held.groupBy("id").agg(F.min(code).alias(code))
-        described = described.join(F.broadcast(codes), "id", "left")
+        held = cat[code].select(F.col(entity).alias("id"), code)
+        sample = sample.join(held, "id", "left").groupBy(*sample.columns).agg(F.min(code).alias(code))
+    described = attach(sample, n, cat[entity], "id")
     top = seeded_top_k(described, order, ["id"], n, seed)
     return top.select(
         F.col("id").alias(f"{entity}_id"),
@@ -775,12 +783,17 @@ def register(
     as_of: AsOf = None,
     seed: int = DEFAULT_SEED,
     recordings: DataFrame | None = None,
+    scope_note: str | None = None,
 ) -> list[str]:
     """Publish every KPI as a temporary view of its name; running it again replaces them.
 
-    ``recordings`` are ready recording facts for the confidence views to share.
+    ``recordings`` are ready recording facts for the confidence views to share;
+    ``scope_note`` stands in for the default notes.
     """
     for kpi in KPIS.values():
         shared = {"recordings": recordings} if kpi.name.startswith("confidence_") else {}
-        kpi.build(cat, as_of=as_of, seed=seed, **shared).createOrReplaceTempView(kpi.name)
+        view = kpi.build(cat, as_of=as_of, seed=seed, **shared)
+        if scope_note is not None:
+            view = with_scope_note(view, scope_note)
+        view.createOrReplaceTempView(kpi.name)
     return list(KPIS)

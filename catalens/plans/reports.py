@@ -14,11 +14,12 @@ from catalens.operators.identifiers import presence_labels
 from catalens.operators.lookup import attach
 from catalens.operators.overview import row_counts
 from catalens.plans import kpis
-from catalens.plans.flags import recording_facts
+from catalens.plans.flags import shared_facts
 from catalens.sources.catalogue import Catalogue
 
 ENTITIES = {"Artist": "artist", "Work": "work", "Recording": "recording", "Release": "release"}
 
+# The report's column names.
 DUPLICATE_COLUMNS = [
     "isrc",
     "duplicate_count",
@@ -143,10 +144,18 @@ def inconsistency_list(cat: Catalogue) -> DataFrame:
 def recordings_without_isrc(
     cat: Catalogue, n: int = 20, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """Sampled recordings that lack an ISRC, at most ``n``."""
+    """Recordings that lack an ISRC, ``n`` chosen from all of them."""
+    rows = kpis.kpi_isrc_coverage_samples(cat, seed=seed, n=n, kinds=kpis.ISRC_GAPS[:1])
+    return rows.select("recording_name", "artist_name", "recording_gid")
+
+
+def sampled_recordings_without_isrc(
+    cat: Catalogue, n: int = 20, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """Those of the coverage samples that lack an ISRC, at most ``n``."""
     return (
         kpis.kpi_isrc_coverage_samples(cat, seed=seed)
-        .filter(F.col("sample_type") == "Recordings without ISRC")
+        .filter(F.col("sample_type") == kpis.ISRC_GAPS[0])
         .orderBy(F.asc_nulls_last("recording_gid"), F.asc_nulls_last("artist_gid"))
         .limit(n)
         .select("recording_name", "artist_name", "recording_gid")
@@ -154,16 +163,25 @@ def recordings_without_isrc(
 
 
 def works_without_iswc(cat: Catalogue, n: int = 20, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Sampled works that lack an ISWC, at most ``n``."""
+    """Works that lack an ISWC, ``n`` chosen from all of them."""
+    rows = kpis.kpi_iswc_coverage_samples(cat, seed=seed, n=n, kinds=kpis.ISWC_GAPS[:1])
+    return rows.select("work_name", "work_type", "language_code", "work_gid")
+
+
+def sampled_works_without_iswc(
+    cat: Catalogue, n: int = 20, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """Those of the coverage samples that lack an ISWC, at most ``n``."""
     return (
         kpis.kpi_iswc_coverage_samples(cat, seed=seed)
-        .filter(F.col("sample_type") == "Works without ISWC")
+        .filter(F.col("sample_type") == kpis.ISWC_GAPS[0])
         .orderBy(F.asc_nulls_last("work_gid"))
         .limit(n)
         .select("work_name", "work_type", "language_code", "work_gid")
     )
 
 
+# The report's column names.
 LEVEL_COLUMNS = [
     "artist_name",
     "artist_gid",
@@ -218,9 +236,9 @@ def artists_at_level(
 def confidence_levels(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame:
     """One row per entity kind: both phases' percentages, the mean and the overall level.
 
-    All four rest on the same recording facts, so those are built once.
+    All four rest on the same recording facts, so those are built and written once.
     """
-    facts = recording_facts(cat) if recordings is None else recordings
+    facts = shared_facts(cat) if recordings is None else recordings
 
     def row(label: str, entity: str) -> DataFrame:
         levels = [f"{p}_{level}" for p in ("phase1", "phase2") for level in ("high", "medium", "low")]

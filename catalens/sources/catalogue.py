@@ -46,13 +46,21 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         raise ContractError(f"table {table}: {'; '.join(wrong)}")
     columns = [
         f.name
-        if actual[f.name] == f.dataType or isinstance(actual[f.name], _TIMES)
+        if actual[f.name] == f.dataType
         else f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}"
         for f in wanted
     ]
     return df if columns == list(actual) else df.selectExpr(*columns)
 
 
+def require_columns(df: DataFrame, table: str, names: Iterable[str]) -> DataFrame:
+    """``df`` if it has all the columns, else ContractError."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ContractError(f"table {table}: missing columns {missing}")
+    return df
+
+
 def load_catalogue(
     spark: SparkSession,
     directory: str,

@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from catalens.sources.catalogue import conform
+from catalens.sources.catalogue import conform, require_columns
 
 Read = Callable[[str], DataFrame]
 
-# The columns the rules below use; a declared schema spares a look into every file first.
+# The columns the rules below use, and their types.
 SOURCES = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
@@ -203,7 +204,14 @@ class DerivedCatalogue(Mapping[str, DataFrame]):
     def _read(self, source: str) -> DataFrame:
         if source not in self._sources:
             path = f"{self._directory}/{source}.parquet"
-            self._sources[source] = self._spark.read.schema(SOURCES[source]).parquet(path)
+            wanted = T.StructType.fromDDL(SOURCES[source])
+            rows = require_columns(self._spark.read.parquet(path), source, wanted.names)
+            self._sources[source] = rows.select(
+                *[
+                    F.col(f.name) if rows.schema[f.name].dataType == f.dataType else F.col(f.name).cast(f.dataType)
+                    for f in wanted.fields
+                ]
+            )
         return self._sources[source]
 
     def __getitem__(self, table: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +15,19 @@ from catalens.sources.contract import RUN_LOG
 
 _OPTIONS = {
     "parquet": {},
-    # Quotes inside a field are doubled, as spreadsheets expect.
-    "csv": {"header": "true", "escape": '"'},
+    # Quotes inside a field are doubled, as spreadsheets expect; blanks at the ends stay,
+    # and NULL is told from empty text.
+    "csv": {
+        "header": "true",
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        "nullValue": "\\N",
+        "emptyValue": '""',
+    },
     "json": {"ignoreNullFields": "false"},
 }
+_READ_OPTIONS = {"csv": {**_OPTIONS["csv"], "emptyValue": "", "multiLine": "true"}}
 
 
 def export(df: DataFrame, path: str, fmt: str) -> None:
@@ -39,6 +49,24 @@ def export(df: DataFrame, path: str, fmt: str) -> None:
     df.write.mode("overwrite").options(**_OPTIONS[fmt]).format(fmt).save(path)
 
 
+def read_export(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    """What ``export`` wrote of a frame with ``schema``."""
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    flat = [
+        T.StructField(f.name, T.StringType()) if isinstance(f.dataType, nested) else f
+        for f in schema.fields
+    ]
+    rows = spark.read.options(**_READ_OPTIONS["csv"]).schema(T.StructType(flat)).csv(path)
+    return rows.select(
+        *[
+            F.from_json(f.name, f.dataType).alias(f.name) if isinstance(f.dataType, nested) else f.name
+            for f in schema.fields
+        ]
+    )
+
+
 def upsert_by_key(
     target: DataFrame, updates: DataFrame, key: str | Sequence[str], latest: str | None = None
 ) -> DataFrame:
@@ -52,7 +80,10 @@ def upsert_by_key(
         rest = [c for c in updates.columns if c not in keys and c != latest]
         newest = updates.groupBy(*keys).agg(F.max(F.struct(latest, *rest)).alias("_newest"))
         updates = newest.select(*keys, "_newest.*").select(*updates.columns)
-    return target.join(updates, keys, "left_anti").unionByName(updates)
+    # NULL keys match each other, so a key is never there twice.
+    fresh = updates.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    return target.join(fresh, same, "left_anti").unionByName(updates)
 
 
 def append_run_log(
@@ -78,13 +109,18 @@ def shared_table(df: DataFrame, name: str, folder: str | None = None) -> DataFra
     """``df`` written once to a folder all executors share, and read back.
 
     Used for a frame that many KPIs read: the lineage ends here, so a lost executor
-    costs a re-read of a file rather than the whole computation.  The folder is the
-    session's spark.checkpoint.dir; another is for sessions that set none.
+    costs a re-read of a file rather than the whole computation.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or folder
+    path = f"{shared_folder(df.sparkSession, folder)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """``folder``, else the session's spark.checkpoint.dir, else its warehouse: folders that
+    all executors share."""
+    for name in ("spark.checkpoint.dir", "spark.sql.warehouse.dir"):
+        folder = folder or spark.conf.get(name, None)
     if not folder:
         raise ValueError("spark.checkpoint.dir names no shared folder for intermediate tables")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return folder.rstrip("/")

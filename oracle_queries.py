@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from catalens.plans.kpis import KPIS
+
 SEED = 42
 
 # The catalogue derived from the test tables, one defining query per table.
@@ -365,6 +367,29 @@ def _coverage(entities: str, population: str, code: str, link_key: str) -> str:
           (select cast(coalesce(sum(sharers), 0) as bigint) from dup_{code}) as sharing)"""
 
 
+def _isrc_missing(n: int) -> str:
+    order = key("sample_type", "recording_id", "artist", "isrc")
+    return f"""
+        select recording_name, artist_name, recording_gid from (
+          select 'Recordings without ISRC' as sample_type, r.id as recording_id,
+            r.name as recording_name, r.gid as recording_gid, a.name as artist_name,
+            a.id as artist, cast(null as string) as isrc
+          from srec r join credited n on n.recording = r.id join artist a on a.id = n.artist
+          where a.type = 1 and r.id not in (select recording from isrc))
+        order by {order}, recording_id, artist limit {n}"""
+
+
+def _iswc_missing(n: int) -> str:
+    order = key("sample_type", "id", "iswc")
+    return f"""
+        select work_name, work_type, language_code, work_gid from (
+          select 'Works without ISWC' as sample_type, id, name as work_name, gid as work_gid,
+            cast(type as bigint) as work_type, cast(null as bigint) as language_code,
+            cast(null as string) as iswc
+          from swork where id not in (select work from iswc))
+        order by {order}, id limit {n}"""
+
+
 def _isrc_samples() -> str:
     order = key("sample_type", "recording_id", "artist", "isrc")
     return f"""
@@ -807,11 +832,13 @@ BODIES = {
     "flag_discrimination": _discrimination("artist_scored"),
     "flag_discrimination_samples": _discrimination(f"({ARTIST_SAMPLES})"),
     "inconsistency_list": INCONSISTENCIES,
-    "recordings_without_isrc_list": f"""
+    "recordings_without_isrc_list": _isrc_missing(20),
+    "works_without_iswc_list": _iswc_missing(20),
+    "recordings_without_isrc_sampled": f"""
         select recording_name, artist_name, recording_gid from ({_isrc_samples()})
         where sample_type = 'Recordings without ISRC'
         order by recording_gid, artist_gid limit 5""",
-    "works_without_iswc_list": f"""
+    "works_without_iswc_sampled": f"""
         select work_name, work_type, language_code, work_gid from ({_iswc_samples()})
         where sample_type = 'Works without ISWC' order by work_gid limit 5""",
     "low_confidence_artists": _at_level("Low", "asc"),
@@ -831,4 +858,10 @@ BODIES = {
           avg(phase1_high_percentage) as avg_phase1_high_pct from ({LEVELS}) group by 1, 2""",
 }
 
+BODIES["published_views"] = " union all ".join(
+    f"select '{name}' as view_name, '{kpi.description}' as description, "
+    f"(select count(*) from ({BODIES[name]})) as row_count"
+    for name, kpi in KPIS.items()
+)
+
 ORACLE = {name: sql(body) for name, body in BODIES.items()}

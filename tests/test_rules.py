@@ -184,11 +184,6 @@ def test_observe(spark):
     assert rows[3] == {"id": 3, "north": 1, "linked": 0, "coded": 0, "n": 0, "area": 9}
 
 
-def test_observe_refuses_too_many_flags(spark):
-    df = spark.range(1)
-    with pytest.raises(ValueError, match="31"):
-        observe(df, [Evidence(df, "id", {f"f{i}": None for i in range(32)})])
-
 
 def test_score_histogram_bins(spark):
     scores = ["0.0", "0.199", "0.2", "0.399", "0.4", "0.6", "0.799", "0.8", "1.0"]

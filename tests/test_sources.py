@@ -98,8 +98,11 @@ def test_export_replaces_and_rejects(spark, tmp_path):
         store.export(spark.range(5).withColumn("names", F.array()), path, fmt)
         store.export(df, path, fmt)
     assert sorted(spark.read.parquet(str(tmp_path / "parquet")).collect()) == sorted(df.collect())
-    text = spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv"))
+    text = spark.read.options(header="true", escape='"', nullValue="\\N").csv(str(tmp_path / "csv"))
     assert {r.names for r in text.collect()} == {'["say \\"hi\\"","b"]', None}
+    for fmt in ("parquet", "csv", "json"):
+        back = store.read_export(spark, str(tmp_path / fmt), fmt, df.schema)
+        assert sorted(back.collect()) == sorted(df.collect())
     with pytest.raises(ValueError, match="format"):
         store.export(df, str(tmp_path / "x"), "xlsx")
 
