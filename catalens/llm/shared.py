@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import site
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +19,26 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it by themselves.
+
+    They do if it is installed, on PYTHONPATH, or in the folder Spark was started from.
+    """
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
+    if context.applicationId in _SHIPPED or any(p and Path(p).resolve() == root for p in places):
+        return
+    _SHIPPED.add(context.applicationId)
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='catalens-')}/catalens", "zip", root, "catalens")
+    context.addPyFile(archive)  # a file of the driver's, which Spark serves to the executors
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +47,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
     Both are shared by all executors, so what is written there outlives any of them.
     """
+    ship_package(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
@@ -52,6 +77,7 @@ def map_texts(
     ``new`` gives each new column's Spark and Arrow type.  ``start`` runs once a task and
     returns the function from a batch of texts to the new columns.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("__llm_text"))
     kept = rows.drop("__llm_text").schema
     schema = T.StructType([*kept.fields, *[f for name, (kind, _) in new.items() for f in T.StructType.fromDDL(f"`{name}` {kind}").fields]])

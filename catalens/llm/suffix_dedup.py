@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.shared import written
+from catalens.llm.shared import ship_package, written
 
 LENGTH = 400
 GRAM = 200
@@ -296,6 +296,7 @@ def _arrow(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]]
         for columns in work(batches):
             yield pa.RecordBatch.from_pydict(columns)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
