@@ -1,7 +1,7 @@
 """Token ids in binary shards, with document boundaries in Elias-Fano code.
 
 A shard holds the documents of one range of ids, in ascending order, as one concatenated
-id array.  Its boundaries are an Elias-Fano sequence: the low bits of every end packed
+id array; a range of more than ``SHARD_BYTES`` goes on in further shards.  Its boundaries are an Elias-Fano sequence: the low bits of every end packed
 side by side, the high bits in unary, and the place of every ``STEP``-th set bit as a
 select directory.  ``ends[i]`` is found without a table of 64-bit offsets.
 
@@ -9,7 +9,8 @@ Shard layout, little-endian: header (``HEADER``), then the document ids (int64,
 mask of nulls), low bits, high bits, select directory, token ids (16 bits each if the
 vocabulary allows, else 32).  A shard is written under a temporary name and renamed, so a
 task that is run again, or twice at a time, leaves one whole file.  Spark's range
-partitioning makes the shards; the driver sees one short row for each.
+partitioning makes the ranges; the driver sees one short row for each shard.  What a task
+holds is bounded by a shard and a batch of texts, however large the ranges.
 
 Defined cases: a null text is empty and has the end id alone.  A null document id comes
 first and is read back as null.  Rows of one id are ordered by their text's hash and are
@@ -37,6 +38,8 @@ MAGIC = b"EFIDS01\0"
 #: magic, documents, tokens, low bits per end, bytes per id, words of high bits.
 HEADER = struct.Struct("<8sQQIIQ")
 STEP = 256
+#: Bytes of ids at which a shard ends.
+SHARD_BYTES = 64 << 20
 #: Words whose ids a worker remembers before it starts afresh.
 REMEMBERED = 600_000
 
@@ -191,12 +194,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-SHARDS = "shard int, docs long, tokens long"
+SHARDS = "shard int, part int, docs long, tokens long"
 READ_NAMES = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
-def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards; (shard, docs, tokens) for each, in the order of ids.
+def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write the shards; (shard, part, docs, tokens) for each, in the order of ids.
 
     ``folder`` must be one that all executors share.
     """
@@ -206,48 +209,58 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, coder = TaskContext.get(), encoder(vocabulary)
-        shard = context.partitionId()
-        doc_ids, sizes, ids = [], [], []
+        shard, part = context.partitionId(), 0
+        doc_ids: list[int | None] = []
+        ids: list[bytes] = []
+        held = 0
+
+        def finished() -> pa.RecordBatch:
+            sizes = [len(c) // coder.id_bytes for c in ids]
+            store, root = pafs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            final = shard_path(root, shard, part)
+            own = f"{final}.{context.taskAttemptId()}.tmp"
+            with store.open_output_stream(own) as out:
+                for piece in (*shard_parts(doc_ids, np.cumsum(sizes), coder.id_bytes), *ids):
+                    out.write(piece)
+            store.move(own, final)
+            return pa.RecordBatch.from_pydict(
+                {"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "docs": [len(doc_ids)], "tokens": [sum(sizes)]}
+            )
+
         for batch in batches:
-            # A shard is one range partition of bounded size, as are all Spark partitions.
-            coded = [coder.encode(t.as_py()) for t in batch.column("text")]
-            doc_ids += batch.column("doc_id").to_pylist()
-            sizes += [len(c) // coder.id_bytes for c in coded]
-            ids += coded
-        if not doc_ids:
-            return
-        store, root = pafs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        final = f"{root}/shard-{shard:06d}.bin"
-        own = f"{final}.{context.taskAttemptId()}.tmp"
-        with store.open_output_stream(own) as out:
-            for part in shard_parts(doc_ids, np.cumsum(sizes), coder.id_bytes):
-                out.write(part)
-            for part in ids:
-                out.write(part)
-        store.move(own, final)
-        yield pa.RecordBatch.from_pydict(
-            {"shard": pa.array([shard], pa.int32()), "docs": [len(doc_ids)], "tokens": [sum(sizes)]}
-        )
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                coded = coder.encode(text.as_py())
+                if ids and held + len(coded) > shard_bytes:
+                    yield finished()
+                    doc_ids, ids, held, part = [], [], 0, part + 1
+                doc_ids.append(doc_id)
+                ids.append(coded)
+                held += len(coded)
+        if ids:
+            yield finished()
 
     # Written at once: the files and the list of them belong together.
     return written(ranges.mapInArrow(run, SHARDS), "shards")
 
 
+def shard_path(root: str, shard: int, part: int) -> str:
+    return f"{root}/shard-{shard:06d}-{part:06d}.bin"
+
+
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start (over all shards), n_tokens, ids_crc32."""
-    listed = shards.orderBy("shard").collect()  # one short row per shard
-    starts, before = {}, 0
-    for row in listed:
-        starts[row.shard] = before
+    listed, before = [], 0
+    for row in shards.orderBy("shard", "part").collect():  # one short row per file
+        listed.append((row.shard, row.part, before))
         before += row.tokens
-    frame = shards.sparkSession.createDataFrame([(s, b) for s, b in starts.items()], "shard int, base long")
-    frame = frame.repartition(max(1, len(listed)), "shard")
+    frame = shards.sparkSession.createDataFrame(listed, "shard int, part int, base long")
+    frame = frame.repartition(max(1, len(listed)), "shard", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
         for row in (r for batch in batches for r in batch.to_pylist()):
-            with store.open_input_stream(f"{root}/shard-{row['shard']:06d}.bin") as source:
+            with store.open_input_stream(shard_path(root, row["shard"], row["part"])) as source:
                 shard = Shard(source.read())
             ends = shard.ends.all().astype(np.int64)
             begins = np.concatenate(([0], ends[:-1]))

@@ -67,6 +67,18 @@ def test_repeated_ids_are_whole(spark, documents):
     assert len(got) == 50 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
 
 
+def test_large_ranges_go_on_in_further_shards(spark, documents, tmp_path):
+    rows = [(i, f"word {i} " * (i % 7)) for i in range(300)]
+    path = public_tokenizers.path(queries.WORD_VOCABULARY)
+    folder = f"file://{tmp_path}/shards"
+    shards = token_output.write_shards(documents(rows), path, folder, shard_bytes=200)
+    listed = shards.collect()
+    assert sum(r.docs for r in listed) == 300 and any(r.part > 1 for r in listed)
+    assert all(r.docs == 1 or 2 * r.tokens <= 200 for r in listed)
+    got = sorted((tuple(r) for r in token_output.read_shards(shards, folder).collect()), key=lambda r: r[1])
+    assert got == encoded_documents(rows)
+
+
 def test_empty_table(spark, documents):
     docs = documents([(1, "a")]).limit(0)
     assert token_output.encode_corpus(docs, public_tokenizers.path(queries.WORD_VOCABULARY)).collect() == []
