@@ -7,8 +7,8 @@ known not to be listed.  DataFrame functions only.
 
 Sizes: the filter has ``BITS_PER_URL`` bits for each listed URL, so it is about a tenth of
 the list.  Neither side is hinted for broadcast; Spark's own size threshold decides, and
-beyond it both joins are shuffled on hashes of the URL, which AQE can split if one URL
-holds many rows.
+beyond it both joins are shuffled on hashes of the URL.  List and filter are written
+tables, so each join has a shuffle on either side and AQE can split a URL of many rows.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, matches no
 rule and is never listed.  Repeated pages are judged one by one.  An empty list allows all.
@@ -108,7 +108,7 @@ def listed_flags(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """
     listed = written(listed.select("canonical").where("canonical is not null").distinct(), "listed")
     blocks = max(1, -(-listed.count() * BITS_PER_URL // BLOCK_BITS))
-    bloom = bloom_table(listed, "canonical", blocks)
+    bloom = written(bloom_table(listed, "canonical", blocks), "bloom")
     url = F.col("canonical")
     probed = pages.withColumns(
         {"_block": _block(url, blocks)} | {f"_m{i}": m for i, m in enumerate(_masks(url))}

@@ -50,6 +50,35 @@ def test_empty_tables(spark, table_dir):
     assert queries.op1_url_filter(spark, folder).collect() == []
 
 
+def test_hot_urls_are_split(spark):
+    """A URL with half of all rows, and as many without any, are dealt out over tasks."""
+    every = spark.range(40_000).selectExpr(
+        "id", "case when id % 2 = 0 then 'hot.org/' when id % 4 = 1 then concat('h', id, '.org/') end as canonical"
+    )
+    listed = every.where("id % 6 = 0 or id % 8 = 1").select("canonical")
+    settings = {
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        flagged = url_filter.listed_flags(every.repartition(8), listed)
+        rows = flagged.collect()
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert plan.count("skew=true") >= 2
+    assert len(rows) == 40_000
+    assert all(r.listed == (r.canonical is not None and (r.id % 2 == 0 or r.id % 8 == 1)) for r in rows)
+
+
 def test_no_false_positives_and_no_misses(spark):
     """More URLs than one block holds: flags are exactly membership in the list."""
     every = spark.range(3000).selectExpr("id", "concat('h', id, '.org/') as canonical")
