@@ -5,7 +5,9 @@ fingerprints within half the radius; two that lie within the radius meet in some
 A variant is shared by 65 distinct fingerprints at most (radius 2), so no group is large,
 however many documents share a fingerprint.  Within a group each member is paired with
 the smallest one; the pairs are deduplicated, verified, and joined into components by
-alternating large-star and small-star rounds, each written to the shared folder.
+alternating large-star and small-star rounds, each written to the shared folder.  The
+smallest neighbours are written too: a side that came straight from an aggregate on the
+join's key would have no shuffle of its own, and AQE could not split a hub of many edges.
 
 Defined cases: a null or white-space text has fingerprint zero and links like any other.
 Texts of fewer than ``SHINGLE`` words are one shingle.  A null id gets a row; it never
@@ -92,11 +94,12 @@ def star_components(pairs: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
@@ -111,7 +114,7 @@ def components(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
         "fp", F.coalesce("root", "fp").alias("root"), "_id"
     )
     named = written(named, "named")
-    ids = named.groupBy("root").agg(F.min("_id").alias("component_id"))
+    ids = written(named.groupBy("root").agg(F.min("_id").alias("component_id")), "ids")
     by_print = named.join(ids, "root").select("fp", "root", "component_id")
     return prints.join(by_print, "fp")
 
