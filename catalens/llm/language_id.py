@@ -121,7 +121,8 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.model.langs:
+        # The pattern takes numerals like ½ along; they alone are no letters.
+        if not words or not self.model.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         places = self.places
         if len(places) > REMEMBERED:

@@ -37,6 +37,12 @@ def test_defined_cases(spark, documents):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 4, 5, 6, 7]
 
 
+def test_numerals_are_no_letters(spark, documents):
+    model = language_id.train(documents(labelled()))
+    got = language_id.predict(documents([(1, "½ ² Ⅷ 7"), (2, "½ hat")]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "und", 2: "en"}
+
+
 def test_unseen_words_back_off_to_shorter_grams(spark, documents):
     model = language_id.train(documents(labelled()))
     five = model.levels[5]["^that"]
