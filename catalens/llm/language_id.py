@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalens.llm.shared import map_texts, written
+from catalens.llm.shared import map_texts, release_memory, written
 
 SAMPLE_DOCS = 1500
 WORDS_KEPT = 8000
@@ -191,5 +191,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: f
         for texts in batches:
             found = [scorer.predict(t if isinstance(t, str) else None) for t in texts]
             yield pd.Series([f[0] != UNKNOWN and f[1] >= min_score for f in found], dtype=bool)
+        release_memory()
 
     return docs.where(passes(F.col(text_col)))

@@ -65,6 +65,12 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
+def release_memory() -> None:
+    """For the end of a task: workers live on between tasks and stages, and Arrow would keep
+    the buffers of the largest batches from the JVM and from whatever the worker does next."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(
     docs: DataFrame,
     text_col: str,
@@ -88,5 +94,6 @@ def map_texts(
             columns = work(batch.column(batch.num_columns - 1).to_pylist())
             arrays = [pa.array(c, type=kind) for c, (_, kind) in zip(columns, new.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
+        release_memory()
 
     return rows.mapInArrow(run, schema)

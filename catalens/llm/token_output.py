@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.shared import work_folder, written
+from catalens.llm.shared import release_memory, work_folder, written
 
 END_ID = 1
 MAGIC = b"EFIDS01\0"
@@ -239,6 +239,9 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
                 held += len(coded)
         if ids:
             yield finished()
+        # The words of this range of documents are not kept for other tasks of the worker.
+        coder.clear()
+        release_memory()
 
     # Written at once: the files and the list of them belong together.
     return written(ranges.mapInArrow(run, SHARDS), "shards")
@@ -267,6 +270,7 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
             crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(begins, ends)]
             columns = [shard.doc_ids, begins + row["base"], ends - begins, crc]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=READ_NAMES)
+        release_memory()
 
     return frame.mapInArrow(run, ", ".join(f"{name} long" for name in READ_NAMES))
 
