@@ -131,8 +131,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = near_duplicates(docs, id_col, text_col)
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_key").alias("text_key"))
-    best = rows.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.id").alias("__llm_id"), F.col("w.text_key").alias("__llm_key"))
-    best = best.distinct()
+    best = rows.groupBy("root").agg(F.min(order).alias("w")).select("w.id", "w.text_key")
+    return rows_chosen(docs, best, id_col, text_col)
+
+
+def rows_chosen(docs: DataFrame, best: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row for each id and text key of ``best``."""
+    best = best.select(F.col("id").alias("__llm_id"), F.col("text_key").alias("__llm_key")).distinct()
     keyed = docs.withColumn("__llm_text_key", text_key(F.col(text_col)))
     kept = keyed.join(best, F.col(id_col).eqNullSafe(F.col("__llm_id")) & (F.col("__llm_text_key") == F.col("__llm_key")))
     # Rows with the same id and text are one document written twice.
