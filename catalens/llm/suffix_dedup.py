@@ -17,8 +17,11 @@ Consecutive windows with one anchor make a row: the anchor's gram, the windows'
    lies in the same stretch of both orders: at least length - o bytes shared after the
    anchor, and o before it.  That takes time in proportion to rows times offsets, never pairs.
 4. A gram with more than ``SPLIT_ABOVE`` contexts is split: its windows are dealt out by
-   offset, ``PIECE`` at a time, and by the bytes common to the piece, so a passage that very
-   many documents share does not meet in one task.
+   offset, ``PIECE`` at a time, and their bytes stay where they are.  Pieces are counted by
+   hash; those that occur twice are repeated throughout.  Of pieces that differ but have
+   the bytes common to all their windows in common, as at the end of a passage with different
+   surroundings, the single windows are counted by hash.  So a passage that very many
+   documents share meets in counts only, and in joins that AQE can split.
 
 Keys of texts are broadcast only while they number at most ``BROADCAST_KEYS`` (16 bytes
 each); beyond that the same joins are shuffled.
@@ -316,12 +319,11 @@ def anchor_table(docs: DataFrame, text_col: str, length: int, gram: int) -> Data
     return _arrow(_keyed(docs.select(text_col), text_col).where(long_enough).select(*KEY, text_col), ANCHORS, work)
 
 
-CONTEXTS = "part long, __llm_k1 long, __llm_k2 long, start long, windows long, offset long, once boolean, bytes binary"
+CONTEXTS = "gram long, __llm_k1 long, __llm_k2 long, start long, windows long, offset long, once boolean, bytes binary"
 
 
 def context_table(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted row of ``texts`` (key, text, wanted), with the ``part`` that
-    brings equal windows together: the gram, or for split ones a piece of it."""
+    """The bytes of each wanted row of ``texts`` (key, text, wanted)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -329,27 +331,50 @@ def context_table(texts: DataFrame, length: int) -> DataFrame:
             for row in batch.to_pylist():
                 data = row["text"].encode()
                 for w in row["wanted"]:
-                    for part, start, windows, offset in _parts(data, w, length):
-                        values = (part, row[KEY[0]], row[KEY[1]], start, windows, offset, w["once"], data[start : start + windows + length - 1])
-                        for column, value in zip(out.values(), values):
-                            column.append(value)
+                    start, windows = w["start"], w["windows"]
+                    values = (w["gram"], row[KEY[0]], row[KEY[1]], start, windows, w["offset"], w["once"], data[start : start + windows + length - 1])
+                    for column, value in zip(out.values(), values):
+                        column.append(value)
             yield {k: pa.array(v, pa.bool_() if k == "once" else pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()}
 
     return _arrow(texts, CONTEXTS, work)
 
 
-def _parts(data: bytes, wanted: dict, length: int) -> Iterator[tuple[int, int, int, int]]:
-    start, windows, offset, gram = (wanted[k] for k in ("start", "windows", "offset", "gram"))
-    if not wanted["split"]:
-        yield gram, start, windows, offset
-        return
+PIECES = "part long, piece long, __llm_k1 long, __llm_k2 long, start long, once boolean, hashes array<long>"
+
+
+def piece_table(texts: DataFrame, length: int) -> DataFrame:
+    """The pieces of each wanted row of ``texts``: the ``part`` that equal windows have in
+    common, the hash of the whole piece, and the hash of each window from ``start`` on."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                out: dict[str, list] = {f.split()[0]: [] for f in PIECES.split(", ")}
+                data = row["text"].encode()
+                for w in row["wanted"]:
+                    for part, piece, start, hashes in _pieces(data, w, length):
+                        for column, value in zip(out.values(), (part, piece, row[KEY[0]], row[KEY[1]], start, w["once"], hashes)):
+                            column.append(value)
+                kinds = {"once": pa.bool_(), "hashes": pa.list_(pa.int64())}
+                yield {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
+
+    return _arrow(texts, PIECES, work)
+
+
+def _pieces(data: bytes, wanted: dict, length: int) -> Iterator[tuple[int, int, int, list[int]]]:
+    start, windows, offset = (wanted[k] for k in ("start", "windows", "offset"))
+
+    def digest(a: int, b: int, seed: int) -> int:
+        return xxhash.xxh64_intdigest(data[a:b], seed) - (1 << 63)
+
     anchor = start + offset
     for piece in range((offset - windows + 1) // PIECE, offset // PIECE + 1):
         low, high = max(piece * PIECE, offset - windows + 1), min(piece * PIECE + PIECE - 1, offset)
         # These bytes are in every window whose anchor is at an offset of the piece.
-        core = data[anchor - piece * PIECE : anchor - piece * PIECE - PIECE + 1 + length]
-        part = xxhash.xxh64_intdigest(core, piece)
-        yield part - (1 << 63), anchor - high, high - low + 1, high
+        core = digest(anchor - piece * PIECE, anchor - piece * PIECE - PIECE + 1 + length, piece)
+        hashes = [digest(anchor - o, anchor - o + length, o) for o in range(high, low - 1, -1)]
+        yield core, digest(anchor - high, anchor - low + length, high), anchor - high, hashes
 
 
 RANGES = "__llm_k1 long, __llm_k2 long, start long, end long"
@@ -359,7 +384,7 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
     """Byte ranges covered by repeated windows, of contexts that occur once."""
 
     def judged(rows: list[dict]) -> dict:
-        groups = np.array([r["part"] for r in rows])
+        groups = np.array([r["gram"] for r in rows])
         offsets, windows = np.array([r["offset"] for r in rows]), np.array([r["windows"] for r in rows])
         hit = repeated_windows([r["bytes"] for r in rows], offsets, windows, groups, length)
         out: dict[str, list] = {f.split()[0]: [] for f in RANGES.split(", ")}
@@ -381,14 +406,35 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if len(held) >= block_rows and held[-1]["part"] != row["part"]:
+                if len(held) >= block_rows and held[-1]["gram"] != row["gram"]:
                     yield judged(held)
                     held = []
                 held.append(row)
         if held:
             yield judged(held)
 
-    return _arrow(contexts.repartition("part").sortWithinPartitions("part"), RANGES, work)
+    return _arrow(contexts.repartition("gram").sortWithinPartitions("gram"), RANGES, work)
+
+
+def counted(pieces: DataFrame, length: int) -> DataFrame:
+    """Byte ranges covered by repeated windows, of the pieces of contexts that occur once."""
+    pieces = written(pieces, "pieces")
+    same = F.first("hashes").alias("hashes")
+    place = F.min(F.struct(*KEY, "start", "once")).alias("place")
+    counts = written(pieces.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("copies"), place, same), "piece-counts")
+    copied = written(counts.where("copies > 1").select("part", "piece"), "repeated-pieces")
+    end = F.col("start") + F.size("hashes") + (length - 1)
+    whole = pieces.where("once").join(copied, ["part", "piece"], "left_semi").select(*KEY, "start", end.alias("end"))
+
+    # Different pieces that may have some windows in common: one row for each window.
+    several = counts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
+    mixed = counts.join(written(several, "mixed-parts"), "part", "left_semi")
+    alone = (F.col("place.once") & (F.col("copies") == 1)).alias("alone")
+    windows = mixed.select("part", "place.*", alone, F.posexplode("hashes").alias("at", "hash"))
+    windows = written(windows.select("part", "hash", "alone", *KEY, (F.col("start") + F.col("at")).alias("start")), "piece-windows")
+    again = windows.groupBy("part", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "hash")
+    single = windows.where("alone").join(written(again, "repeated-windows"), ["part", "hash"], "left_semi")
+    return whole.unionByName(single.select(*KEY, "start", (F.col("start") + length).alias("end")))
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -414,14 +460,20 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     split = written(sizes.where(F.col("contexts") > SPLIT_ABOVE).select("gram", F.lit(True).alias("split")), "split-grams")
     place = F.min(F.struct(*KEY, "start", "windows", "offset")).alias("place")
     places = rows.where("mixed").groupBy("gram", "context").agg(F.count(F.lit(1)).alias("copies"), place)
-    once, parted = (F.col("copies") == 1).alias("once"), F.coalesce("split", F.lit(False)).alias("split")
-    wanted = places.join(split, "gram", "left").select(
-        "place.*", F.struct("gram", "place.start", "place.windows", "place.offset", parted, once).alias("w")
-    )
-    wanted = written(wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")), "wanted")
-    texts = _keyed(docs.select(F.col(text_col).alias("text")), "text").join(_few(wanted.select(*KEY)), KEY, "left_semi")
-    texts = texts.groupBy(*KEY).agg(F.first("text").alias("text")).join(wanted, KEY).select(*KEY, "text", "wanted")
-    parts = compared(context_table(texts, length), length)
+    once = (F.col("copies") == 1).alias("once")
+
+    def fetched(places: DataFrame, name: str) -> DataFrame:
+        wanted = places.select("place.*", F.struct("gram", "place.start", "place.windows", "place.offset", once).alias("w"))
+        wanted = written(wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")), name)
+        texts = _keyed(docs.select(F.col(text_col).alias("text")), "text").join(_few(wanted.select(*KEY)), KEY, "left_semi")
+        return texts.groupBy(*KEY).agg(F.first("text").alias("text")).join(wanted, KEY).select(*KEY, "text", "wanted")
+
+    if split.isEmpty():
+        parts = compared(context_table(fetched(places, "wanted"), length), length)
+    else:
+        places = written(places.join(split, "gram", "left"), "places")
+        parts = compared(context_table(fetched(places.where("split is null"), "wanted"), length), length)
+        parts = parts.unionByName(counted(piece_table(fetched(places.where("split"), "wanted-split"), length), length))
 
     ranges = whole.unionByName(parts).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
     return written(ranges, "repeated-ranges")

@@ -102,6 +102,25 @@ def test_scans_of_long_texts_meet(monkeypatch):
     assert len(anchors_of(parts, 2)) == 51
 
 
+def test_shared_passage_does_not_meet_in_one_task(spark, documents, monkeypatch):
+    """A passage of many documents with different surroundings: no sort gets a row of each."""
+    monkeypatch.setattr(sd, "SPLIT_ABOVE", 20)
+    rng = random.Random(8)
+    passage = prose(rng, 150)
+    rows = [(i, f"{prose(rng, 100)} {passage} {prose(rng, 100)}") for i in range(120)]
+    largest = []
+
+    def compared(contexts, length, own=sd.compared):
+        key = contexts.columns[0]
+        largest.append(max((r["count"] for r in contexts.groupBy(key).count().collect()), default=0))
+        return own(contexts, length)
+
+    monkeypatch.setattr(sd, "compared", compared)
+    got = {r.doc_id: (len(r.spans), sum(s.end - s.start for s in r.spans)) for r in sd.deduplicated(documents(rows)).collect()}
+    assert got == {i: (spans, n) for i, _, n, spans, _ in expected(rows)}
+    assert max(largest) <= 20
+
+
 def test_without_broadcast(spark, documents, monkeypatch):
     monkeypatch.setattr(sd, "BROADCAST_KEYS", -1)
     rows = corpus(random.Random(6))
