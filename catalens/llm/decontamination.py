@@ -20,7 +20,8 @@ and, once, the texts on their way to the windows found.  The benchmark's shingle
 broadcast while they number at most ``BROADCAST_SHINGLES``, else joined by a shuffle.  Keys are 128 bits of the text, so copies of a text are looked up once.
 
 Defined cases: null texts and items are empty; empty ones match nothing.  Texts or items of
-fewer than five words are one shingle.  Repeated documents and items are all reported.
+fewer than five words are one shingle; for the lengths of such items that occur, the
+windows of that length are looked up besides, so they are found within longer texts.  Repeated documents and items are all reported.
 Of several such windows at the same similarity the first is reported.
 """
 
@@ -65,6 +66,17 @@ def shingle_hashes(word_hashes: Column) -> Column:
     return let(word_hashes, lambda w: F.transform(_positions(w), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
 
 
+def short_hashes(word_hashes: Column, n_words: int) -> Column:
+    """Hashes of all windows of ``n_words`` words, as an item of so few words is hashed."""
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.size(w) - (n_words - 1), F.lit(1))
+        places = F.when(F.size(w) >= n_words, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.slice(w, i, n_words)))
+
+    return let(word_hashes, windows)
+
+
 def shingles(words: Column) -> Column:
     return let(words, lambda w: F.transform(_positions(w), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
 
@@ -136,14 +148,21 @@ def promising_windows(docs: DataFrame, items: DataFrame, text_col: str) -> DataF
     """(key, n_words, start): the windows that can reach the threshold, per distinct text."""
     own = items.withColumn("hash", F.explode(shingle_hashes(F.transform("words", lambda w: F.xxhash64(w)))))
     own = written(own.select("hash", "n_words").distinct(), "benchmark-shingles")
+    # At most SHINGLE - 1 lengths.
+    short = sorted(r.n_words for r in own.where(F.col("n_words") < SHINGLE).select("n_words").distinct().collect())
     if own.count() <= BROADCAST_SHINGLES:
         own = F.broadcast(own)
 
-    def hashed(words: Column) -> Column:
-        return F.struct(F.size(words).alias("length"), shingle_hashes(F.transform(words, lambda w: F.xxhash64(w))).alias("all"))
+    def placed_hashes(hashes_of: Callable[[Column], Column]) -> DataFrame:
+        def hashed(words: Column) -> Column:
+            return F.struct(F.size(words).alias("length"), hashes_of(F.transform(words, lambda w: F.xxhash64(w))).alias("all"))
+
+        texts = keyed(docs.select(text_col), text_col).select(*KEY, let(words_of(F.col(text_col)), hashed).alias("hashes"))
+        return texts.select(*KEY, F.col("hashes.length").alias("length"), F.posexplode("hashes.all").alias("place", "hash"))
 
-    texts = keyed(docs.select(text_col), text_col).select(*KEY, let(words_of(F.col(text_col)), hashed).alias("hashes"))
-    placed = texts.select(*KEY, F.col("hashes.length").alias("length"), F.posexplode("hashes.all").alias("place", "hash"))
+    placed = placed_hashes(shingle_hashes)
+    for n in short:
+        placed = placed.unionByName(placed_hashes(lambda hashes, n=n: short_hashes(hashes, n)))
     hits = placed.join(own, "hash")
     # No more places than the text has words; partial sets keep copies of a text apart from each other.
     places = hits.groupBy(*KEY, "length", "n_words").agg(F.sort_array(F.collect_set("place")).alias("places"))

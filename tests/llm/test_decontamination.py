@@ -105,3 +105,11 @@ def test_no_python_in_the_plan(spark, documents):
     docs, items = documents([(1, "a b c d e f")]), spark.createDataFrame([(1, "a b c d e f")], ITEMS)
     plan = dec.contaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_short_items_within_longer_texts(spark, documents, table_dir):
+    items = [(1, "Uno due tre"), (2, "single"), (3, "a b c d"), (4, "nowhere to find")]
+    rows = [(1, "x y uno  due TRE z w v u t"), (2, "this has a single word in it"), (3, "a b c d"), (4, "0 a b c d"), (5, "uno tre due and b c d a")]
+    folder = table_dir(documents=documents(rows), benchmark=spark.createDataFrame(items, ITEMS))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in queries.op4_decontamination(spark, folder).collect()}
+    assert got == {(1, 1): (1.0, 2, 3), (2, 2): (1.0, 3, 1), (3, 3): (1.0, 0, 4), (4, 3): (1.0, 1, 4)}
