@@ -51,7 +51,3 @@ def make_catalogue(spark):
         return frames
 
     return build
-
-
-def rows_of(df):
-    return [row.asDict(recursive=True) for row in df.collect()]

@@ -1,4 +1,8 @@
-"""Running the oracle SQL in DuckDB and comparing it with Spark rows."""
+"""Running the oracle SQL in DuckDB and comparing it with Spark rows.
+
+Test modules import helpers from here, never from ``conftest``: each folder has a file of
+that name, and only one of them can be the module ``conftest``.
+"""
 
 from __future__ import annotations
 
@@ -35,3 +39,7 @@ def assert_same(df, con: duckdb.DuckDBPyConnection, sql: str) -> None:
     actual_columns, actual = spark_rows(df)
     assert actual_columns == columns
     assert actual == expected
+
+
+def rows_of(df) -> list[dict]:
+    return [row.asDict(recursive=True) for row in df.collect()]

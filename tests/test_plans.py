@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import rows_of
+from oracle_tools import rows_of
 
 from catalens.plans import checks, flags, kpis, reports
 from catalens.sources.derived import DerivedCatalogue

@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from conftest import rows_of
+from oracle_tools import rows_of
 from pyspark.sql import functions as F
 
 from catalens.functions.numeric import mean_milli, pct

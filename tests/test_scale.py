@@ -7,7 +7,7 @@ import re
 from contextlib import contextmanager
 
 import pytest
-from conftest import rows_of
+from oracle_tools import rows_of
 
 from catalens.operators.evidence import Evidence, observe
 from catalens.operators.identifiers import presence_profile

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import rows_of
+from oracle_tools import rows_of
 from pyspark.sql import functions as F
 
 from catalens import KPIS, load_catalogue, register
