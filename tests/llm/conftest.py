@@ -40,10 +40,6 @@ def table_dir(tmp_path):
     return build
 
 
-def prose(rng, words, vocabulary=200):
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(words))
-
-
 @pytest.fixture
 def schema_of():
     return T.StructType.fromDDL

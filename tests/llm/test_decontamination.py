@@ -5,7 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
-from conftest import prose
+from brute import prose
 
 from catalens.llm import decontamination as dec
 from catalens.llm import queries

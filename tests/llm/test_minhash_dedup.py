@@ -5,7 +5,7 @@ import random
 import brute
 import corpus_pipeline
 import numpy as np
-from conftest import prose
+from brute import prose
 
 from catalens.llm import minhash_dedup
 

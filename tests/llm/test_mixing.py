@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import prose
+from brute import prose
 from oracle_tools import assert_same, over_parquet
 
 from catalens.llm import mixing, queries

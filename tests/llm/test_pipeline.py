@@ -9,7 +9,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from conftest import prose
+from brute import prose
 from test_decontamination import ITEMS
 from test_decontamination import brute as leaks
 from tokenizers import Tokenizer

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import brute
-from conftest import prose
+from brute import prose
 
 from catalens.llm import queries, simhash_dedup
 

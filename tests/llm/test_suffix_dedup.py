@@ -6,7 +6,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import prose
+from brute import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import prose
+from brute import prose
 from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from brute import prose
 
 from catalens.llm import queries, topk_search as ts
 
