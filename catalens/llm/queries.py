@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import decontamination, language_id, mixing, pii, simhash_dedup, suffix_dedup, token_counts, token_output, topk_search, url_filter
+from catalens.llm import decontamination, filter_audit, language_id, mixing, pii, simhash_dedup, suffix_dedup, token_counts, token_output, topk_search, url_filter
 from catalens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(docs, docs.where("doc_id % 50 = 0"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -102,6 +106,7 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_token_files,
         op10_topk_search,
+        op11_filter_audit,
     )
 }
 
@@ -166,4 +171,47 @@ rates as (
 select doc_id, size, source_size, target,
     (size * (floor(rate)::bigint + (draw < rate - floor(rate))::bigint))::bigint as taken
 from rates""",
+    "op11_filter_audit": r"""
+with measured as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+failing as (
+    select doc_id, part,
+        len(words) < 100 as a,
+        100 * len(list_distinct(words)) < 80 * len(words) as b,
+        100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) as c,
+        regexp_matches(t, '[#$%&*|]') as d,
+        coalesce(doc_id > min(doc_id) over (partition by t), false) as e
+    from measured),
+marked as (
+    select f.part, [a, b, c, d, e] as fails, coalesce(l.good, false) as good, coalesce(l.bad, false) as bad
+    from failing f left join (
+        select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as bad from labels group by doc_id) l
+    on f.doc_id = l.doc_id),
+-- Documents that fail the same filters fare the same in every order.
+alike as (select part, fails, good, bad, count(*) as n from marked group by all),
+letters as (select unnest([1, 2, 3, 4, 5]) as i),
+orders as (
+    select [p.i, q.i, r.i, s.i, u.i] as o,
+        chr((64 + p.i)::int) || chr((64 + q.i)::int) || chr((64 + r.i)::int) || chr((64 + s.i)::int) || chr((64 + u.i)::int) as filter_order
+    from letters p, letters q, letters r, letters s, letters u
+    where len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
+steps as (select filter_order, o, i as step, o[i] as own, o[1:i - 1] as earlier from orders, letters),
+run as (
+    select part, filter_order, step, own, n, good, bad, fails[own] as fails_here,
+        len(list_filter(earlier, lambda f: fails[f])) > 0 as gone,
+        len(list_filter(fails, lambda f: f)) as failures
+    from alike, steps),
+done as (
+    select part, filter_order, step, own,
+        sum(case when not gone and not fails_here then n else 0 end)::bigint as kept,
+        sum(case when not gone and fails_here then n else 0 end)::bigint as removed,
+        sum(case when gone and fails_here then n else 0 end)::bigint as redundant,
+        sum(case when fails_here and failures = 1 then n else 0 end)::bigint as unique_fails,
+        sum(case when not gone and fails_here and good then n else 0 end)::bigint as good_lost,
+        sum(case when not gone and fails_here and bad then n else 0 end)::bigint as toxic_lost
+    from run group by all)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) over (partition by part, own))::bigint as shapley
+from done""",
 }
