@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import decontamination, filter_audit, language_id, mixing, pii, simhash_dedup, suffix_dedup, token_counts, token_output, topk_search, url_filter
+from catalens.llm import decontamination, filter_audit, language_id, mixing, pii, simhash_dedup, suffix_dedup, token_alignment, token_counts, token_output, topk_search, url_filter
 from catalens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ RULES = (
 )
 #: First labels of the junk sites whose pages make up the list of blocked URLs.
 JUNK_SITE = r"^(www\.|m\.|blog\.)?(spam-farm|cheap-pills)\."
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 
@@ -93,6 +94,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_VOCABULARY)
+    groups = F.col("groups")
+    digest = F.when(groups == "", F.lit("")).otherwise(F.sha2(groups, 256)).alias("groups_sha256")
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), *paths).select("doc_id", *token_alignment.COUNTS, digest)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -107,6 +115,7 @@ QUERIES: dict[str, Query] = {
         op9_token_files,
         op10_topk_search,
         op11_filter_audit,
+        op13_token_alignment,
     )
 }
 
