@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import decontamination, filter_audit, language_id, mixing, pii, simhash_dedup, suffix_dedup, token_alignment, token_counts, token_output, topk_search, url_filter
+from catalens.llm import decontamination, document_fingerprints, filter_audit, language_id, mixing, pii, simhash_dedup, suffix_dedup, token_alignment, token_counts, token_output, topk_search, url_filter
 from catalens.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints.compared(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        document_fingerprints.as_hex(F.col("print")).alias("fingerprint"),
+        document_fingerprints.as_hex(F.col("edited_print")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_VOCABULARY)
     groups = F.col("groups")
@@ -115,6 +127,7 @@ QUERIES: dict[str, Query] = {
         op9_token_files,
         op10_topk_search,
         op11_filter_audit,
+        op12_document_fingerprints,
         op13_token_alignment,
     )
 }
