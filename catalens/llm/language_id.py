@@ -5,22 +5,31 @@ frequency in every language.  A word not known backs off to the n-grams of ``^wo
 n = 5, 4, 3, 2, 1: the longest n with a known n-gram is used, and the known ones of that
 length are averaged.  The score is the share of the predicted language in the softmax.
 
-The model is bounded by documented parameters: about ``SAMPLE_DOCS`` labelled documents
-for each language (chosen by a hash of their text, so the same whatever the partitioning),
-``WORDS_KEPT`` words and ``GRAMS_KEPT`` n-grams of each length for each language.  It is
-one row per entry, counted by Spark and broadcast.  Every whole text is judged; nothing
-but the text is looked at.
+Words are runs of letters and marks, of the text in Unicode's composed form (NFC) and in
+lower case: ``words_of`` cuts them for training and prediction alike.
+
+The model is learned from ``SAMPLE_TEXTS`` different labelled texts of each language, those of
+least hash, so every labelled language is learned, copies count once, and the same texts are
+taken whatever the partitioning.  All that these texts hold is kept.  Every whole text is
+judged; nothing but the text is looked at.
+
+``accepted`` keeps documents that are language: of their characters beside blanks and
+digits, ``MIN_LETTERS`` are letters or marks, and ``MIN_KNOWN`` of their words are known or
+reach an n-gram of ``LONG_GRAM``.  Neither rule punishes short texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is every
 text if nothing was labelled.  Languages with equal scores go to the first by code point.
-Repeated rows count as often as they occur.  Other columns are not read.
+Repeated rows are judged alike.  Very long texts are judged whole.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,83 +38,134 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalens.llm.shared import map_texts, release_memory, written
+from catalens.llm.shared import map_texts, release_memory, ship_package, written
 
-SAMPLE_DOCS = 1500
-WORDS_KEPT = 8000
-GRAMS_KEPT = 4000
+SAMPLE_TEXTS = 1000
 LONGEST_GRAM = 5
+LONG_GRAM = 3
 UNKNOWN = "und"
-#: Scores below this count as rejected, besides ``und``; short clean texts score low.
-MIN_SCORE = 0.0
+MIN_LETTERS = 2 / 3
+MIN_KNOWN = 0.5
 #: Words whose scores a worker remembers before it starts afresh.
 REMEMBERED = 400_000
-#: Words are runs of letters; [^\W\d_] is that in Python, \p{L}\p{M} covers it in Java.
-LETTERS = re.compile(r"[^\W\d_]+")
 SMOOTHING = 0.5
+#: Entries a task counts before it hands them on.
+COUNTED = 200_000
+ENTRIES = "lang string, level int, entry string, n long"
 
 
-def _sampled(labelled: DataFrame, sample_docs: int) -> DataFrame:
-    """About ``sample_docs`` documents of each language, by a hash of the text."""
-    # A written table of one row per language: its known size keeps the texts from being shuffled.
-    counts = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    chance = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n"))
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return labelled.join(counts.select("lang", chance.alias("chance")), "lang").where(drawn < F.col("chance")).select("lang", "text")
+@cache
+def letters() -> re.Pattern:
+    """Runs of letters and marks, as Unicode's categories have them."""
+    ranges: list[list[int]] = []
+    for code in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(code))[0] in "LM":
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
 
 
-def _word_counts(sample: DataFrame) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
-    exploded = sample.select("lang", F.explode(words).alias("entry"))
-    return exploded.groupBy("lang", "entry").agg(F.count(F.lit(1)).alias("n"))
+ASCII_LETTERS = re.compile("[a-z]+")
 
 
-def _gram_counts(words: DataFrame, n: int) -> DataFrame:
-    marked = F.concat(F.lit("^"), F.col("entry"), F.lit("$"))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))), lambda i: marked.substr(i, F.lit(n))
-    )
-    exploded = words.select("lang", "n", F.explode(grams).alias("entry"))
-    return exploded.groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+def words_of(text: str | None) -> list[str]:
+    """The words of a text; none if it has no letter."""
+    if not text:
+        return []
+    if text.isascii():
+        return ASCII_LETTERS.findall(text.lower())
+    text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    words = letters().findall(text.lower())
+    # Marks alone are no word.
+    return words if any(map(str.isalpha, text)) else []
+
 
+def grams_of(word: str, n: int) -> list[str]:
+    marked = f"^{word}$"
+    return [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
+
+
+def sampled(labelled: DataFrame, sample_texts: int) -> DataFrame:
+    """(lang, text): the ``sample_texts`` different texts of least hash of each language."""
+    hashed = F.xxhash64("text").alias("hash")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    least = labelled.select("lang", hashed).distinct().withColumn("rank", rank).where(F.col("rank") <= sample_texts)
+    # A written table of one row per language: its known size keeps the texts from being shuffled.
+    last = written(least.groupBy("lang").agg(F.max("hash").alias("last")), "languages")
+    rows = labelled.select("lang", "text", hashed).join(last, "lang").where("hash <= last")
+    return rows.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def entry_counts(sample: DataFrame) -> DataFrame:
+    """(lang, level, entry, n): words (level 0) and n-grams (level n) of the sample."""
+    ship_package(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[tuple[str, str]] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            entries: Counter[tuple[str, int, str]] = Counter()
+            for (lang, word), n in words.items():
+                entries[lang, 0, word] += n
+                for size in range(1, LONGEST_GRAM + 1):
+                    for gram in grams_of(word, size):
+                        entries[lang, size, gram] += n
+            langs, levels, names = zip(*entries) if entries else ((), (), ())
+            columns = [pa.array(langs, pa.string()), pa.array(levels, pa.int32()), pa.array(names, pa.string()), pa.array(list(entries.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "level", "entry", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                for word in words_of(text.as_py()):
+                    words[lang, word] += 1
+                if len(words) > COUNTED:
+                    yield counted()
+                    words.clear()
+        yield counted()
+        release_memory()
 
-def _frequent(counts: DataFrame, kept: int) -> DataFrame:
-    """All languages' counts of entries that are among the ``kept`` commonest of any."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry"))
-    best = counts.withColumn("rank", rank).where(F.col("rank") <= kept).select("entry").distinct()
-    return counts.join(best, "entry")
+    partial = sample.select("lang", "text").mapInArrow(run, ENTRIES)
+    return partial.groupBy("lang", "level", "entry").agg(F.sum("n").alias("n"))
 
 
 class Model:
     """Log frequencies per language: of words (level 0) and of n-grams (level n)."""
 
-    def __init__(self, rows: list[tuple[int, str, str, int]], totals: dict[tuple[int, str], int]):
-        self.langs = sorted({lang for _, lang in totals}, key=lambda s: s.encode())
+    def __init__(self, counts: pa.Table):
+        """``counts``: (lang, level, entry, n), one row each."""
+        self.langs = sorted(counts.column("lang").unique().to_pylist(), key=lambda s: s.encode())
         place = {lang: i for i, lang in enumerate(self.langs)}
-        raw: dict[int, dict[str, np.ndarray]] = {}
-        for level, entry, lang, n in rows:
-            vector = raw.setdefault(level, {}).setdefault(entry, np.zeros(len(self.langs)))
-            vector[place[lang]] += n
-        self.levels = {}
-        for level, entries in raw.items():
-            total = np.array([totals.get((level, lang), 0) for lang in self.langs], dtype=float)
-            base = np.log(total + SMOOTHING * (len(entries) + 1))
-            logs = np.log(np.array(list(entries.values())) + SMOOTHING) - base
+        self.levels: dict[int, dict[str, int]] = {}
+        self.logs: dict[int, np.ndarray] = {}
+        levels = counts.column("level").to_numpy()
+        for level in range(LONGEST_GRAM + 1):
+            own = counts.filter(pa.array(levels == level)).sort_by([("entry", "ascending"), ("lang", "ascending")])
+            coded = own.column("entry").combine_chunks().dictionary_encode()
+            if not len(coded):
+                continue
+            raw = np.zeros((len(coded.dictionary), len(self.langs)))
+            columns = np.array([place[x] for x in own.column("lang").to_pylist()])
+            np.add.at(raw, (coded.indices.to_numpy(), columns), own.column("n").to_numpy())
+            base = np.log(raw.sum(axis=0) + SMOOTHING * (len(raw) + 1))
+            logs = np.log(raw + SMOOTHING) - base
             # Only differences between languages matter for the answer.
-            logs -= logs.mean(axis=1, keepdims=True)
-            self.levels[level] = dict(zip(entries, logs.astype(np.float32)))
+            self.logs[level] = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+            self.levels[level] = dict(zip(coded.dictionary.to_pylist(), range(len(raw))))
 
-    def word_score(self, word: str) -> np.ndarray:
+    def word_score(self, word: str) -> tuple[np.ndarray, int]:
+        """A word's scores and where they are from: n of its n-grams, 0 if none is known; a
+        known word counts as longer than any n-gram."""
         known = self.levels.get(0, {}).get(word)
         if known is not None:
-            return known
-        marked = f"^{word}$"
+            return self.logs[0][known], LONGEST_GRAM + 1
         for n in range(LONGEST_GRAM, 0, -1):
             entries = self.levels.get(n, {})
-            found = [entries[g] for i in range(max(1, len(marked) - n + 1)) if (g := marked[i : i + n]) in entries]
+            found = [entries[g] for g in grams_of(word, n) if g in entries]
             if found:
-                return sum(found) / np.float32(len(found))
-        return np.zeros(len(self.langs), dtype=np.float32)
+                return self.logs[n][found].sum(axis=0) / np.float32(len(found)), n
+        return np.zeros(len(self.langs), dtype=np.float32), 0
 
 
 class Scorer:
@@ -118,55 +178,58 @@ class Scorer:
     def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.scores = np.empty((1024, max(1, len(self.model.langs))), dtype=np.float32)
+        self.reach = np.empty(1024, dtype=np.int8)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        # The pattern takes numerals like ½ along; they alone are no letters.
-        if not words or not self.model.langs or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        places = self.places
-        if len(places) > REMEMBERED:
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """Places of the words' scores."""
+        if len(self.places) > REMEMBERED:
             self.forget()
-            places = self.places
+        places = self.places
         if missing := set(words).difference(places):
             need = len(places) + len(missing)
             if need > len(self.scores):
-                grown = np.empty((2 * need, self.scores.shape[1]), dtype=np.float32)
-                grown[: len(places)] = self.scores[: len(places)]
-                self.scores = grown
+                more = 2 * need - len(self.scores)
+                self.scores = np.concatenate((self.scores, np.empty((more, self.scores.shape[1]), dtype=np.float32)))
+                self.reach = np.concatenate((self.reach, np.empty(more, dtype=np.int8)))
             for word in missing:
-                self.scores[len(places)] = self.model.word_score(word)
-                places[word] = len(places)
-        index = np.fromiter(map(places.__getitem__, words), dtype=np.int32, count=len(words))
+                at = len(places)
+                self.scores[at], self.reach[at] = self.model.word_score(word)
+                places[word] = at
+        return np.fromiter(map(places.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def judged(self, words: list[str]) -> tuple[str, float, float]:
+        """The language, its score, and the share of words known or reaching ``LONG_GRAM``."""
+        if not words or not self.model.langs:
+            return UNKNOWN, 0.0, 0.0
+        index = self.look_up(words)
         total = self.scores[index].sum(axis=0, dtype=np.float64)
         odds = np.exp(total - total.max())
         best = int(total.argmax())
-        return self.model.langs[best], float(odds[best] / odds.sum())
+        return self.model.langs[best], float(odds[best] / odds.sum()), float((self.reach[index] >= LONG_GRAM).mean())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judged(words_of(text))[:2]
+
+    def accepts(self, text: str | None, min_letters: float = MIN_LETTERS, min_known: float = MIN_KNOWN) -> bool:
+        words = words_of(text)
+        lang, _, known = self.judged(words)
+        if lang == UNKNOWN or known < min_known:
+            return False
+        spelled = sum(map(len, words))
+        others = sum(map(len, text.split())) - sum(map(len, DIGITS.findall(text))) - spelled
+        return spelled >= min_letters * (spelled + max(0, others))
+
+
+DIGITS = re.compile(r"\d+")
 
 
-def train(
-    labelled: DataFrame,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    sample_docs: int = SAMPLE_DOCS,
-    words_kept: int = WORDS_KEPT,
-    grams_kept: int = GRAMS_KEPT,
-) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Model:
     """A model from the documents with a text and a language."""
     usable = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text is not null and lang is not null"
     )
-    words = written(_word_counts(_sampled(usable, sample_docs)), "words")
-    levels = {0: words} | {n: _gram_counts(words, n) for n in range(1, LONGEST_GRAM + 1)}
-    kept, totals = [], []
-    for level, counts in levels.items():
-        tag = F.lit(level).alias("level")
-        kept.append(_frequent(counts, grams_kept if level else words_kept).select(tag, "entry", "lang", "n"))
-        totals.append(counts.groupBy("lang").agg(F.sum("n").alias("n")).select(tag, "lang", "n"))
-    union = lambda frames: reduce(DataFrame.unionByName, frames).collect()
-    # Bounded by words_kept and grams_kept for each language, not by the corpus.
-    rows = sorted(tuple(r) for r in union(kept))
-    return Model(rows, {(r.level, r.lang): r.n for r in union(totals)})
+    # Bounded by the texts sampled for each language, not by the corpus.
+    return Model(written(entry_counts(sampled(usable, sample_texts)), "entries").toArrow())
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -181,16 +244,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     return map_texts(docs, text_col, keep, new, start)
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a language, scored at ``min_score`` or more; columns as they are."""
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_letters: float = MIN_LETTERS, min_known: float = MIN_KNOWN) -> DataFrame:
+    """The documents that are language; columns as they are."""
+    ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.BooleanType())
     def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(held.value)
         for texts in batches:
-            found = [scorer.predict(t if isinstance(t, str) else None) for t in texts]
-            yield pd.Series([f[0] != UNKNOWN and f[1] >= min_score for f in found], dtype=bool)
+            yield pd.Series([scorer.accepts(t if isinstance(t, str) else None, min_letters, min_known) for t in texts], dtype=bool)
         release_memory()
 
     return docs.where(passes(F.col(text_col)))
