@@ -2,6 +2,12 @@
 
 A stage is a function of (spark, docs, sf_dir).  All but the last return the columns of
 ``documents``; what a stage returns is written as Parquet and read again for the next.
+
+Defined cases: a document with a null, empty or letterless text has no language and goes in
+the first stage.  Null ids, null languages and null sources are kept; null ids come first in
+the token files.  Rows of the same id and text are one document after the second stage, and
+then are taken as often as the mix says.  Very long texts are handled whole.  Other columns
+are passed on up to the last stage.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalens.llm import decontamination, language_id, minhash_dedup, mixing, token_output
+from catalens.llm import decontamination, language_id, mixing, simhash_dedup, token_output
 from catalens.llm.queries import WORD_VOCABULARY
 from catalens.llm.shared import table, written
 
@@ -20,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share under 0.8 of their five-word shingles with any other kept."""
-    return minhash_dedup.keep_one(docs)
+    """One document of each group whose fingerprints link within op6's shingles and radius."""
+    return simhash_dedup.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
