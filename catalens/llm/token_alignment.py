@@ -39,6 +39,7 @@ import struct
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ BLANK_MARK = "▁"
 CUT = re.compile(r"(?<=[!-~\w]) (?=.)", re.DOTALL)
 VISIBLE = re.compile(r"[!-~\w]")
 #: Bytes of units, about, after which a worker starts afresh.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 120 << 20
 #: Distinct pairs in a shard, about; and the most shards there can be.
 SHARD_PAIRS = 1 << 20
 MOST_SHARDS = 1 << 20
@@ -68,9 +69,10 @@ TABLE_BYTES = 192 << 20
 PLACES = 2
 PAIR_BITS = 32
 LOW_ID = (1 << PAIR_BITS) - 1
-NO_LINKS = np.zeros(0, dtype=np.int64)
-#: Units of texts that wait to be counted, about.
-AT_ONCE = 4 << 20
+#: Characters of texts that are aligned at a time, about.
+AT_ONCE = 2 << 20
+#: How byte-level vocabularies write a blank.
+BLANK_LETTER = "\u0120"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -195,142 +197,192 @@ def counts_file(shard: int) -> str:
     return f"counts-{shard:07d}.bin"
 
 
-@dataclass
-class Unit:
-    """The tokens of one unit, aligned."""
-
-    n_a: int
-    n_b: int
-    groups: str
-    n_groups: int
-    #: One entry a link: the first tokenizer's id in the high bits, the second's in the low.
-    links: np.ndarray
-
-
-def overlaps(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> tuple[list[str], list[int]]:
-    """Groups as ``a1,a2|b1`` and the linked pairs, of tokens that spell the same bytes."""
-    groups, links = [], []
-    i = j = first_i = first_j = 0
-    end_a, end_b = (a_sizes[0], b_sizes[0]) if a else (0, 0)
-    while i < len(a):
-        links.append(a[i] << PAIR_BITS | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-            first_i, first_j = i, j
-            if i < len(a):
-                end_a, end_b = end_a + a_sizes[i], end_b + b_sizes[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += a_sizes[i]
-        else:
-            j += 1
-            end_b += b_sizes[j]
-    return groups, links
-
-
-class Aligner(dict):
-    """The places of units met lately, and by place what is known of each.
-
-    For a byte-level tokenizer that splits at blanks, and a piece tokenizer that puts a
-    blank mark in front and none after another character within a piece.
+class Aligner:
+    """Units met lately, by place: their tokens aligned, and what is known of them.
+
+    For a byte-level tokenizer that splits between blanks, letters and other marks, and a
+    piece tokenizer that puts a blank mark in front and none after another character within
+    a piece.  New units are aligned many at a time, as if they were one text: every unit
+    ends at a byte where a token of each ends.
     """
 
-    def __init__(self, byte_path: str, piece_path: str):
+    def __init__(self, byte_path: str, piece_path: str, spell: bool):
+        """``spell``: whether the groups are to be written out."""
         # Spark runs a worker per core; more threads in each would only get in their way.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.byte_level = Tokenizer.from_file(byte_path)
         self.byte_level.encode_special_tokens = True
-        value = {letter: byte for byte, letter in enumerate(byte_letters())}
+        self.model = self.byte_level.model
+        self.letters = byte_letters()
+        value = {letter: byte for byte, letter in enumerate(self.letters)}
         spelled = self.byte_level.get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: bytes(map(value.__getitem__, t)) for t, i in spelled.items() if value.keys() >= set(t)}
+        self.a_bytes = [b""] * (max(spelled.values()) + 1)
+        for token, i in spelled.items():
+            self.a_bytes[i] = bytes(map(value.__getitem__, token))
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        size = self.pieces.get_piece_size()
-        names = list(map(self.pieces.id_to_piece, range(size)))
+        names = list(map(self.pieces.id_to_piece, range(self.pieces.get_piece_size())))
         if any(re.search(f"[^{BLANK_MARK}]{BLANK_MARK}", name) for name in names):
             raise ValueError("a piece has a blank after another character")
         self.b_bytes = [
             bytes([int(name[3:-1], 16)]) if self.pieces.is_byte(i) else name.replace(BLANK_MARK, " ").encode() for i, name in enumerate(names)
         ]
-        self.b_size = size
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.spell = spell
+        # Ids as they are written within a group, at the end of its first part, at its end.
+        self.a_written, self.b_written = (
+            [np.array([f"{i}{mark}" for i in range(len(x))], dtype=object) for mark in marks] for x, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))
+        )
+        self.tails: dict[str, list[int]] = {}
+        self.lookup: Lookup | None = None
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
+        self.place: dict[str, int] = {}
+        self.groups: list[str] = []
+        #: Of each unit: whether its tokens spell it, and whether a blank after it starts another.
+        self.good, self.closed = np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+        self.numbers = np.zeros((0, 4), dtype=np.int64)
+        #: One entry a link: the first tokenizer's id in the high bits, the second's in the low.
+        self.links, self.link_ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.held = 0
-        self.known: list[Unit | None] = []
-        self.closed: list[bool] = []
-        self.judge_by(None)
+        self.judge_by(self.lookup and self.lookup.counts)
 
     def judge_by(self, counts: PairCounts | None) -> None:
         """``facts`` are to be those by ``counts``; none of them is known yet."""
-        self.lookup = None if counts is None else Lookup(counts)
+        if counts is None or self.lookup is None or self.lookup.counts.folder != counts.folder:
+            self.lookup = None if counts is None else Lookup(counts)
         self.facts = np.zeros((0, len(COUNTS)), dtype=np.int64)
         self.judged = np.zeros(0, dtype=bool)
 
+    def a_ids(self, piece: str) -> list[int]:
+        stem = piece.rstrip(",.!?")
+        if stem.isalpha() and max(stem) < "\u0250":
+            spelled = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
+            ids = [t.id for t in self.model.tokenize(BLANK_LETTER + spelled)]
+            if stem != piece:
+                tail = piece[len(stem) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.byte_level.encode(tail, add_special_tokens=False).ids
+                ids += self.tails[tail]
+            return ids
+        return self.byte_level.encode(f" {piece}", add_special_tokens=False).ids
+
+    def add(self, pieces: list[str]) -> None:
+        """Align new units: a blank and each of ``pieces``."""
+        a = list(map(self.a_ids, pieces))
+        b = self.pieces.encode(pieces, num_threads=1)
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        good = np.array(
+            [p != "" and b"".join([a_bytes[i] for i in x]) == b"".join([b_bytes[i] for i in y]) == b" " + p.encode() for p, x, y in zip(pieces, a, b)], dtype=bool
+        )
+        for i in np.flatnonzero(~good):
+            a[i], b[i] = [], []
+        n_a, n_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        # The second tokenizer's tokens that a token of the first overlaps: from, to.
+        low = np.searchsorted(end_b, end_a - self.a_sizes[a], side="right")
+        n = np.searchsorted(end_b, end_a) - low + 1
+        links = np.repeat(a, n) << PAIR_BITS | b[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        unit_a, unit_b = np.repeat(np.arange(len(pieces)), n_a), np.repeat(np.arange(len(pieces)), n_b)
+        common = np.intersect1d(end_a, end_b)
+        ends_group = np.isin(end_a, common)
+        count = lambda unit, weights=None: np.bincount(unit, weights, len(pieces)).astype(np.int64)
+        numbers = np.stack((n_a, n_b, count(unit_a, ends_group), count(unit_a, n)), axis=1)
+
+        base = len(self.place)
+        self.place.update(zip(pieces, range(base, base + len(pieces))))
+        self.good = np.concatenate((self.good, good))
+        closed = np.array([p != "" and VISIBLE.match(p[-1]) is not None for p in pieces], dtype=bool)
+        self.closed = np.concatenate((self.closed, closed))
+        self.numbers = np.concatenate((self.numbers, numbers))
+        self.link_ends = np.concatenate((self.link_ends, len(self.links) + np.cumsum(numbers[:, 3])))
+        self.links = np.concatenate((self.links, links))
+        self.held += 250 * len(pieces) + 8 * len(links) + 2 * sum(map(len, pieces))
+        if self.spell:
+            written_a = np.where(ends_group, self.a_written[1][a], self.a_written[0][a])
+            written_b = np.where(np.isin(end_b, common), self.b_written[1][b], self.b_written[0][b])
+            group = np.concatenate((np.searchsorted(common, end_a), np.searchsorted(common, end_b)))
+            order = np.argsort(2 * group + np.repeat((0, 1), (len(a), len(b))), kind="stable")
+            texts = np.concatenate((written_a, written_b))[order].tolist()
+            ends = np.cumsum(n_a + n_b).tolist()
+            spelled = ["".join(texts[i:j])[:-1] for i, j in zip([0, *ends], ends)]
+            self.groups += spelled
+            self.held += sum(map(len, spelled))
+
+    def known(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int32, len(pieces))
+
+    def places(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The units of each text; none of a text that has no tokens."""
+        split = [t.split(" ") if t and BLANK_MARK not in t else [] for t in texts]
+        self.add(list(set().union(*split).difference(self.place)))
+        found = list(map(self.known, split))
+        for i, own in enumerate(found):
+            if len(own) and not (self.closed[own[:-1]].all() and self.good[own[-1]]):
+                pieces = CUT.split(texts[i])
+                self.add(list(set(pieces).difference(self.place)))
+                found[i] = own = self.known(pieces)
+            if not self.good[own].all():
+                found[i] = own[:0]
+        return found
+
+    def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of the units, and the number of each unit's."""
+        n = self.numbers[units, 3]
+        starts = self.link_ends[units] - n
+        return self.links[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
     def judge(self, used: np.ndarray) -> None:
         """Fill in ``facts`` of the units at ``used``, which are units of texts that were counted."""
-        more = len(self.known) - len(self.facts)
+        more = len(self.place) - len(self.facts)
         self.facts = np.concatenate((self.facts, np.zeros((more, len(COUNTS)), dtype=np.int64)))
         self.judged = np.concatenate((self.judged, np.zeros(more, dtype=bool)))
         new = np.unique(used[~self.judged[used]])
-        units = [self.known[i] for i in new]
-        pairs, place = np.unique(np.concatenate([NO_LINKS, *(u.links for u in units)]), return_inverse=True)
-        own = np.repeat(new, [len(u.links) for u in units])
-        self.facts[new, :4] = np.array([(u.n_a, u.n_b, u.n_groups, len(u.links)) for u in units]).reshape(-1, 4)
-        n = self.lookup(pairs)
-        best = n == self.lookup.counts.highest[pairs & LOW_ID]
+        links, n = self.links_of(new)
+        pairs, place = np.unique(links, return_inverse=True)
+        own = np.repeat(new, n)
+        counts = self.lookup(pairs)
+        best = counts == self.lookup.counts.highest[pairs & LOW_ID]
+        self.facts[new, :4] = self.numbers[new]
         np.add.at(self.facts[:, 4], own, best[place].astype(np.int64))
-        np.add.at(self.facts[:, 5], own, n[place])
+        np.add.at(self.facts[:, 5], own, counts[place])
         self.judged[new] = True
 
-    def __missing__(self, piece: str) -> int:
-        unit = self.aligned(piece) if piece else None
-        self.known.append(unit)
-        self.closed.append(bool(piece) and VISIBLE.match(piece[-1]) is not None)
-        self.held += 400 + 4 * len(piece) + (len(unit.groups) + unit.links.nbytes if unit else 0)
-        self[piece] = place = len(self.known) - 1
-        return place
-
-    def aligned(self, piece: str) -> Unit | None:
-        """The unit of a blank and ``piece``; none if its tokens spell other bytes."""
-        a = self.byte_level.encode(f" {piece}", add_special_tokens=False).ids
-        b = self.pieces.encode(piece, num_threads=1)
-        spelled_a, spelled_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(spelled_a) == b"".join(spelled_b) == f" {piece}".encode():
-            return None
-        groups, links = overlaps(a, list(map(len, spelled_a)), b, list(map(len, spelled_b)))
-        return Unit(len(a), len(b), ";".join(groups), len(groups), np.array(links, dtype=np.int64))
-
-    def places(self, text: str | None) -> list[int]:
-        """The units of a text that has tokens."""
-        if not text or BLANK_MARK in text:
-            return []
-        found = list(map(self.__getitem__, text.split(" ")))
-        closed, known = self.closed, self.known
-        if known[found[-1]] is None or not all([closed[i] for i in found[:-1]]):
-            found = [self[piece] for piece in CUT.split(text)]
-        return found if all([known[i] is not None for i in found]) else []
-
     def full(self) -> bool:
         return self.held > HELD_BYTES
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+_ALIGNERS: dict[tuple[str, str, bool], Aligner] = {}
 
 
-def aligner(byte_path: str, piece_path: str) -> Aligner:
-    """One per worker process."""
-    key = byte_path, piece_path
+def aligner(byte_path: str, piece_path: str, spell: bool) -> Aligner:
+    """One per worker process and purpose; the other makes room."""
+    key = byte_path, piece_path, spell
     if key not in _ALIGNERS:
         _ALIGNERS[key] = Aligner(*key)
+    for other, held in _ALIGNERS.items():
+        if other != key:
+            held.forget()
     return _ALIGNERS[key]
 
 
+def chunks(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
+    """Texts of ``AT_ONCE`` characters at a time, about."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @dataclass(frozen=True)
 class PairCounts:
     """Counts of id pairs as files: their folder, shards, and each second id's highest count."""
@@ -384,37 +436,27 @@ def task_pairs(docs: DataFrame, byte_path: str, piece_path: str, text_col: str =
     """(node, slot, pair, n): each task's distinct pairs and how many links hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, node = aligner(byte_path, piece_path), TaskContext.get().partitionId()
+        units, node = aligner(byte_path, piece_path, False), TaskContext.get().partitionId()
         seen = np.zeros(0, dtype=np.int64)
-        found: list[np.ndarray] = []
-        waiting = 0
-
-        def add() -> None:
-            nonlocal seen, waiting
-            more = np.bincount(np.concatenate([np.zeros(0, np.int32), *found]), minlength=len(units.known))
-            more[: len(seen)] += seen
-            seen, waiting = more, 0
-            found.clear()
 
         def counted() -> pa.RecordBatch:
-            add()
             at = np.flatnonzero(seen)
-            links = [units.known[i].links for i in at]
-            pairs, place = np.unique(np.concatenate([NO_LINKS, *links]), return_inverse=True)
+            links, each = units.links_of(at)
+            pairs, place = np.unique(links, return_inverse=True)
             n = np.zeros(len(pairs), dtype=np.int64)
-            np.add.at(n, place, np.repeat(seen[at], [len(x) for x in links]))
+            np.add.at(n, place, np.repeat(seen[at], each))
             return pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(pairs), node), pa.int64()), "slot": slots(pairs), "pair": pairs, "n": n})
 
         for batch in batches:
-            for text in batch.column(0):
-                found.append(np.array(units.places(text.as_py()), dtype=np.int32))
-                waiting += len(found[-1])
+            for texts in chunks(t.as_py() for t in batch.column(0)):
+                found = units.places(texts)
+                more = np.bincount(np.concatenate([np.zeros(0, np.int32), *found]), minlength=len(units.place))
+                more[: len(seen)] += seen
+                seen = more
                 if units.full():
                     yield counted()
                     units.forget()
                     seen = seen[:0]
-                elif waiting > AT_ONCE:
-                    add()
         yield counted()
         release_memory()
 
@@ -539,29 +581,21 @@ def align(docs: DataFrame, counts: PairCounts, byte_path: str, piece_path: str,
     new = {"groups": ("string", pa.string()), **{name: ("bigint", pa.int64()) for name in COUNTS}}
 
     def start():
-        units = aligner(byte_path, piece_path)
+        units = aligner(byte_path, piece_path, True)
         if units.lookup is None or units.lookup.counts.folder != held.value.folder:
             units.judge_by(held.value)
 
         def work(texts: list[str | None]) -> list:
             groups: list[str] = []
             sums = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
-            found: list[np.ndarray] = []
-
-            def finish() -> None:
-                units.judge(np.concatenate([np.zeros(0, np.int32), *found]))
-                for places in found:
-                    sums[len(groups)] = units.facts[places].sum(axis=0)
-                    groups.append(";".join([units.known[i].groups for i in places]))
-                found.clear()
-
-            for text in texts:
-                found.append(np.array(units.places(text), dtype=np.int32))
+            for some in chunks(iter(texts)):
+                found = units.places(some)
+                units.judge(np.concatenate(found))
+                for own in found:
+                    sums[len(groups)] = units.facts[own].sum(axis=0)
+                    groups.append(";".join([units.groups[i] for i in own.tolist()]))
                 if units.full():
-                    finish()
                     units.forget()
-                    units.judge_by(held.value)
-            finish()
             return [groups, *sums.T]
 
         return work

@@ -111,28 +111,32 @@ def test_empty_table(spark, documents):
     assert sorted((r.doc_id, r.groups, r.count_sum) for r in none.collect()) == [(1, "", 0), (2, "", 0)]
 
 
-def test_units_spell_whole_texts(encoders, monkeypatch):
+def test_units_spell_whole_texts(encoders):
     """Random odd texts: units one after the other are what the whole text is encoded to."""
-    units = token_alignment.Aligner(A_PATH, B_PATH)
+    units = token_alignment.Aligner(A_PATH, B_PATH, True)
     rng = random.Random(7)
-    letters = list("aB1é.,'-_ \t\n\r  ") + [" ", " ", "‍", "ß", "語", "😀", "́", "s", "'s", "the", "ing", "\u0085", "\x1c"]
-    for _ in range(4000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 25)))
+    letters = list("aB1é.,'-_ \t\n\r  ") + [" ", " ", "\u200d", "ß", "語", "😀", "\u0301", "s", "'s", "the", "ing", "\u0085", "\x1c", "!?", "ɐ", "ª"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    for text, own in zip(texts, units.places(texts)):
         a, b = tokens(encoders, text)
-        own = [units.known[i] for i in units.places(text)]
-        assert sum(u.n_a for u in own) == len(a) and sum(u.n_b for u in own) == len(b), text
-        joined = ";".join(u.groups for u in own)
-        assert [int(i) for g in joined.split(";") if g for i in g.split("|")[0].split(",")] == [i for i, *_ in a], text
-        assert [int(i) for g in joined.split(";") if g for i in g.split("|")[1].split(",")] == [i for i, *_ in b], text
-
-
-def test_a_worker_that_starts_afresh(spark, documents, encoders):
-    units = token_alignment.Aligner(A_PATH, B_PATH)
-    assert not units.full()
-    units.held = token_alignment.HELD_BYTES + 1
-    assert units.full()
-    units.forget()
-    assert not units.full() and not units.known and len(units.facts) == 0
+        assert units.numbers[own].sum(axis=0)[:2].tolist() == [len(a), len(b)], text
+        groups = [g.split("|") for g in ";".join(units.groups[i] for i in own).split(";") if g]
+        assert [int(i) for g in groups for i in g[0].split(",")] == [i for i, *_ in a], text
+        assert [int(i) for g in groups for i in g[1].split(",")] == [i for i, *_ in b], text
+
+
+def test_workers_that_start_afresh(spark, documents, encoders, monkeypatch):
+    monkeypatch.setattr(token_alignment, "AT_ONCE", 300)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40, 3000)) for i in range(60)]
+    units = token_alignment.Aligner(A_PATH, B_PATH, True)
+    for some in token_alignment.chunks(t for _, t in rows):
+        found = units.places(some)
+        assert len(found) == len(some) and all(map(len, found))
+        units.held = token_alignment.HELD_BYTES + 1
+        assert units.full()
+        units.forget()
+        assert not units.full() and not units.place and len(units.groups) == len(units.links) == len(units.facts) == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
