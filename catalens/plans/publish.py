@@ -13,8 +13,8 @@ from catalens.plans.checks import EXPECTED_RECORDINGS, data_checks
 from catalens.plans.flags import shared_facts
 from catalens.plans.kpis import KPIS, register
 from catalens.session import tune
+from catalens.sources import runlog
 from catalens.sources.catalogue import Catalogue, load_catalogue
-from catalens.sources.store import append_run_log
 
 SCHEMA_VERSION = "1"
 
@@ -55,7 +55,8 @@ def publish(
         "views": ",".join(done.views),
         "failed_checks": ",".join(done.failed),
     }
-    append_run_log(spark, log, entries, moment)
+    runlog.record_first(spark, log, {"first_applied_at": moment.isoformat()}, moment)
+    runlog.record(spark, log, entries, moment)
     return done
 
 

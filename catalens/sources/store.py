@@ -1,18 +1,15 @@
-"""Writing results: exports, keyed upserts, the run log, and shared intermediate tables."""
+"""Writing results: exports, keyed upserts, and shared intermediate tables."""
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalens.sources.contract import RUN_LOG
-
 _OPTIONS = {
     "parquet": {},
     # Quotes inside a field are doubled, as spreadsheets expect; blanks at the ends stay,
@@ -86,25 +83,6 @@ def upsert_by_key(
     return target.join(fresh, same, "left_anti").unionByName(updates)
 
 
-def append_run_log(
-    spark: SparkSession, path: str, entries: Mapping[str, str], as_of: dt.datetime
-) -> None:
-    """Record the values under their keys.  Rows are only ever added, so a writer that
-    dies halfway leaves the earlier log as it was."""
-    rows = [(key, value, as_of) for key, value in entries.items()]
-    spark.createDataFrame(rows, RUN_LOG).write.mode("append").parquet(path)
-
-
-def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row per key: its latest value and time."""
-    history = spark.read.schema(RUN_LOG).parquet(path)
-    return (
-        history.groupBy("key")
-        .agg(F.max(F.struct("updated_at", "value")).alias("last"))
-        .select("key", "last.value", "last.updated_at")
-    )
-
-
 def shared_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written once to a folder all executors share, and read back.
 

@@ -14,7 +14,7 @@ from catalens.operators.identifiers import presence_profile
 from catalens.operators.skew import salted_join
 from catalens.plans import flags, kpis, reports
 from catalens.plans.publish import publish
-from catalens.sources import store
+from catalens.sources import runlog, store
 from catalens.sources.catalogue import ContractError, conform
 from catalens.sources.derived import SOURCES, DerivedCatalogue
 
@@ -195,7 +195,7 @@ def test_publish_twice(spark, tmp_path):
     again = publish(spark, str(tmp_path / "cat"), log, now + dt.timedelta(1), scope_note="mine", expected_recordings=1)
     assert first.views == again.views == list(kpis.KPIS) and again.failed == []
     assert spark.table("kpi_isrc_coverage").first().scope_note == "mine"
-    got = {r["key"]: r["value"] for r in rows_of(store.run_log(spark, log))}
+    got = {r["key"]: r["value"] for r in rows_of(runlog.run_log(spark, log))}
     assert got["views_applied_at"] == "2024-05-02T00:00:00" and got["failed_checks"] == ""
 
 

@@ -12,7 +12,7 @@ from catalens import KPIS, load_catalogue, register
 from catalens.functions.sampling import random_sample, seeded_top_k
 from catalens.plans.flags import recording_facts
 from catalens.plans import kpis
-from catalens.sources import store
+from catalens.sources import runlog, store
 from catalens.sources.catalogue import ContractError, conform
 from catalens.sources.contract import CONTRACT
 from catalens.sources.derived import DerivedCatalogue
@@ -84,11 +84,12 @@ def test_upsert(spark):
 
 def test_run_log_keeps_one_row_per_key(spark, tmp_path):
     path = str(tmp_path / "log")
-    store.append_run_log(spark, path, {"schema_version": "1", "views_applied_at": "first"}, NOW)
-    store.append_run_log(spark, path, {"views_applied_at": "second"}, LATER)
-    store.append_run_log(spark, path, {"views_applied_at": "second"}, LATER)
-    got = {r["key"]: (r["value"], r["updated_at"]) for r in rows_of(store.run_log(spark, path))}
-    assert got == {"schema_version": ("1", NOW), "views_applied_at": ("second", LATER)}
+    runlog.record(spark, path, {"schema_version": "1", "views_applied_at": "first"}, NOW)
+    runlog.record(spark, path, {"views_applied_at": "second"}, LATER)
+    runlog.record(spark, path, {"views_applied_at": "second"}, LATER)
+    runlog.record_first(spark, path, {"views_applied_at": "third", "first_applied_at": "x"}, LATER)
+    got = {r["key"]: (r["value"], r["updated_at"]) for r in rows_of(runlog.run_log(spark, path))}
+    assert got == {"schema_version": ("1", NOW), "views_applied_at": ("second", LATER), "first_applied_at": ("x", LATER)}
 
 
 def test_export_replaces_and_rejects(spark, tmp_path):
