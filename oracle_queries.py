@@ -821,16 +821,14 @@ BODIES = {
           from (select artist from artist_isni union all select artist from artist_ipi) group by artist) k on k.artist = a.id
         union all select concat('work:', id), name, 3 from work""",
     "stored_upsert_versions": """
-        with k as (select distinct artist from known),
-        first as (select id from artist),
-        counts as (
-          select 1 as version, 1 as updated_at, (select count(*) from first) as entries
-          union all select v, 1, (select count(*) from first where id not in (select artist from k))
+        select cast(version as bigint) as version, cast(updated_at as bigint) as updated_at, entries
+        from (
+          select 1 as version, 1 as updated_at, (select count(*) from artist) as entries
+          union all select v, 1, (select count(*) from artist where id not in (select artist from known))
           from (select unnest([2, 3]) as v)
-          union all select v, 2, (select count(*) from k) from (select unnest([2, 3]) as v)
+          union all select v, 2, (select count(distinct artist) from known) from (select unnest([2, 3]) as v)
           union all select 3, 3, (select count(*) from work))
-        select cast(version as bigint) as version, cast(updated_at as bigint) as updated_at, entries
-        from counts where entries > 0""",
+        where entries > 0""",
     "export_kpis": f"""
         select f.format, x.isrc, x.duplicate_count, x.risk_level, x.sample_recording_names
         from (select isrc, duplicate_count, risk_level, sample_recording_names from ({RISK})) x
