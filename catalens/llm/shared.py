@@ -83,6 +83,22 @@ def map_texts(
     ``new`` gives each new column's Spark and Arrow type.  ``start`` runs once a task and
     returns the function from a batch of texts to the new columns.
     """
+
+    def started() -> Callable[[pa.Array], Sequence[object]]:
+        work = start()
+        return lambda texts: work(texts.to_pylist())
+
+    return map_columns(docs, text_col, keep, new, started)
+
+
+def map_columns(
+    docs: DataFrame,
+    text_col: str,
+    keep: Sequence[Column | str],
+    new: Mapping[str, tuple[str, pa.DataType]],
+    start: Callable[[], Callable[[pa.Array], Sequence[object]]],
+) -> DataFrame:
+    """``map_texts`` of a function of the texts as an Arrow array."""
     ship_package(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("__llm_text"))
     kept = rows.drop("__llm_text").schema
@@ -91,7 +107,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            columns = work(batch.column(batch.num_columns - 1).to_pylist())
+            columns = work(batch.column(batch.num_columns - 1))
             arrays = [pa.array(c, type=kind) for c, (_, kind) in zip(columns, new.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
         release_memory()

@@ -33,6 +33,7 @@ unit.  Empty tables give empty results.  Only the columns named are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -42,13 +43,15 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.shared import map_texts, release_memory, work_folder, written
+from catalens.llm.shared import map_columns, release_memory, work_folder, written
 from catalens.llm.token_output import byte_letters
 
 BLANK_MARK = "▁"
@@ -69,10 +72,12 @@ TABLE_BYTES = 192 << 20
 PLACES = 2
 PAIR_BITS = 32
 LOW_ID = (1 << PAIR_BITS) - 1
-#: Characters of texts that are aligned at a time, about.
-AT_ONCE = 2 << 20
-#: How byte-level vocabularies write a blank.
-BLANK_LETTER = "\u0120"
+#: Bytes of texts that are aligned at a time, about.
+AT_ONCE = 8 << 20
+#: Characters of a unit beyond which it is encoded by itself, in time that grows less with them.
+LONG_UNIT = 500
+# Fixed value: how byte-level tokenizers of this kind split a text.
+BYTE_LEVEL_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -197,6 +202,32 @@ def counts_file(shard: int) -> str:
     return f"counts-{shard:07d}.bin"
 
 
+def flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+
+
+def among(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the ascending ``ends`` are among the ascending ``others``."""
+    if not len(others):
+        return np.zeros(len(ends), dtype=bool)
+    return others[np.minimum(np.searchsorted(others, ends), len(others) - 1)] == ends
+
+
+def byte_tokens(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary whose merges go by ascending id."""
+    with open(path, encoding="utf-8") as source:
+        model = json.load(source)["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = np.array([model["vocab"][a + b] for a, b in pairs])
+    value = {letter: byte for byte, letter in enumerate(byte_letters())}
+    if (np.diff(merged) <= 0).any() or not set(value) <= set(model["vocab"]):
+        raise ValueError("not a byte-level vocabulary in the order of its merges")
+    out = [b""] * (max(model["vocab"].values()) + 1)
+    for token, i in model["vocab"].items():
+        out[i] = bytes(map(value.__getitem__, token))
+    return out
+
+
 class Aligner:
     """Units met lately, by place: their tokens aligned, and what is known of them.
 
@@ -211,17 +242,15 @@ class Aligner:
         # Spark runs a worker per core; more threads in each would only get in their way.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.byte_level = Tokenizer.from_file(byte_path)
         self.byte_level.encode_special_tokens = True
-        self.model = self.byte_level.model
-        self.letters = byte_letters()
-        value = {letter: byte for byte, letter in enumerate(self.letters)}
-        spelled = self.byte_level.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(spelled.values()) + 1)
-        for token, i in spelled.items():
-            self.a_bytes[i] = bytes(map(value.__getitem__, token))
+        self.a_bytes = byte_tokens(byte_path)
+        # The same tokenizer, many times as fast; it has no special tokens.
+        ranks = {token: i for i, token in enumerate(self.a_bytes) if token}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         names = list(map(self.pieces.id_to_piece, range(self.pieces.get_piece_size())))
         if any(re.search(f"[^{BLANK_MARK}]{BLANK_MARK}", name) for name in names):
@@ -235,7 +264,6 @@ class Aligner:
         self.a_written, self.b_written = (
             [np.array([f"{i}{mark}" for i in range(len(x))], dtype=object) for mark in marks] for x, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))
         )
-        self.tails: dict[str, list[int]] = {}
         self.lookup: Lookup | None = None
         self.forget()
 
@@ -257,55 +285,71 @@ class Aligner:
         self.facts = np.zeros((0, len(COUNTS)), dtype=np.int64)
         self.judged = np.zeros(0, dtype=bool)
 
-    def a_ids(self, piece: str) -> list[int]:
-        stem = piece.rstrip(",.!?")
-        if stem.isalpha() and max(stem) < "\u0250":
-            spelled = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
-            ids = [t.id for t in self.model.tokenize(BLANK_LETTER + spelled)]
-            if stem != piece:
-                tail = piece[len(stem) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self.byte_level.encode(tail, add_special_tokens=False).ids
-                ids += self.tails[tail]
-            return ids
-        return self.byte_level.encode(f" {piece}", add_special_tokens=False).ids
+    def encoded(self, pieces: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first tokenizer's ids of the units, and how many each has; ``ends``: where units
+        end, in bytes."""
+        if all(len(p) <= LONG_UNIT for p in pieces):
+            ids = self.fast.encode_to_numpy(" " + " ".join(pieces), disallowed_special=()).astype(np.int64)
+            places = np.searchsorted(np.cumsum(self.a_sizes[ids]), ends, side="right")
+            return ids, np.diff(places, prepend=0)
+        each = [self.byte_level.encode(f" {p}", add_special_tokens=False).ids for p in pieces]
+        return flat(each), np.array(list(map(len, each)), dtype=np.int64)
 
     def add(self, pieces: list[str]) -> None:
         """Align new units: a blank and each of ``pieces``."""
-        a = list(map(self.a_ids, pieces))
+        closed = np.array([p != "" and VISIBLE.match(p[-1]) is not None for p in pieces], dtype=bool)
+        # Units that may stand one after the other as one text, then all others one by one.
+        alike = [p for p, own in zip(pieces, closed) if own and len(p) <= LONG_UNIT]
+        if alike:
+            self._add(alike, True)
+        for p, own in zip(pieces, closed):
+            if not own or len(p) > LONG_UNIT:
+                self._add([p], bool(own))
+
+    def _add(self, pieces: list[str], closed: bool) -> None:
+        whole = " " + " ".join(pieces)
+        spelled = whole.encode()
+        sizes = np.array(list(map(len, pieces)) if whole.isascii() else [len(p.encode()) for p in pieces], dtype=np.int64) + 1
+        ends = np.cumsum(sizes)
+        a, n_a = self.encoded(pieces, ends)
         b = self.pieces.encode(pieces, num_threads=1)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        good = np.array(
-            [p != "" and b"".join([a_bytes[i] for i in x]) == b"".join([b_bytes[i] for i in y]) == b" " + p.encode() for p, x, y in zip(pieces, a, b)], dtype=bool
-        )
-        for i in np.flatnonzero(~good):
-            a[i], b[i] = [], []
-        n_a, n_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (a, b))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        n_b = np.array(list(map(len, b)), dtype=np.int64)
+        b = flat(b)
+        unit_a, unit_b = np.repeat(np.arange(len(pieces)), n_a), np.repeat(np.arange(len(pieces)), n_b)
+        size_of = lambda unit, sizes: np.bincount(unit, sizes, len(pieces)).astype(np.int64)
+        good = (size_of(unit_a, self.a_sizes[a]) == sizes) & (size_of(unit_b, self.b_sizes[b]) == sizes)
+        joined = b"".join(map(self.b_bytes.__getitem__, b.tolist())) if good.all() else b""
+        if joined != spelled:
+            stops = np.cumsum(n_b)
+            for i, (end, to) in enumerate(zip(ends.tolist(), stops.tolist())):
+                own = b"".join([self.b_bytes[t] for t in b[to - n_b[i] : to]])
+                good[i] &= own == spelled[end - sizes[i] : end]
+        if not pieces[0]:
+            good[0] = False
+        if not good.all():
+            a, unit_a, b, unit_b = a[good[unit_a]], unit_a[good[unit_a]], b[good[unit_b]], unit_b[good[unit_b]]
+            n_a, n_b = n_a * good, n_b * good
         end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         # The second tokenizer's tokens that a token of the first overlaps: from, to.
         low = np.searchsorted(end_b, end_a - self.a_sizes[a], side="right")
         n = np.searchsorted(end_b, end_a) - low + 1
         links = np.repeat(a, n) << PAIR_BITS | b[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        unit_a, unit_b = np.repeat(np.arange(len(pieces)), n_a), np.repeat(np.arange(len(pieces)), n_b)
-        common = np.intersect1d(end_a, end_b)
-        ends_group = np.isin(end_a, common)
+        ends_group, ends_too = among(end_a, end_b), among(end_b, end_a)
         count = lambda unit, weights=None: np.bincount(unit, weights, len(pieces)).astype(np.int64)
         numbers = np.stack((n_a, n_b, count(unit_a, ends_group), count(unit_a, n)), axis=1)
 
         base = len(self.place)
         self.place.update(zip(pieces, range(base, base + len(pieces))))
         self.good = np.concatenate((self.good, good))
-        closed = np.array([p != "" and VISIBLE.match(p[-1]) is not None for p in pieces], dtype=bool)
-        self.closed = np.concatenate((self.closed, closed))
+        self.closed = np.concatenate((self.closed, np.full(len(pieces), closed)))
         self.numbers = np.concatenate((self.numbers, numbers))
         self.link_ends = np.concatenate((self.link_ends, len(self.links) + np.cumsum(numbers[:, 3])))
         self.links = np.concatenate((self.links, links))
         self.held += 250 * len(pieces) + 8 * len(links) + 2 * sum(map(len, pieces))
         if self.spell:
             written_a = np.where(ends_group, self.a_written[1][a], self.a_written[0][a])
-            written_b = np.where(np.isin(end_b, common), self.b_written[1][b], self.b_written[0][b])
-            group = np.concatenate((np.searchsorted(common, end_a), np.searchsorted(common, end_b)))
+            written_b = np.where(ends_too, self.b_written[1][b], self.b_written[0][b])
+            group = np.concatenate((np.cumsum(ends_group) - ends_group, np.cumsum(ends_too) - ends_too))
             order = np.argsort(2 * group + np.repeat((0, 1), (len(a), len(b))), kind="stable")
             texts = np.concatenate((written_a, written_b))[order].tolist()
             ends = np.cumsum(n_a + n_b).tolist()
@@ -314,21 +358,35 @@ class Aligner:
             self.held += sum(map(len, spelled))
 
     def known(self, pieces: list[str]) -> np.ndarray:
+        """The places of units, aligned now if they are new."""
+        new = [p for p in pieces if p not in self.place]
+        if new:
+            self.add(list(dict.fromkeys(new)))
         return np.fromiter(map(self.place.__getitem__, pieces), np.int32, len(pieces))
 
-    def places(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The units of each text; none of a text that has no tokens."""
-        split = [t.split(" ") if t and BLANK_MARK not in t else [] for t in texts]
-        self.add(list(set().union(*split).difference(self.place)))
-        found = list(map(self.known, split))
-        for i, own in enumerate(found):
-            if len(own) and not (self.closed[own[:-1]].all() and self.good[own[-1]]):
-                pieces = CUT.split(texts[i])
-                self.add(list(set(pieces).difference(self.place)))
-                found[i] = own = self.known(pieces)
-            if not self.good[own].all():
-                found[i] = own[:0]
-        return found
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts, one after the other, and where each text's end; none of a text
+        that has no tokens."""
+        plain = pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring(texts, BLANK_MARK)))
+        plain = pc.fill_null(plain, False).to_numpy(zero_copy_only=False)
+        listed = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        n = np.zeros(len(texts), dtype=np.int64)
+        n[plain] = pc.list_value_length(listed).to_numpy()
+        coded = listed.flatten().dictionary_encode()
+        units = self.known(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ends = np.cumsum(n)
+        last = np.zeros(len(units), dtype=bool)
+        last[ends[n > 0] - 1] = True
+        # Within a text, all units but the last must let a blank start the next.
+        bad = np.cumsum(np.concatenate(([0], ~self.good[units] | ~(self.closed[units] | last))))
+        odd = np.flatnonzero(bad[ends] > bad[ends - n])
+        if len(odd):
+            split = np.split(units, ends[:-1])
+            for i in odd.tolist():
+                own = self.known(CUT.split(texts[i].as_py()))
+                split[i] = own if self.good[own].all() else own[:0]
+            units, ends = np.concatenate(split), np.cumsum(list(map(len, split)))
+        return units, ends
 
     def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The links of the units, and the number of each unit's."""
@@ -341,9 +399,9 @@ class Aligner:
         more = len(self.place) - len(self.facts)
         self.facts = np.concatenate((self.facts, np.zeros((more, len(COUNTS)), dtype=np.int64)))
         self.judged = np.concatenate((self.judged, np.zeros(more, dtype=bool)))
-        new = np.unique(used[~self.judged[used]])
+        new = pd.unique(used[~self.judged[used]])
         links, n = self.links_of(new)
-        pairs, place = np.unique(links, return_inverse=True)
+        place, pairs = pd.factorize(links)
         own = np.repeat(new, n)
         counts = self.lookup(pairs)
         best = counts == self.lookup.counts.highest[pairs & LOW_ID]
@@ -370,17 +428,15 @@ def aligner(byte_path: str, piece_path: str, spell: bool) -> Aligner:
     return _ALIGNERS[key]
 
 
-def chunks(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
-    """Texts of ``AT_ONCE`` characters at a time, about."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text or "")
-        if size >= AT_ONCE:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts of ``AT_ONCE`` bytes at a time, about."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + AT_ONCE)))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 @dataclass(frozen=True)
@@ -442,15 +498,14 @@ def task_pairs(docs: DataFrame, byte_path: str, piece_path: str, text_col: str =
         def counted() -> pa.RecordBatch:
             at = np.flatnonzero(seen)
             links, each = units.links_of(at)
-            pairs, place = np.unique(links, return_inverse=True)
+            place, pairs = pd.factorize(links)
             n = np.zeros(len(pairs), dtype=np.int64)
             np.add.at(n, place, np.repeat(seen[at], each))
             return pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(pairs), node), pa.int64()), "slot": slots(pairs), "pair": pairs, "n": n})
 
         for batch in batches:
-            for texts in chunks(t.as_py() for t in batch.column(0)):
-                found = units.places(texts)
-                more = np.bincount(np.concatenate([np.zeros(0, np.int32), *found]), minlength=len(units.place))
+            for texts in chunks(batch.column(0)):
+                more = np.bincount(units.places(texts)[0], minlength=len(units.place))
                 more[: len(seen)] += seen
                 seen = more
                 if units.full():
@@ -585,22 +640,24 @@ def align(docs: DataFrame, counts: PairCounts, byte_path: str, piece_path: str,
         if units.lookup is None or units.lookup.counts.folder != held.value.folder:
             units.judge_by(held.value)
 
-        def work(texts: list[str | None]) -> list:
+        def work(texts: pa.Array) -> list:
             groups: list[str] = []
-            sums = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
-            for some in chunks(iter(texts)):
-                found = units.places(some)
-                units.judge(np.concatenate(found))
-                for own in found:
-                    sums[len(groups)] = units.facts[own].sum(axis=0)
-                    groups.append(";".join([units.groups[i] for i in own.tolist()]))
+            sums = []
+            for some in chunks(texts):
+                found, ends = units.places(some)
+                units.judge(found)
+                total = np.concatenate((np.zeros((1, len(COUNTS)), np.int64), np.cumsum(units.facts[found], axis=0)))
+                begins = np.concatenate(([0], ends[:-1]))
+                sums.append(total[ends] - total[begins])
+                spelled = list(map(units.groups.__getitem__, found.tolist()))
+                groups += [";".join(spelled[i:j]) for i, j in zip(begins.tolist(), ends.tolist())]
                 if units.full():
                     units.forget()
-            return [groups, *sums.T]
+            return [groups, *np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *sums]).T]
 
         return work
 
-    return map_texts(docs, text_col, keep, new, start)
+    return map_columns(docs, text_col, keep, new, start)
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

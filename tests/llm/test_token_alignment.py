@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from brute import prose
@@ -117,7 +118,8 @@ def test_units_spell_whole_texts(encoders):
     rng = random.Random(7)
     letters = list("aB1é.,'-_ \t\n\r  ") + [" ", " ", "\u200d", "ß", "語", "😀", "\u0301", "s", "'s", "the", "ing", "\u0085", "\x1c", "!?", "ɐ", "ª"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
-    for text, own in zip(texts, units.places(texts)):
+    found, ends = units.places(pa.array(texts))
+    for text, own in zip(texts, np.split(found, ends[:-1])):
         a, b = tokens(encoders, text)
         assert units.numbers[own].sum(axis=0)[:2].tolist() == [len(a), len(b)], text
         groups = [g.split("|") for g in ";".join(units.groups[i] for i in own).split(";") if g]
@@ -130,9 +132,11 @@ def test_workers_that_start_afresh(spark, documents, encoders, monkeypatch):
     rng = random.Random(8)
     rows = [(i, prose(rng, 40, 3000)) for i in range(60)]
     units = token_alignment.Aligner(A_PATH, B_PATH, True)
-    for some in token_alignment.chunks(t for _, t in rows):
-        found = units.places(some)
-        assert len(found) == len(some) and all(map(len, found))
+    some_texts = list(token_alignment.chunks(pa.array([t for _, t in rows] + [None, "x" * 1000])))
+    assert len(some_texts) > 20 and sum(map(len, some_texts)) == 62
+    for some in some_texts:
+        found, ends = units.places(some)
+        assert len(ends) == len(some) and ends[-1] == len(found)
         units.held = token_alignment.HELD_BYTES + 1
         assert units.full()
         units.forget()
