@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions.numeric import pct
+from catalens.operators import bitmaps
 from catalens.operators.evidence import Evidence, observe
 from catalens.operators.skew import salted_join
 
@@ -30,17 +31,41 @@ def coded_state(
     return observe(entity, [Evidence(link, link_key, {"coded": None})], carry=carry)
 
 
+def membership(entity: DataFrame, link: DataFrame, link_key: str) -> DataFrame:
+    """Who is in the population (``member``) and who is named by a link (``linked``), as bitmaps.
+
+    Worth storing: it is a sixty-fourth of the ids, and its size then decides how link rows
+    meet it.
+    """
+    return bitmaps.id_sets({"member": (entity, "id"), "linked": (link, link_key)})
+
+
+def member_pairs(words: DataFrame, link: DataFrame, link_key: str, code: str) -> DataFrame:
+    """``code_pairs`` that carry nothing, by the bitmaps of ``membership``."""
+    return bitmaps.members(_coded(link, link_key, code), "id", words, "member")
+
+
+def _coded(link: DataFrame, link_key: str, code: str) -> DataFrame:
+    return link.where(f"{code} is not null").selectExpr(f"{link_key} as id", code)
+
+
 def code_groups(pairs: DataFrame, code: str) -> DataFrame:
     """Per code: how many distinct entities share it, and how many rows say so.
 
-    Pairs arrive partitioned by entity, so counting copies per pair needs no shuffle and
-    the one shuffle, by code, carries partial counts: a code that holds a third of the
-    rows reaches its reducer as one row per task.
+    Rows are counted before anything is shuffled; distinct entities are counted by bitmap.
     """
-    per_pair = pairs.groupBy(code, "id").agg(F.count(F.lit(1)).alias("copies"))
-    return per_pair.groupBy(code).agg(
-        F.count(F.lit(1)).alias("entities"), F.sum("copies").alias("rows")
-    )
+    key = F.col("id").cast("bigint")
+    bits = pairs.select(code, bitmaps.word_of(key).alias(bitmaps.WORD), bitmaps.bit_of(key).alias("bits"))
+    words = bits.groupBy(code, bitmaps.WORD).agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("rows"))
+    return words.groupBy(code).agg(F.sum(F.bit_count("bits")).alias("entities"), F.sum("rows").alias("rows"))
+
+
+def code_ranges(pairs: DataFrame, code: str) -> DataFrame:
+    """(code, low, high, rows): a code is shared if its least and greatest entity differ.
+
+    One shuffle of one row per code and task, whatever the codes and their repeats.
+    """
+    return pairs.groupBy(code).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("rows"))
 
 
 def coverage(
@@ -49,32 +74,41 @@ def coverage(
     link_key: str,
     code: str,
     entities: str,
+    stored: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
     """One row of coverage and duplicate figures; ``entity`` is the filtered population.
 
+    Three steps, each of which ``stored`` may write and read back: the bitmaps of who is there,
+    one row per code, and the codes whose entities have to be counted one by one.  Stored,
+    the first and last have a size that Spark knows, and as long as it lets them be broadcast
+    the only shuffle is that of one row per code and task; the link table is scanned twice.
+
     An entity counts as covered when a link row names it, even one without a code;
     codes and duplicates look at non-NULL codes only.
     """
     with_code, without = f"{entities}_with_{code}", f"{entities}_without_{code}"
     zero = "cast(0 as bigint)"
-    # Both branches shuffle the population's ids by id: Spark runs that exchange once.
-    pairs = code_pairs(entity, link, link_key, code)
-    covered = coded_state(entity, link, link_key).selectExpr(
-        "count(*) as total",
-        "count_if(coded = 1) as coded",
-        f"{zero} as codes",
-        f"{zero} as shared",
-        f"{zero} as sharing",
+    words = stored(membership(entity, link, link_key), f"{entities}-members")
+    member, linked = F.col("member"), F.col("linked")
+    covered = words.agg(bitmaps.size(member).alias("total"), bitmaps.size(member.bitwiseAND(linked)).alias("coded")).selectExpr(
+        "total", "coded", f"{zero} as codes", f"{zero} as shared", f"{zero} as sharing"
     )
-    codes = code_groups(pairs, code).selectExpr(
+    pairs = member_pairs(words, link, link_key, code)
+    ranges = stored(code_ranges(pairs, code), f"{entities}-codes")
+    # Two rows of different entities are two entities; more rows may repeat some.
+    codes = ranges.selectExpr(
         f"{zero} as total",
         f"{zero} as coded",
         "count(*) as codes",
-        "count_if(entities > 1) as shared",
-        "coalesce(sum(case when entities > 1 then entities end), 0) as sharing",
+        "count_if(low < high) as shared",
+        "coalesce(sum(case when low < high and rows = 2 then 2L end), 0L) as sharing",
     )
-    # Two one-row frames become one row by addition, which needs no join.
-    one_row = covered.unionByName(codes).groupBy().sum().toDF(*covered.columns)
+    several = stored(ranges.where("low < high and rows > 2").select(code), f"{entities}-several")
+    counted = bitmaps.distinct_ids(pairs.join(several, code, "left_semi"), code, "id").selectExpr(
+        f"{zero} as total", f"{zero} as coded", f"{zero} as codes", f"{zero} as shared", "coalesce(sum(ids), 0L) as sharing"
+    )
+    # One-row frames become one row by addition, which needs no join.
+    one_row = covered.unionByName(codes).unionByName(counted).groupBy().sum().toDF(*covered.columns)
     return one_row.select(
         F.col("total").alias(f"total_{entities}"),
         F.col("coded").alias(with_code),
@@ -90,7 +124,7 @@ def coverage(
 
 def shared_codes(pairs: DataFrame, code: str) -> DataFrame:
     """The codes more than one entity carries."""
-    return code_groups(pairs, code).where("entities > 1").select(code)
+    return code_ranges(pairs, code).where("low < high").select(code)
 
 
 def code_status(
@@ -99,6 +133,7 @@ def code_status(
     link_key: str,
     code: str,
     labels: tuple[str, str, str],
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (entity, code) with a status of (missing, duplicate, unique).
 
@@ -108,7 +143,8 @@ def code_status(
     missing, duplicate, unique = labels
     status = f"{code}_status"
     rows = link.select(F.col(link_key).alias("id"), code)
-    pairs = code_pairs(entity, link, link_key, code)
+    words = membership(entity, link, link_key) if words is None else words
+    pairs = member_pairs(words, link, link_key, code)
     shared = shared_codes(pairs, code).withColumn("shared", F.lit(True))
     judged = (
         salted_join(rows.filter(F.col(code).isNotNull()), shared, code, "left", ["id"])
@@ -139,7 +175,7 @@ def coverage_gaps(
     )
     pairs = code_pairs(entity, link, link_key, code, carry)
     # A placeholder code may be held by a large share of all entities.
-    sharing = salted_join(pairs, shared_codes(pairs, code), code, "left_semi", ["id"]).selectExpr(
-        f"'{duplicate}' as sample_type", "id", code, *carry
-    )
+    sharing = salted_join(
+        pairs, shared_codes(pairs, code), code, "left_semi", ["id"], keys_from=_coded(link, link_key, code)
+    ).selectExpr(f"'{duplicate}' as sample_type", "id", code, *carry)
     return without.union(sharing)

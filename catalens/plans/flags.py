@@ -102,12 +102,13 @@ def artist_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFra
         key="artist_credit",
     )
     credited = cat["artist_credit_name"].select("artist_credit", "artist")
+    credited = salted_join(credited, credits, "artist_credit", "inner", ["artist"])
     return observe(
         settled(persons(cat["artist"])),
         [
             Evidence(cat["artist_isni"], "artist", {"has_artist_id": None}),
             Evidence(cat["artist_ipi"], "artist", {"has_artist_id": None}),
-            Evidence.of_flags(credited.join(credits, "artist_credit"), "artist", names),
+            Evidence.of_flags(credited, "artist", names),
         ],
     )
 
@@ -158,7 +159,7 @@ def release_flags(
         .select("id", "recording", "release")
     )
     by_recording = facts.select(F.col("id").alias("recording"), *names)
-    tracks = salted_join(tracks, by_recording, "recording", "inner", ["id"])
+    tracks = salted_join(tracks, by_recording, "recording", "inner", ["id"], keys_from=cat["track"])
     return observe(
         settled(cat["release"]).join(groups, "release_group", "left"),
         [Evidence.of_flags(tracks, "release", names)],

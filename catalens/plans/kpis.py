@@ -36,6 +36,7 @@ from catalens.plans.flags import (
     work_flags,
 )
 from catalens.sources.catalogue import Catalogue
+from catalens.sources.store import shared_table
 
 AsOf = dt.datetime | None
 
@@ -147,12 +148,12 @@ def stats_overview(cat: Catalogue, as_of: AsOf = None, seed: int = DEFAULT_SEED)
 
 
 def kpi_isrc_coverage(cat: Catalogue, as_of: AsOf = None, seed: int = DEFAULT_SEED) -> DataFrame:
-    figures = coverage(settled(cat["recording"]), cat["isrc"], "recording", "isrc", "recordings")
+    figures = coverage(settled(cat["recording"]), cat["isrc"], "recording", "isrc", "recordings", shared_table)
     return figures.select("*", *_stamp(as_of, SCOPE_COVERAGE))
 
 
 def kpi_iswc_coverage(cat: Catalogue, as_of: AsOf = None, seed: int = DEFAULT_SEED) -> DataFrame:
-    figures = coverage(settled(cat["work"]), cat["iswc"], "work", "iswc", "works")
+    figures = coverage(settled(cat["work"]), cat["iswc"], "work", "iswc", "works", shared_table)
     return figures.select("*", *_stamp(as_of, SCOPE_COVERAGE))
 
 

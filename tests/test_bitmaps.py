@@ -1,0 +1,82 @@
+"""Sets of ids as words, against Python sets."""
+
+from __future__ import annotations
+
+import random
+
+from oracle_tools import rows_of
+from pyspark.sql import functions as F
+
+from catalens.operators import bitmaps
+from catalens.operators.coverage import code_groups, code_ranges, coverage
+from catalens.sources import store
+
+EDGES = [0, 1, 63, 64, 65, 127, 128, -1, -64, -65, 2**62, -(2**62), 2**63 - 1, -(2**63)]
+
+
+def ids(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "id bigint")
+
+
+def test_sets_and_their_sizes(spark):
+    rng = random.Random(1)
+    a = [rng.choice(EDGES + list(range(300))) for _ in range(400)] + [None]
+    b = [rng.choice(EDGES + list(range(300))) for _ in range(100)] + [None, None]
+    words = bitmaps.id_sets({"a": (ids(spark, a), "id"), "b": (ids(spark, b), "id")})
+    both = F.col("a").bitwiseAND(F.col("b"))
+    (row,) = words.agg(bitmaps.size(F.col("a")).alias("a"), bitmaps.size(F.col("b")).alias("b"), bitmaps.size(both).alias("both")).collect()
+    a, b = set(a) - {None}, set(b) - {None}
+    assert tuple(row) == (len(a), len(b), len(a & b))
+    assert words.count() == len({v >> 6 for v in a | b})  # never more rows than ids
+    kept = [r.id for r in bitmaps.members(ids(spark, [*EDGES, None, 5, 5]), "id", words, "a").collect()]
+    assert sorted(kept) == sorted(v for v in [*EDGES, 5, 5] if v in a)
+
+
+def test_empty_sets(spark):
+    words = bitmaps.id_sets({"a": (ids(spark, [None]), "id")})
+    assert words.agg(bitmaps.size(F.col("a"))).first()[0] == 0
+    assert bitmaps.members(ids(spark, [1]), "id", words, "a").collect() == []
+
+
+def test_united_parts(spark):
+    parts = [bitmaps.id_sets({"a": (ids(spark, values), "id")}) for values in ([1, 2, 64], [2, 3], [])]
+    whole = bitmaps.united(parts[0].union(parts[1]).union(parts[2]), ["a"])
+    assert whole.agg(bitmaps.size(F.col("a"))).first()[0] == 4
+
+
+def test_codes_against_sets(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(200) - 50, rng.choice("abcdefgh") + str(rng.randrange(9))) for _ in range(400)]
+    pairs += pairs[:50] + [(1, "twice"), (1, "twice"), (2, "hot")] + [(i, "hot") for i in range(300)]
+    df = spark.createDataFrame(pairs, "id bigint, code string")
+    by_code = {}
+    for i, c in pairs:
+        by_code.setdefault(c, []).append(i)
+    assert {r["code"]: (r["entities"], r["rows"]) for r in rows_of(code_groups(df, "code"))} == {c: (len(set(v)), len(v)) for c, v in by_code.items()}
+    assert {r["code"]: (r["low"], r["high"], r["rows"]) for r in rows_of(code_ranges(df, "code"))} == {c: (min(v), max(v), len(v)) for c, v in by_code.items()}
+
+
+def test_coverage_stored_or_not(spark):
+    """Repeated link rows, entities outside the population, NULL codes and keys."""
+    entity = spark.range(100).selectExpr("id")
+    links = [(i % 130, f"c{i % 37}") for i in range(200)] + [(5, "c5")] * 3 + [(None, "x"), (3, None), (500, "out"), (99, None)]
+    link = spark.createDataFrame(links, "entity bigint, code string")
+    inside = [(i, c) for i, c in links if i is not None and i < 100]
+    sets = {}
+    for i, c in inside:
+        if c is not None:
+            sets.setdefault(c, set()).add(i)
+    shared = [s for s in sets.values() if len(s) > 1]
+    lazy = coverage(entity, link, "entity", "code", "things").first()
+    assert coverage(entity, link, "entity", "code", "things", store.shared_table).first() == lazy
+    assert (lazy.total_things, lazy.things_with_code, lazy.unique_codes) == (100, len({i for i, _ in inside}), len(sets))
+    assert (lazy.duplicate_code_count, lazy.total_duplicate_things) == (len(shared), sum(map(len, shared)))
+
+
+def test_stored_coverage_shuffles_no_link_rows(spark):
+    """Link rows meet stored bitmaps without a shuffle, while these are small."""
+    entity, link = spark.range(5000).selectExpr("id"), spark.range(4000).selectExpr("id * 2 as entity", "concat('c', id % 900) as code")
+    df = coverage(entity, link, "entity", "code", "things", store.shared_table)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") == 2

@@ -11,7 +11,7 @@ from oracle_tools import rows_of
 
 from catalens.operators.evidence import Evidence, observe
 from catalens.operators.identifiers import presence_profile
-from catalens.operators.skew import salted_join
+from catalens.operators.skew import heavy_keys, salted_join
 from catalens.plans import flags, kpis, reports
 from catalens.plans.publish import publish
 from catalens.sources import runlog, store
@@ -69,6 +69,7 @@ def hot(make_catalogue):
     [
         ("artist", flags._identified_credits),
         ("artist_credit", flags.recording_facts),
+        ("artist_credit", flags.artist_flags),
         ("entity1", flags.recording_facts),
         ("recording", flags.release_flags),
         ("isrc", kpis.kpi_isrc_coverage_samples),
@@ -85,9 +86,43 @@ def test_hot_keys_are_salted(spark, hot, key, build):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_salted_join_is_the_join(spark, how):
-    many = spark.range(300).selectExpr("id", "if(id % 2 = 0, 0, id % 40) as k", "if(id % 7 = 0, null, 1) as x")
+    many = spark.range(300).selectExpr("id", "case when id % 5 = 0 then null when id % 2 = 0 then 0 else id % 40 end as k", "if(id % 7 = 0, null, 1) as x")
     few = spark.range(0, 60, 2).selectExpr("id as k", "id * 10 as v")
-    assert sorted(salted_join(many, few, "k", how, ["id"]).collect(), key=str) == sorted(many.join(few, "k", how).collect(), key=str)
+    for parts in (None, 2, 50):
+        assert sorted(salted_join(many, few, "k", how, ["id"], parts=parts).collect(), key=str) == sorted(many.join(few, "k", how).collect(), key=str)
+    names = many.selectExpr("id", "concat('n', k) as k"), few.selectExpr("concat('n', k) as k", "v")
+    assert sorted(salted_join(*names, "k", how, ["id"]).collect(), key=str) == sorted(names[0].join(names[1], "k", how).collect(), key=str)
+
+
+def test_heavy_keys_are_those_above_an_even_part(spark):
+    """A third of the rows, a tenth, and keys of one row each, dealt to 100 parts."""
+    rows = spark.range(30_000).selectExpr("case when id % 3 = 0 then -1 when id % 10 = 1 then -2 else id end as k")
+    expected = {r.k: r["count"] for r in rows.groupBy("k").count().where("count > 300").collect()}
+    got = {r.k: r._parts for r in heavy_keys(rows, "k", 100).collect()}
+    assert got == {k: -(-n * 100 // 30_000) for k, n in expected.items()} and set(got) == {-1, -2}
+    assert heavy_keys(spark.range(1000).selectExpr("id as k"), "k", 100).collect() == []
+    assert heavy_keys(spark.range(0).selectExpr("id as k"), "k").collect() == []
+    assert heavy_keys(spark.range(9).selectExpr("cast(null as string) as k"), "k").collect() == []
+
+
+def test_more_rows_need_more_parts_and_others_none(spark):
+    """A hot key is spread over as many parts as it fills, and only its row of the narrow side
+    is copied."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(100_000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
+    few = spark.range(1000).selectExpr("id as k", "id as v")
+    for parts in (10, 100):
+        with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions=str(parts)):
+            joined = salted_join(many, few, "k", "inner", ["id"])
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == many.join(few, "k").count()
+            # The hot key's rows meet in several partitions, none of which holds most of them.
+            assert max(sizes) < 0.62 * sum(sizes) if parts == 10 else max(sizes) < 0.12 * sum(sizes)
+            plan = joined._jdf.queryExecution().analyzed().toString()
+            assert plan.count("approx_top_k") >= 1
+    copies = heavy_keys(many, "k", 100).agg(F.sum("_parts")).first()[0]
+    assert copies <= 100  # rows the narrow side gains, of a thousand
 
 
 def test_confidence_report_reads_the_facts_once(spark):
