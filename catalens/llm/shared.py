@@ -10,7 +10,9 @@ import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +99,12 @@ def map_columns(
     keep: Sequence[Column | str],
     new: Mapping[str, tuple[str, pa.DataType]],
     start: Callable[[], Callable[[pa.Array], Sequence[object]]],
+    at_once: int | None = None,
 ) -> DataFrame:
-    """``map_texts`` of a function of the texts as an Arrow array."""
+    """``map_texts`` of a function of the texts as an Arrow array.
+
+    ``at_once`` bounds the bytes of texts that are handled together, a single text aside.
+    """
     ship_package(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("__llm_text"))
     kept = rows.drop("__llm_text").schema
@@ -106,10 +112,22 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            columns = work(batch.column(batch.num_columns - 1))
-            arrays = [pa.array(c, type=kind) for c, (_, kind) in zip(columns, new.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
+        for whole in batches:
+            for batch in [whole] if at_once is None else sliced(whole, whole.column(whole.num_columns - 1), at_once):
+                columns = work(batch.column(batch.num_columns - 1))
+                arrays = [pa.array(c, type=kind) for c, (_, kind) in zip(columns, new.values())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
         release_memory()
 
     return rows.mapInArrow(run, schema)
+
+
+def sliced(rows: pa.RecordBatch | pa.Array, texts: pa.Array, at_once: int) -> Iterator[pa.RecordBatch | pa.Array]:
+    """``rows`` in slices of about ``at_once`` bytes of ``texts``, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + at_once)))
+        yield rows.slice(at, to - at)
+        at = to

@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.shared import map_columns, release_memory, work_folder, written
+from catalens.llm.shared import map_columns, release_memory, sliced, work_folder, written
 from catalens.llm.token_output import byte_letters
 
 BLANK_MARK = "▁"
@@ -59,7 +59,7 @@ BLANK_MARK = "▁"
 CUT = re.compile(r"(?<=[!-~\w]) (?=.)", re.DOTALL)
 VISIBLE = re.compile(r"[!-~\w]")
 #: Bytes of units, about, after which a worker starts afresh.
-HELD_BYTES = 120 << 20
+HELD_BYTES = 80 << 20
 #: Distinct pairs in a shard, about; and the most shards there can be.
 SHARD_PAIRS = 1 << 20
 MOST_SHARDS = 1 << 20
@@ -73,7 +73,7 @@ PLACES = 2
 PAIR_BITS = 32
 LOW_ID = (1 << PAIR_BITS) - 1
 #: Bytes of texts that are aligned at a time, about.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: Characters of a unit beyond which it is encoded by itself, in time that grows less with them.
 LONG_UNIT = 500
 # Fixed value: how byte-level tokenizers of this kind split a text.
@@ -428,17 +428,6 @@ def aligner(byte_path: str, piece_path: str, spell: bool) -> Aligner:
     return _ALIGNERS[key]
 
 
-def chunks(texts: pa.Array) -> Iterator[pa.Array]:
-    """Texts of ``AT_ONCE`` bytes at a time, about."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        before = int(sizes[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, before + AT_ONCE)))
-        yield texts.slice(at, to - at)
-        at = to
-
-
 @dataclass(frozen=True)
 class PairCounts:
     """Counts of id pairs as files: their folder, shards, and each second id's highest count."""
@@ -504,7 +493,7 @@ def task_pairs(docs: DataFrame, byte_path: str, piece_path: str, text_col: str =
             return pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(pairs), node), pa.int64()), "slot": slots(pairs), "pair": pairs, "n": n})
 
         for batch in batches:
-            for texts in chunks(batch.column(0)):
+            for texts in sliced(batch.column(0), batch.column(0), AT_ONCE):
                 more = np.bincount(units.places(texts)[0], minlength=len(units.place))
                 more[: len(seen)] += seen
                 seen = more
@@ -641,23 +630,19 @@ def align(docs: DataFrame, counts: PairCounts, byte_path: str, piece_path: str,
             units.judge_by(held.value)
 
         def work(texts: pa.Array) -> list:
-            groups: list[str] = []
-            sums = []
-            for some in chunks(texts):
-                found, ends = units.places(some)
-                units.judge(found)
-                total = np.concatenate((np.zeros((1, len(COUNTS)), np.int64), np.cumsum(units.facts[found], axis=0)))
-                begins = np.concatenate(([0], ends[:-1]))
-                sums.append(total[ends] - total[begins])
-                spelled = list(map(units.groups.__getitem__, found.tolist()))
-                groups += [";".join(spelled[i:j]) for i, j in zip(begins.tolist(), ends.tolist())]
-                if units.full():
-                    units.forget()
-            return [groups, *np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *sums]).T]
+            found, ends = units.places(texts)
+            units.judge(found)
+            begins = np.concatenate(([0], ends[:-1]))
+            total = np.concatenate((np.zeros((1, len(COUNTS)), np.int64), np.cumsum(units.facts[found], axis=0)))
+            spelled = list(map(units.groups.__getitem__, found.tolist()))
+            groups = [";".join(spelled[i:j]) for i, j in zip(begins.tolist(), ends.tolist())]
+            if units.full():
+                units.forget()
+            return [groups, *(total[ends] - total[begins]).T]
 
         return work
 
-    return map_columns(docs, text_col, keep, new, start)
+    return map_columns(docs, text_col, keep, new, start, AT_ONCE)
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ from brute import prose
 from tokenizers import Tokenizer
 
 from catalens.llm import queries, token_alignment
+from catalens.llm.shared import sliced
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -127,12 +128,12 @@ def test_units_spell_whole_texts(encoders):
         assert [int(i) for g in groups for i in g[1].split(",")] == [i for i, *_ in b], text
 
 
-def test_workers_that_start_afresh(spark, documents, encoders, monkeypatch):
-    monkeypatch.setattr(token_alignment, "AT_ONCE", 300)
+def test_workers_that_start_afresh(encoders):
     rng = random.Random(8)
     rows = [(i, prose(rng, 40, 3000)) for i in range(60)]
     units = token_alignment.Aligner(A_PATH, B_PATH, True)
-    some_texts = list(token_alignment.chunks(pa.array([t for _, t in rows] + [None, "x" * 1000])))
+    texts = pa.array([t for _, t in rows] + [None, "x" * 1000])
+    some_texts = list(sliced(texts, texts, 300))
     assert len(some_texts) > 20 and sum(map(len, some_texts)) == 62
     for some in some_texts:
         found, ends = units.places(some)
