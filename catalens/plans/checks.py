@@ -77,3 +77,18 @@ def data_checks(
         *[_confidence(label, entity, cat, facts) for label, entity in ENTITIES.items()],
     ]
     return reduce(DataFrame.unionByName, frames)
+
+
+def key_checks(report: DataFrame) -> DataFrame:
+    """check, status, value of each key column of a ``key_report``."""
+    column = F.concat("table_name", F.lit("."), "column_name")
+    broken = F.col("repeated_rows") + F.col("null_rows")
+    own = (F.col("table_name") == F.col("refers_to")) & (F.col("column_name") == "id")
+    unique = F.struct(F.concat(column, F.lit(" holds each id once")).alias("check"), _verdict(broken == 0).alias("status"), broken.cast("double").alias("value"))
+    lost = F.col("missing_ids")
+    there = F.struct(
+        F.concat(column, F.lit(" refers to rows of "), "refers_to").alias("check"),
+        F.when(lost == 0, "ok").otherwise("warn").alias("status"),
+        lost.cast("double").alias("value"),
+    )
+    return report.select(F.when(own, unique).otherwise(there).alias("c")).select("c.*")

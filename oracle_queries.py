@@ -875,6 +875,42 @@ BODIES = {
           avg(phase1_high_percentage) as avg_phase1_high_pct from ({LEVELS}) group by 1, 2""",
 }
 
+# Key column -> the table whose ids it holds.
+KEY_COLUMNS = {
+    **{f"{t}.id": t for t in ("artist", "url", "artist_credit", "recording", "work", "release_group", "release", "medium", "track")},
+    "artist_ipi.artist": "artist", "artist_isni.artist": "artist", "l_artist_url.entity0": "artist", "l_artist_url.entity1": "url",
+    "artist_credit_name.artist_credit": "artist_credit", "artist_credit_name.artist": "artist", "recording.artist_credit": "artist_credit",
+    "isrc.recording": "recording", "iswc.work": "work", "l_recording_work.entity0": "recording", "l_recording_work.entity1": "work",
+    "release.release_group": "release_group", "medium.release": "release", "track.medium": "medium", "track.recording": "recording",
+}
+
+
+def _key_report(column: str, target: str) -> str:
+    table, name = column.split(".")
+    repeated = f"count({name}) - count(distinct {name})" if column == f"{target}.id" else "0"
+    return f"""
+        select '{table}' as table_name, '{name}' as column_name, '{target}' as refers_to, count(*) as row_count,
+          count(*) - count({name}) as null_rows, count(distinct {name}) as distinct_ids,
+          cast({repeated} as bigint) as repeated_rows,
+          count(distinct case when {name} not in (select id from {target} where id is not null) then {name} end) as missing_ids
+        from {table} having count(*) > 0"""
+
+
+def _key_violations(column: str, target: str) -> str:
+    table, name = column.split(".")
+    head = f"select '{table}' as table_name, '{name}' as column_name"
+    if column == f"{target}.id":
+        return f"""
+        {head}, 'repeated id' as problem, id, count(*) as rows from {table} where id is not null group by id having count(*) > 1
+        union all {head}, 'null id', null, count(*) from {table} where id is null having count(*) > 0"""
+    return f"""
+        {head}, 'missing id' as problem, {name} as id, cast(null as bigint) as rows from {table}
+        where {name} is not null and {name} not in (select id from {target} where id is not null) group by {name}"""
+
+
+BODIES["catalogue_keys"] = " union all ".join(f"select * from ({_key_report(c, t)})" for c, t in KEY_COLUMNS.items())
+BODIES["key_violations"] = " union all ".join(f"select * from ({_key_violations(c, t)})" for c, t in KEY_COLUMNS.items())
+
 BODIES["published_views"] = " union all ".join(
     f"select '{name}' as view_name, '{kpi.description}' as description, "
     f"(select count(*) from ({BODIES[name]})) as row_count"
