@@ -19,6 +19,9 @@ from catalens.sources.catalogue import Catalogue
 from catalens.sources.store import shared_table
 
 RECORDING_FLAGS = ("has_isrc", "has_iswc", "has_artist_id", "on_release")
+#: What works and releases take over from their recordings.
+WORK_ROLL_UP = ("has_isrc", "has_artist_id", "on_release")
+RELEASE_ROLL_UP = ("has_isrc", "has_iswc", "has_artist_id")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -113,13 +116,19 @@ def artist_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFra
     )
 
 
-def work_flags(cat: Catalogue, recordings: DataFrame | None = None) -> DataFrame:
-    """Settled works: has_iswc, has_isrc, has_artist_id, on_release."""
-    names = ("has_isrc", "has_artist_id", "on_release")
-    facts = recording_facts(cat, names) if recordings is None else recordings
-    linked = cat["l_recording_work"].join(
-        facts.select(F.col("id").alias("entity0"), *names), "entity0"
-    )
+def work_flags(
+    cat: Catalogue, recordings: DataFrame | None = None, linked: DataFrame | None = None
+) -> DataFrame:
+    """Settled works: has_iswc, has_isrc, has_artist_id, on_release.
+
+    ``linked`` shares ready work links with the flags of their recordings.
+    """
+    names = WORK_ROLL_UP
+    if linked is None:
+        facts = recording_facts(cat, names) if recordings is None else recordings
+        linked = cat["l_recording_work"].join(
+            facts.select(F.col("id").alias("entity0"), *names), "entity0"
+        )
     return observe(
         settled(cat["work"]),
         [
@@ -140,28 +149,39 @@ def release_flags(
     recordings: DataFrame | None = None,
     has_date: str = "release_group_type is not null",
     has_country: str = "status is not null",
+    tracks: DataFrame | None = None,
 ) -> DataFrame:
     """Settled releases: has_date, has_country, has_isrc, has_iswc, has_artist_id.
 
     The catalogue holds no dates or countries, so by default a typed release group
     stands in for a date and a status for a country.  A caller whose release table has
-    the real columns passes SQL conditions over them.
+    the real columns passes SQL conditions over them.  ``tracks`` shares ready tracks (by
+    medium) with the flags of their recordings.
     """
-    names = ("has_isrc", "has_iswc", "has_artist_id")
-    facts = recording_facts(cat, names) if recordings is None else recordings
+    names = RELEASE_ROLL_UP
     groups = cat["release_group"].select(
         F.col("id").alias("release_group"), F.col("type").alias("release_group_type")
     )
-    tracks = (
-        cat["track"]
-        .select("id", "recording", "medium")
-        .join(cat["medium"].select(F.col("id").alias("medium"), "release"), "medium")
-        .select("id", "recording", "release")
-    )
-    by_recording = facts.select(F.col("id").alias("recording"), *names)
-    tracks = salted_join(tracks, by_recording, "recording", "inner", ["id"], keys_from=cat["track"])
+    if tracks is None:
+        facts = recording_facts(cat, names) if recordings is None else recordings
+        placed = (
+            cat["track"]
+            .select("id", "recording", "medium")
+            .join(cat["medium"].select(F.col("id").alias("medium"), "release"), "medium")
+            .select("id", "recording", "release")
+        )
+        by_recording = facts.select(F.col("id").alias("recording"), *names)
+        on_releases = salted_join(placed, by_recording, "recording", "inner", ["id"], keys_from=cat["track"])
+    else:
+        # Folded per medium first: a medium's tracks are one row before they meet its release.
+        on_releases = observe(
+            cat["medium"].select("id", "release"),
+            [Evidence.of_flags(tracks, "medium", names)],
+            carry=["release"],
+            key="medium",
+        )
     return observe(
         settled(cat["release"]).join(groups, "release_group", "left"),
-        [Evidence.of_flags(tracks, "release", names)],
+        [Evidence.of_flags(on_releases, "release", names)],
         flags={"has_date": has_date, "has_country": has_country},
     )

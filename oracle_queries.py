@@ -908,6 +908,11 @@ def _key_violations(column: str, target: str) -> str:
         where {name} is not null and {name} not in (select id from {target} where id is not null) group by {name}"""
 
 
+BODIES["stored_confidence"] = " union all ".join(
+    f"select '{entity}' as entity, total_{entity}s as total, phase1_high_count, phase1_medium_count, phase1_low_count, "
+    f"phase2_high_count, phase2_medium_count, phase2_low_count, average_phase2_score from ({_summary(entity)})"
+    for entity in ("artist", "work", "recording", "release")
+)
 BODIES["catalogue_keys"] = " union all ".join(f"select * from ({_key_report(c, t)})" for c, t in KEY_COLUMNS.items())
 BODIES["key_violations"] = " union all ".join(f"select * from ({_key_violations(c, t)})" for c, t in KEY_COLUMNS.items())
 
