@@ -5,9 +5,10 @@ id array; a range of more than ``SHARD_BYTES`` goes on in further shards.  Its b
 side by side, the high bits in unary, and the place of every ``STEP``-th set bit as a
 select directory.  ``ends[i]`` is found without a table of 64-bit offsets.
 
-Shard layout, little-endian: header (``HEADER``), then the document ids (int64, with a bit
-mask of nulls), low bits, high bits, select directory, token ids (16 bits each if the
-vocabulary allows, else 32).  A shard is written under a temporary name and renamed, so a
+Shard layout, little-endian: header (``HEADER``), two Elias-Fano sequences (ends of
+documents, and their ids less the first one), then the token ids (16 bits each if the vocabulary
+allows, else 32).  A sequence is its low bits, high bits and select directory; documents
+without an id come first and are only counted.  A shard is written under a temporary name and renamed, so a
 task that is run again, or twice at a time, leaves one whole file.  Spark's range
 partitioning makes the ranges; the driver sees one short row for each shard.  What a task
 holds is bounded by a shard and a batch of texts, however large the ranges.
@@ -19,6 +20,7 @@ spread over shards by it if they are many.  An empty table writes no shard.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -26,22 +28,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.shared import release_memory, work_folder, written
+from catalens.llm.shared import release_memory, sliced, work_folder, written
 
 END_ID = 1
-MAGIC = b"EFIDS01\0"
-#: magic, documents, tokens, low bits per end, bytes per id, words of high bits.
-HEADER = struct.Struct("<8sQQIIQ")
+MAGIC = b"EFIDS02\0"
+#: magic, documents, tokens, bytes per token id, documents without an id, first id.
+HEADER = struct.Struct("<8sQQIQq")
+#: Of a sequence: low bits per number, words of high bits.
+SEQUENCE = struct.Struct("<IQ")
 STEP = 256
 #: Bytes of ids at which a shard ends.
 SHARD_BYTES = 64 << 20
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Characters of a word beyond which it is encoded by itself, in time that grows less with them.
+LONG_WORD = 500
+#: Bytes of texts that are encoded at a time, about.
+AT_ONCE = 8 << 20
 
 
 class EliasFano:
@@ -84,7 +93,22 @@ class EliasFano:
         piece = int.from_bytes(self.low[start // 8 : -(-stop // 8)].tobytes(), "little")
         return piece >> (start % 8) & ((1 << self.width) - 1)
 
+    def parts(self) -> list[bytes]:
+        return [SEQUENCE.pack(self.width, len(self.high)), *(a.tobytes() for a in (self.low, self.high, self.directory))]
+
+    @classmethod
+    def read(cls, n: int, data: bytes, at: int) -> tuple[EliasFano, int]:
+        """A sequence of ``n`` numbers at a place of ``data``, and the place after it."""
+        width, words = SEQUENCE.unpack_from(data, at)
+        at += SEQUENCE.size
+        arrays = []
+        for kind, count in (("u1", -(-n * width // 8)), ("<u8", words), ("<u8", -(-n // STEP))):
+            arrays.append(np.frombuffer(data, dtype=kind, count=count, offset=at))
+            at += arrays[-1].nbytes
+        return cls(n, width, *arrays), at
+
     def all(self) -> np.ndarray:
+        """All numbers, without select."""
         ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n].astype(np.uint64)
         bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.width).reshape(self.n, self.width)
         low = (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
@@ -92,41 +116,40 @@ class EliasFano:
 
 
 def shard_parts(doc_ids: list[int | None], ends: np.ndarray, id_bytes: int) -> list[bytes]:
-    """Everything of a shard before its token ids."""
-    coded = EliasFano.encode(ends)
-    ids = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
-    nulls = np.packbits(np.array([d is None for d in doc_ids], dtype=bool))
+    """Everything of a shard before its token ids; ``doc_ids`` ascend, nulls first."""
+    known = [d for d in doc_ids if d is not None]
+    first = known[0] if known else 0
+    # Ids lie within 64 bits, so the differences do as unsigned numbers.
+    above = np.array(known, dtype=np.int64).astype(np.uint64) - np.uint64(first & (1 << 64) - 1)
     total = int(ends[-1]) if len(ends) else 0
-    header = HEADER.pack(MAGIC, len(ids), total, coded.width, id_bytes, len(coded.high))
-    return [header, *[a.tobytes() for a in (ids, nulls, coded.low, coded.high, coded.directory)]]
+    header = HEADER.pack(MAGIC, len(doc_ids), total, id_bytes, len(doc_ids) - len(known), first)
+    return [header, *EliasFano.encode(ends).parts(), *EliasFano.encode(above).parts()]
 
 
 class Shard:
     """A shard read back from its bytes."""
 
     def __init__(self, data: bytes):
-        magic, n, self.total, width, id_bytes, words = HEADER.unpack_from(data)
+        magic, self.n, self.total, id_bytes, self.unnamed, self.first = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        at = HEADER.size
+        self.ends, at = EliasFano.read(self.n, data, HEADER.size)
+        self.named, at = EliasFano.read(self.n - self.unnamed, data, at)
+        self.ids = np.frombuffer(data, dtype=f"<u{id_bytes}", count=self.total, offset=at)
 
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, dtype=kind, count=count, offset=at)
-            at += out.nbytes
-            return out
+    def __len__(self) -> int:
+        return self.n
 
-        ids, nulls = take("<i8", n), take("u1", -(-n // 8))
-        self.doc_ids = [None if null else int(d) for d, null in zip(ids, np.unpackbits(nulls, count=n))]
-        low, high = take("u1", -(-n * width // 8)), take("<u8", words)
-        self.ends = EliasFano(n, width, low, high, take("<u8", -(-n // STEP)))
-        self.ids = take(f"<u{id_bytes}", self.total)
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.unnamed else self.first + self.named[i - self.unnamed]
 
-    def __len__(self) -> int:
-        return len(self.doc_ids)
+    def span(self, i: int) -> tuple[int, int]:
+        """Where a document's token ids begin and end."""
+        return (self.ends[i - 1] if i else 0), self.ends[i]
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
+        begin, end = self.span(i)
+        return self.ids[begin:end]
 
 
 def byte_letters() -> list[str]:
@@ -137,51 +160,116 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
-class Encoder(dict):
-    """The ids of words, as bytes; words met lately are not encoded again.
+class Encoder:
+    """The ids of texts, put together from those of their words; words met lately are not
+    encoded again.
+
+    For byte-level tokenizers with word ends that lower-case, split at white space and between
+    letters and other marks, and drop white space, as that of ``word_bpe_49k.json`` does: a
+    text's ids are then those of its words one after the other, and a word's those of its
+    letters and of the marks after them.  Texts are cut at blanks and line breaks only.
 
-    For byte-level tokenizers that lower-case, split at white space and between letters and
-    other marks, and drop white space, as that of ``word_bpe_49k.json`` does: a text's ids
-    are then those of its words one after the other, and a word's those of its letters and
-    of the marks after them.  Texts are cut at blanks and line breaks only.  Words of Latin
-    letters go to the tokenizer's BPE model directly, all others through the whole of it.
+    Words of Latin letters are encoded all in one call: a blank stands for the word's end, so
+    that the vocabulary is one of plain bytes, whose merges go by ascending id.  All others
+    go through the whole of the tokenizer.
     """
 
     def __init__(self, path: str):
         # Spark runs a worker per core; more threads in each would only get in their way.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
+        ranks = word_ranks(path)
+        self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.ends_word = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in ranks.items() if len(token) > 1 and token.endswith(b" ")]] = True
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "H" if self.id_bytes == 2 else "I"
-        self.end = self._bytes([END_ID])
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
-
-    def __missing__(self, word: str) -> bytes:
+        self.kind = np.dtype(f"<u{self.id_bytes}")
+        self.tails: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """No words, but one that stands for a document's end, and the empty one."""
+        self.place = {"": 1}
+        self.ids = np.array([END_ID], dtype=self.kind)
+        self.starts, self.sizes = np.array([0, 1]), np.array([1, 0])
+
+    def _stem(self, word: str) -> str | None:
+        """The letters before the last marks, if the fast way holds for them."""
         stem = word.rstrip(",.!?")
+        if len(stem) > LONG_WORD:
+            return None
         low = stem.lower()
-        if low.isalpha() and max(low) < "\u0250":
-            spelled = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
-            coded = self._bytes([t.id for t in self.model.tokenize(spelled)])
-            if stem != word:
-                coded += self[word[len(stem) :]]
-        else:
-            coded = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = coded
-        return coded
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
-            # Words met first are mostly the common ones.
-            for word in list(self)[REMEMBERED // 2 :]:
-                del self[word]
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + self.end
+        # Letters that change their number in lower case are left to the tokenizer.
+        return low if len(low) == len(stem) and low.isalpha() and max(low) < "\u0250" else None
+
+    def _bytes(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def add(self, words: list[str]) -> None:
+        stems = list(map(self._stem, words))
+        letters = [s for s in stems if s is not None]
+        ids = self.fast.encode_to_numpy(" ".join(letters) + " ", disallowed_special=()).astype(self.kind) if letters else np.zeros(0, self.kind)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(letters):
+            raise ValueError("a word's letters have not one end")
+        # Each word's ids: those of its letters and of the marks after them, or of the whole.
+        spelled, bounds, k = ids.tobytes(), [0, *(ends * self.id_bytes).tolist()], 0
+        parts = []
+        for word, stem in zip(words, stems):
+            if stem is None:
+                parts.append(self._bytes(word))
+                continue
+            own = spelled[bounds[k] : bounds[k + 1]]
+            k += 1
+            if tail := word[len(stem) :] if len(word) != len(stem) else "":
+                if tail not in self.tails:
+                    self.tails[tail] = self._bytes(tail)
+                own += self.tails[tail]
+            parts.append(own)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.id_bytes
+        base = len(self.place) + 1
+        self.place.update(zip(words, range(base, base + len(words))))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(parts), dtype=self.kind)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with its end id, and where each text's end."""
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        listed = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        n = pc.list_value_length(listed).to_numpy().astype(np.int64)
+        coded = listed.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.place]:
+            self.add(new)
+        own = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        own = np.insert(own, np.cumsum(n), 0)  # the document's end, after its words
+        sizes = self.sizes[own]
+        stops = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[own] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        return ids, stops[np.cumsum(n + 1) - 1]
+
+
+def word_ranks(path: str) -> dict[bytes, int]:
+    """The ids of a byte-level vocabulary with word ends, by the bytes they stand for and a
+    blank for the word's end; merges must go by ascending id."""
+    with open(path, encoding="utf-8") as source:
+        model = json.load(source)["model"]
+    vocab, end = model["vocab"], model["end_of_word_suffix"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    value = {letter: byte for byte, letter in enumerate(byte_letters())}
+    if (np.diff([vocab[a + b] for a, b in pairs]) <= 0).any() or not {*value, *(v + end for v in value)} <= set(vocab):
+        raise ValueError("not a byte-level vocabulary with word ends, in the order of its merges")
+    ranks = {}
+    for token, i in vocab.items():
+        spelled = token.removesuffix(end) if token != end else token
+        if set(spelled) <= set(value):
+            ranks[bytes(map(value.__getitem__, spelled)) + b" " * token.endswith(end)] = i
+    return ranks
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -209,7 +297,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, coder = TaskContext.get(), encoder(vocabulary)
-        shard, part = context.partitionId(), 0
+        shard, part_no = context.partitionId(), 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         held = 0
@@ -218,29 +306,32 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
             sizes = [len(c) // coder.id_bytes for c in ids]
             store, root = pafs.FileSystem.from_uri(folder)
             store.create_dir(root, recursive=True)
-            final = shard_path(root, shard, part)
+            final = shard_path(root, shard, part_no)
             own = f"{final}.{context.taskAttemptId()}.tmp"
             with store.open_output_stream(own) as out:
                 for piece in (*shard_parts(doc_ids, np.cumsum(sizes), coder.id_bytes), *ids):
                     out.write(piece)
             store.move(own, final)
             return pa.RecordBatch.from_pydict(
-                {"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "docs": [len(doc_ids)], "tokens": [sum(sizes)]}
+                {"shard": pa.array([shard], pa.int32()), "part": pa.array([part_no], pa.int32()), "docs": [len(doc_ids)], "tokens": [sum(sizes)]}
             )
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                coded = coder.encode(text.as_py())
+        for batch in (part for whole in batches for part in sliced(whole, whole.column("text"), AT_ONCE)):
+            flat, ends = coder.encode(batch.column("text"))
+            data, begin = flat.tobytes(), 0
+            for doc_id, end in zip(batch.column("doc_id").to_pylist(), (ends * coder.id_bytes).tolist()):
+                coded = data[begin:end]
+                begin = end
                 if ids and held + len(coded) > shard_bytes:
                     yield finished()
-                    doc_ids, ids, held, part = [], [], 0, part + 1
+                    doc_ids, ids, held, part_no = [], [], 0, part_no + 1
                 doc_ids.append(doc_id)
                 ids.append(coded)
                 held += len(coded)
         if ids:
             yield finished()
         # The words of this range of documents are not kept for other tasks of the worker.
-        coder.clear()
+        coder.forget()
         release_memory()
 
     # Written at once: the files and the list of them belong together.
@@ -265,10 +356,9 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
         for row in (r for batch in batches for r in batch.to_pylist()):
             with store.open_input_stream(shard_path(root, row["shard"], row["part"])) as source:
                 shard = Shard(source.read())
-            ends = shard.ends.all().astype(np.int64)
-            begins = np.concatenate(([0], ends[:-1]))
-            crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(begins, ends)]
-            columns = [shard.doc_ids, begins + row["base"], ends - begins, crc]
+            spans = list(map(shard.span, range(len(shard))))
+            crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in spans]
+            columns = [list(map(shard.doc_id, range(len(shard)))), [a + row["base"] for a, _ in spans], [b - a for a, b in spans], crc]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=READ_NAMES)
         release_memory()
 

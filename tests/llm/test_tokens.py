@@ -6,6 +6,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import prose
 from hypothesis import given
@@ -54,12 +55,33 @@ def test_files_match_whole_text_encoding(spark, documents, table_dir):
 def test_shard_gives_single_documents(tmp_path):
     ids = [[5, 6, 1], [1], [7, 8, 9, 1]]
     ends = np.cumsum([len(i) for i in ids])
-    data = b"".join(token_output.shard_parts([10, None, 12], ends, 2)) + np.concatenate(ids).astype("<u2").tobytes()
+    data = b"".join(token_output.shard_parts([None, 10, 12], ends, 2)) + np.concatenate(ids).astype("<u2").tobytes()
     shard = token_output.Shard(data)
-    assert shard.doc_ids == [10, None, 12]
+    assert [shard.doc_id(i) for i in range(len(shard))] == [None, 10, 12]
     assert [shard.document(i).tolist() for i in range(len(shard))] == ids
 
 
+@given(st.lists(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1)), max_size=60))
+def test_shard_keeps_any_ids(ids):
+    ids = sorted(ids, key=lambda i: (i is not None, i or 0))
+    shard = token_output.Shard(b"".join(token_output.shard_parts(ids, np.arange(1, len(ids) + 1), 2)) + b"\1\0" * len(ids))
+    assert [shard.doc_id(i) for i in range(len(shard))] == ids
+    assert [shard.span(i) for i in range(len(shard))] == [(i, i + 1) for i in range(len(ids))]
+
+
+def test_encoder_is_the_tokenizer():
+    """Random odd texts, many in a batch, against whole-text encoding."""
+    path = public_tokenizers.path(queries.WORD_VOCABULARY)
+    coder, tok, rng = token_output.Encoder(path), Tokenizer.from_file(path), random.Random(11)
+    letters = list("abEé.,'!? \n\t-_1") + [" ", " ", "ing", "the", "\u0301", "ß", "İ", "ǅ", "語", "'s", "\u00a0", "œ", "\u01c5", "ə"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(5000)] + [prose(rng, 400, 5000), "x" * 3000, "a " * 3000]
+    for some in (texts[:2000], texts[2000:], []):
+        ids, ends = coder.encode(pa.array(some, pa.string()))
+        for text, own in zip(some, np.split(ids, ends[:-1])):
+            assert own.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1], text
+        coder.forget()
+
+
 def test_repeated_ids_are_whole(spark, documents):
     rows = [(7, f"word{i % 5} again") for i in range(50)]
     path = public_tokenizers.path(queries.WORD_VOCABULARY)
