@@ -16,11 +16,12 @@ have one.
 ``followed`` gives each document the next one in an order of ids.  Texts are shuffled once:
 the order's ranges are found on ids and text keys alone, and a range gets a copy of the row
 after its last one, so no range needs another.  The ranges are as many as shuffle
-partitions (times ``RANGES``), and only their first ids and keys reach the driver.
+partitions; what reaches the driver is a sample for their bounds, a hundred keys each at most,
+and their first ids and keys.
 
 Defined cases: a null text is empty.  A text without words has the empty fingerprint, like
 only to another such.  A text of fewer than five words is one shingle.  Documents of one id
-follow each other by their text's key, greatest first; repeated rows follow each other, and
+follow each other by their text's 64-bit hash, greatest first; repeated rows follow each other, and
 lie in one range, which spills.  Null ids come last.  A single document is its own next.
 Very long texts are handled whole.  Empty tables give empty results; columns but the id and
 the text are not read.
@@ -34,15 +35,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.llm.decontamination import WHITE, let
-from catalens.llm.shared import text_key, written
+from catalens.llm.shared import written
 
 SHINGLE = 5
 BINS = 256
 BITS = 4
 SEED = 42
 PROBES = 8
-#: Ranges of the order for each shuffle partition.
-RANGES = 4
 _PER_WORD = 64 // BITS
 #: What stays of a hash beside its bin; all ones stand for no hash.
 _VALUE_BITS = 64 - (BINS - 1).bit_length()
@@ -130,7 +129,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def range_starts(keys: DataFrame) -> list[str]:
     """The first (id, key) of each range of the descending order, as JSON."""
-    n = RANGES * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.repartitionByRange(n, F.desc("id"), F.desc("key"))
     firsts = dealt.select(F.spark_partition_id().alias("range"), F.struct("id", "key").alias("k")).groupBy("range").agg(F.max("k").alias("k"))
     return [r.k for r in firsts.orderBy("range").select(F.to_json("k").alias("k")).collect()]  # a row for each range
@@ -141,11 +140,11 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     smaller id; the first for the last."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     starts = range_starts(written(rows.select("id", "key"), "order"))
     if not starts:
         return rows.select("id", "text", fingerprint(F.col("text")).alias("print")).withColumn("next", F.struct("text", "print"))
-    kind = f"array<struct<id: {rows.schema['id'].dataType.simpleString()}, key: string>>"
+    kind = f"array<struct<id: {rows.schema['id'].dataType.simpleString()}, key: bigint>>"
     bounds = F.from_json(F.lit(f"[{','.join(starts)}]"), kind)
     own = F.struct("id", "key")
     steps = [1 << b for b in reversed(range(len(starts).bit_length()))]

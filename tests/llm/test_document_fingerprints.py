@@ -50,7 +50,8 @@ def like(a, b):
 
 
 def brute(rows):
-    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
+    key = lambda t: struct.unpack("<q", xxhash.xxh64_digest(t.encode(), 42)[::-1])[0]
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, key(r[1])), reverse=True)
     out = []
     for (doc_id, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
         third = len(text) // 3
