@@ -86,7 +86,6 @@ def coverage(
     An entity counts as covered when a link row names it, even one without a code;
     codes and duplicates look at non-NULL codes only.
     """
-    with_code, without = f"{entities}_with_{code}", f"{entities}_without_{code}"
     zero = "cast(0 as bigint)"
     words = stored(membership(entity, link, link_key), f"{entities}-members")
     member, linked = F.col("member"), F.col("linked")
@@ -109,7 +108,13 @@ def coverage(
     )
     # One-row frames become one row by addition, which needs no join.
     one_row = covered.unionByName(codes).unionByName(counted).groupBy().sum().toDF(*covered.columns)
-    return one_row.select(
+    return coverage_row(one_row, code, entities)
+
+
+def coverage_row(figures: DataFrame, code: str, entities: str) -> DataFrame:
+    """The row of a coverage KPI from its counts: total, coded, codes, shared, sharing."""
+    with_code, without = f"{entities}_with_{code}", f"{entities}_without_{code}"
+    return figures.select(
         F.col("total").alias(f"total_{entities}"),
         F.col("coded").alias(with_code),
         F.expr("total - coded").alias(without),

@@ -42,6 +42,11 @@ def presence_profile(
     sums = entities.selectExpr(
         f"{total} as total", *[f"count_if({name} = 1) as {name}" for name in names]
     )
+    return presence_row(sums, names, label)
+
+
+def presence_row(sums: DataFrame, names: Sequence[str], label: str) -> DataFrame:
+    """The row of a presence KPI from its counts: total, and one per identifier."""
     held = " + ".join(names)
     return sums.select(
         F.col("total").alias(f"total_{label}"),

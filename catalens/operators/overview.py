@@ -16,20 +16,26 @@ def overview(entities: Mapping[str, tuple[DataFrame, Column | None]], id_col: st
 
     def totals(label: str, df: DataFrame, condition: Column | None) -> DataFrame:
         rows = df if condition is None else df.filter(condition)
-        return rows.agg(
+        counts = rows.agg(
             F.count(F.lit(1)).alias("total_count"), F.count(id_col).alias(f"with_{id_col}")
-        ).select(
-            F.lit(label).alias("entity_type"),
-            "total_count",
-            f"with_{id_col}",
-            pct(f"with_{id_col}", "total_count").alias(f"{id_col}_coverage_pct"),
         )
+        return overview_row(counts, label, id_col)
 
     return reduce(
         DataFrame.unionByName, [totals(label, df, cond) for label, (df, cond) in entities.items()]
     )
 
 
+def overview_row(counts: DataFrame, label: str, id_col: str) -> DataFrame:
+    """A row of the overview from its counts."""
+    return counts.select(
+        F.lit(label).alias("entity_type"),
+        "total_count",
+        f"with_{id_col}",
+        pct(f"with_{id_col}", "total_count").alias(f"{id_col}_coverage_pct"),
+    )
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: table_name, row_count."""
     return reduce(

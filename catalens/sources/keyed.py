@@ -47,7 +47,7 @@ class Version:
     folders: dict[int, str]
 
 
-class _Files:
+class Files:
     """The file system of a path, by Hadoop's own interface, as executors see it."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -96,7 +96,7 @@ class KeyedTable:
     """A stored table with one row for each value of ``keys``; NULL keys are keys as well."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._files = spark, path.rstrip("/"), _Files(spark, path)
+        self.spark, self.path, self._files = spark, path.rstrip("/"), Files(spark, path)
         about = json.loads(self._files.read(f"{VERSIONS}/table.json"))
         self.keys: list[str] = about["keys"]
         self.buckets: int = about["buckets"]
@@ -109,7 +109,7 @@ class KeyedTable:
         unknown = [k for k in keys if k not in schema.names]
         if unknown or not keys:
             raise ValueError(f"keys {unknown or keys} are no columns of the table")
-        files = _Files(spark, path)
+        files = Files(spark, path)
         about = {"keys": keys, "buckets": buckets, "schema": schema.jsonValue()}
         if not files.create(f"{VERSIONS}/table.json", json.dumps(about)):
             raise ConcurrentUpdate(f"{path} is a table already")
@@ -118,7 +118,7 @@ class KeyedTable:
 
     @classmethod
     def open_or_create(cls, spark: SparkSession, path: str, schema: T.StructType, keys: str | Sequence[str], buckets: int = 64) -> KeyedTable:
-        if "table.json" not in _Files(spark, path).names(VERSIONS):
+        if "table.json" not in Files(spark, path).names(VERSIONS):
             try:
                 return cls.create(spark, path, schema, keys, buckets)
             except ConcurrentUpdate:

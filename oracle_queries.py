@@ -913,6 +913,13 @@ BODIES["stored_confidence"] = " union all ".join(
     f"phase2_high_count, phase2_medium_count, phase2_low_count, average_phase2_score from ({_summary(entity)})"
     for entity in ("artist", "work", "recording", "release")
 )
+# Figures kept load by load are those of the whole.
+BODIES |= {
+    "incremental_stats_overview": BODIES["stats_overview"],
+    "incremental_isrc_coverage": BODIES["kpi_isrc_coverage"],
+    "incremental_iswc_coverage": BODIES["kpi_iswc_coverage"],
+    "incremental_missing_ids_artist": BODIES["party_missing_ids_artist_distinct"],
+}
 BODIES["catalogue_keys"] = " union all ".join(f"select * from ({_key_report(c, t)})" for c, t in KEY_COLUMNS.items())
 BODIES["key_violations"] = " union all ".join(f"select * from ({_key_violations(c, t)})" for c, t in KEY_COLUMNS.items())
 
