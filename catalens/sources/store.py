@@ -27,40 +27,58 @@ _OPTIONS = {
 _READ_OPTIONS = {"csv": {**_OPTIONS["csv"], "emptyValue": "", "multiLine": "true"}}
 
 
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
+
+
+def write_options(fmt: str) -> dict[str, str]:
+    if fmt not in _OPTIONS:
+        raise ValueError(f"format must be one of {sorted(_OPTIONS)}, got {fmt!r}")
+    return _OPTIONS[fmt]
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """``df`` with arrays, maps and structs as JSON text, as CSV has none."""
+    return df.select(
+        *[
+            F.to_json(f.name).alias(f.name) if isinstance(f.dataType, _NESTED) else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 def export(df: DataFrame, path: str, fmt: str) -> None:
     """Replace ``path`` with ``df`` as parquet, csv or json.
 
     CSV has no arrays or structs, so those columns are written as JSON text.
     """
-    if fmt not in _OPTIONS:
-        raise ValueError(f"format must be one of {sorted(_OPTIONS)}, got {fmt!r}")
-    if fmt == "csv":
-        df = df.select(
-            *[
-                F.to_json(f.name).alias(f.name)
-                if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-                else F.col(f.name)
-                for f in df.schema.fields
-            ]
-        )
-    df.write.mode("overwrite").options(**_OPTIONS[fmt]).format(fmt).save(path)
+    options = write_options(fmt)
+    rows = flattened(df) if fmt == "csv" else df
+    rows.write.mode("overwrite").options(**options).format(fmt).save(path)
+
+
+def read_files(spark: SparkSession, paths: str | list[str], fmt: str, schema: T.StructType) -> DataFrame:
+    """Files of a frame with ``schema``; nested columns of CSV are still JSON text."""
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(paths)
+    flat = [T.StructField(f.name, T.StringType()) if isinstance(f.dataType, _NESTED) else f for f in schema.fields]
+    return spark.read.options(**_READ_OPTIONS["csv"]).schema(T.StructType(flat)).csv(paths)
 
 
 def read_export(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
     """What ``export`` wrote of a frame with ``schema``."""
-    if fmt != "csv":
-        return spark.read.schema(schema).format(fmt).load(path)
-    nested = (T.ArrayType, T.MapType, T.StructType)
-    flat = [
-        T.StructField(f.name, T.StringType()) if isinstance(f.dataType, nested) else f
-        for f in schema.fields
-    ]
-    rows = spark.read.options(**_READ_OPTIONS["csv"]).schema(T.StructType(flat)).csv(path)
+    return unflattened(read_files(spark, path, fmt, schema), schema)
+
+
+def unflattened(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Nested columns of ``schema`` that are JSON text in ``rows``, as they were."""
     return rows.select(
         *[
-            F.from_json(f.name, f.dataType).alias(f.name) if isinstance(f.dataType, nested) else f.name
+            F.from_json(f.name, f.dataType).alias(f.name)
+            if isinstance(f.dataType, _NESTED) and isinstance(rows.schema[f.name].dataType, T.StringType)
+            else F.col(f.name)
             for f in schema.fields
-        ]
+        ],
+        *[F.col(c) for c in rows.columns if c not in schema.names],
     )
 
 

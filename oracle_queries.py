@@ -833,6 +833,8 @@ BODIES = {
         select f.format, x.isrc, x.duplicate_count, x.risk_level, x.sample_recording_names
         from (select isrc, duplicate_count, risk_level, sample_recording_names from ({RISK})) x
         cross join (select unnest(['parquet', 'csv', 'json']) as format) f""",
+    "export_in_order": """
+        select id, name, sort_name, row_number() over (order by name desc nulls last, id) as place from artist""",
     "kpi_overview_report": KPI_OVERVIEW,
     "top_5_duplicate_isrcs": _top_risk(5),
     "top_20_duplicate_isrcs": _top_risk(20),
