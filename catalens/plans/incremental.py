@@ -2,7 +2,8 @@
 
 A load is a part of the catalogue: any rows of any of its tables.  Adding one reads that load
 alone and writes its state: sets of ids as bitmaps, the entities of each code as bitmaps,
-and the URLs of artists.  States are merged when figures are read, and merging is uniting, so
+the URLs of artists, and a bottom-k sketch of each entity table: the rows whose seeded hashes
+come first, which are all that a sample of the whole can take from that load.  States are merged when figures are read, and merging is uniting, so
 figures do not depend on the order of loads or on which load a row came with; a link may
 come before the row it points to, and a row that comes twice counts once.  Figures equal
 those over all loads read at once.  Rows are only ever added: what a later load says of an
@@ -24,13 +25,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalens.functions.sampling import DEFAULT_SEED, random_sample, seeded_top_k
 from catalens.operators import bitmaps
 from catalens.operators.coverage import coverage_row
 from catalens.operators.identifiers import presence_row
 from catalens.operators.overview import overview_row
 from catalens.plans.flags import persons, settled
 from catalens.plans.kpis import IDENTIFIERS, SCOPE_COVERAGE, URL_IDENTIFIERS, AsOf, _stamp
-from catalens.sources.catalogue import Catalogue
+from catalens.sources.catalogue import Catalogue, conform
+from catalens.sources.contract import CONTRACT
 from catalens.sources.keyed import Files
 
 #: Label of the overview -> entity.
@@ -39,6 +42,11 @@ LABELS = {"Artists": "artist", "Works": "work", "Recordings": "recording", "Rele
 CODES = {"isrc": ("recording", "recordings"), "iswc": ("work", "works")}
 LOADS = "_loads"
 PARTS = ("sets", "codes", "links")
+#: Tables that samples are taken from, the rows of each load that a sample can take, and the
+#: seed of their order.
+SAMPLED = ("artist", "work", "recording", "release")
+SAMPLE_ROWS = 1000
+SAMPLE_SEED = DEFAULT_SEED
 
 
 def _sets(cat: Catalogue) -> dict[str, tuple[DataFrame, str]]:
@@ -93,6 +101,9 @@ class PublishedState:
         _united(reduce(DataFrame.unionByName, codes), "kind", "code").write.parquet(f"{self.path}/{folder}/codes")
         links = _bits(cat["l_artist_url"].where("entity1 is not null"), "entity0", F.col("entity1").alias("url"))
         _united(links, "url").write.parquet(f"{self.path}/{folder}/links")
+        for table in SAMPLED:
+            bottom = seeded_top_k(conform(cat[table], table), [], ["id"], SAMPLE_ROWS, SAMPLE_SEED)
+            bottom.write.parquet(f"{self.path}/{folder}/samples/{table}")
         # The name is the lock: of two writers of one load one commits.
         return self._files.create(f"{LOADS}/{name}.json", json.dumps({"folder": folder, "loads": [name], "replaces": []}))
 
@@ -104,6 +115,8 @@ class PublishedState:
         folder = f"state/{uuid.uuid4().hex}"
         for part in PARTS:
             self._part(part, entries).write.parquet(f"{self.path}/{folder}/{part}")
+        for table in SAMPLED:
+            self._bottom(table, entries, SAMPLE_ROWS).write.parquet(f"{self.path}/{folder}/samples/{table}")
         loads = sorted(name for entry in entries.values() for name in entry["loads"])
         self._files.create(f"{LOADS}/folded-{uuid.uuid4().hex}.json", json.dumps({"folder": folder, "loads": loads, "replaces": list(entries)}))
 
@@ -116,6 +129,25 @@ class PublishedState:
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return rows if len(paths) == 1 else _united(rows, *keys)
 
+    def _bottom(self, table: str, entries: dict[str, dict], n: int) -> DataFrame:
+        """The first ``n`` rows of a table's order over all loads, each id once.
+
+        At most ``SAMPLE_ROWS`` rows of each load are read, whatever the tables hold.
+        """
+        paths = [f"{self.path}/{e['folder']}/samples/{table}" for e in entries.values()]
+        if not paths:
+            return self.spark.createDataFrame([], CONTRACT[table])
+        rows = self.spark.read.schema(CONTRACT[table]).parquet(*paths)
+        whole = F.struct(*rows.columns)
+        once = rows.groupBy("id").agg(F.max(whole).alias("row")).select("row.*")
+        return seeded_top_k(once, [], ["id"], n, SAMPLE_SEED)
+
+    def sample(self, table: str, n: int = 10) -> DataFrame:
+        """``random_sample`` of a table over all loads, from the sketches alone."""
+        if table not in SAMPLED or n > SAMPLE_ROWS:
+            raise ValueError(f"samples are kept of {SAMPLED}, {SAMPLE_ROWS} rows at most")
+        return random_sample(self._bottom(table, self._entries(), n), n, SAMPLE_SEED, ["id"])
+
     # --- figures ---------------------------------------------------------------
 
     def _words(self, *names: str) -> DataFrame:

@@ -921,6 +921,7 @@ BODIES |= {
     "incremental_isrc_coverage": BODIES["kpi_isrc_coverage"],
     "incremental_iswc_coverage": BODIES["kpi_iswc_coverage"],
     "incremental_missing_ids_artist": BODIES["party_missing_ids_artist_distinct"],
+    "incremental_random_sample": BODIES["random_sample"],
 }
 BODIES["catalogue_keys"] = " union all ".join(f"select * from ({_key_report(c, t)})" for c, t in KEY_COLUMNS.items())
 BODIES["key_violations"] = " union all ".join(f"select * from ({_key_violations(c, t)})" for c, t in KEY_COLUMNS.items())

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
 import os
 import random
 
 import pytest
 from oracle_tools import rows_of
 
-from catalens.plans import kpis
+from catalens.functions.sampling import random_sample
+from catalens.plans import incremental, kpis
 from catalens.plans.incremental import PublishedState
 from catalens.sources.contract import CONTRACT
 
@@ -109,9 +111,29 @@ def test_a_load_that_dies_does_not_count(spark, make_catalogue, tmp_path, monkey
     assert state.add("a", cat) and kept(state) == full(cat)
 
 
+def test_samples_come_from_sketches(spark, make_catalogue, tmp_path, monkeypatch):
+    """The rows that a scan of everything would choose, though each load keeps six."""
+    monkeypatch.setattr(incremental, "SAMPLE_ROWS", 6)
+    rows = [{"id": i, "name": f"n{i}", "type": i % 3} for i in range(200)]
+    state = PublishedState(spark, str(tmp_path / "state"))
+    for i in range(4):
+        state.add(f"l{i}", make_catalogue(artist=rows[i::4] + rows[:3]))
+        if i == 2:
+            state.compact()
+    whole = random_sample(make_catalogue(artist=rows)["artist"], 6, id_cols=["id"])
+    assert sorted(state.sample("artist", 6).collect()) == sorted(whole.collect())
+    # What is read: two states of six rows each.
+    read = [f for e in state._entries().values() for f in glob.glob(f"{state.path}/{e['folder']}/samples/artist/*.parquet")]
+    assert sum(spark.read.parquet(f).count() for f in read) == 12
+    assert state.sample("work", 5).collect() == []
+    for table, n in (("isrc", 5), ("artist", 7)):
+        with pytest.raises(ValueError, match="samples are kept"):
+            state.sample(table, n)
+
+
 def test_no_loads_and_views(spark, make_catalogue, tmp_path):
     state = PublishedState(spark, str(tmp_path / "state"))
-    assert kept(state) == full(make_catalogue())
+    assert kept(state) == full(make_catalogue()) and state.sample("artist").collect() == []
     state.add("a", make_catalogue(recording=[{"id": 1}], isrc=[{"recording": 1, "isrc": "A"}]))
     assert state.register(NOW) == list(FIGURES)
     assert spark.table("kpi_isrc_coverage").first().unique_isrcs == 1
