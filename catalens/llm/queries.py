@@ -19,8 +19,9 @@ RULES = (
     url_filter.Rule("example.com", "/de/", "block"),
     url_filter.Rule("org", "/fr/", "allow"),
 )
-#: First labels of the junk sites whose pages make up the list of blocked URLs.
-JUNK_SITE = r"^(www\.|m\.|blog\.)?(spam-farm|cheap-pills)\."
+# Words of junk trades.  A page is on the list of blocked URLs if its site is
+# named for one: a label of the host is several words with hyphens, one of them such a word.
+JUNK_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -29,7 +30,9 @@ PIECE_VOCABULARY = "piece_bpe_32k.model"
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     url = F.col("url")
-    junk = pages.where(url_filter.host_of(url).rlike(JUNK_SITE)).select(url_filter.canonical(url).alias("canonical"))
+    words = "|".join(JUNK_WORDS)
+    named_for_junk = url_filter.host_of(url).rlike(rf"(^|[.-])({words})-|-({words})([.-]|$)")
+    junk = pages.where(named_for_junk).select(url_filter.canonical(url).alias("canonical"))
     return url_filter.judge(pages, junk, RULES)
 
 
@@ -151,7 +154,9 @@ named as (
 flagged as (
     select *, canonical is not null and canonical in (
         select canonical from named
-        where regexp_matches(host, '^(www\.|m\.|blog\.)?(spam-farm|cheap-pills)\.') and canonical is not null
+        where canonical is not null and len(list_filter(string_split(host, '.'), lambda label:
+            contains(label, '-') and list_has_any(string_split(label, '-'),
+                ['adult', 'ads', 'bets', 'casino', 'pills', 'spam']))) > 0
     ) as listed
     from named),
 ruled as (

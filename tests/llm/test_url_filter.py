@@ -21,6 +21,11 @@ URLS = [
     "x://?q",
     "http://h.net//en/://x",
     "HTTP://ÄB.Org/fr/ü",
+    "https://m.free-bets.example.org/a",
+    "https://bets.example.org/a",
+    "https://my-spam.example/a",
+    "https://spammy-farm.example/a",
+    "https://x.no-ads-here.example.org/de/b",
 ]
 
 
@@ -98,3 +103,24 @@ def test_bloom_table_stops_most_others(spark):
     hits = [r.id for r in probe.join(bloom, "block").where(hit).collect()]
     assert set(range(2000)) <= set(hits)
     assert len(hits) < 2000 + 2000 * 0.05
+
+
+SITES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+
+
+def test_pages_of_every_junk_site_are_blocked(spark):
+    """Of all pages of the given tables, none of a junk site passes but by an allowing rule."""
+    rows = queries.op1_url_filter(spark, "/root/testdata/sf0.1").collect()
+    for site in SITES:
+        own = [r for r in rows if f"{site}." in r.host]
+        assert own and all(r.listed for r in own)
+        assert all(r.verdict == "block" or r.rule in ("org/fr/", "example.net/en/") for r in own)
+    # Nothing else is on the list.
+    assert all(any(f"{site}." in r.host for site in SITES) for r in rows if r.listed)
+
+
+def test_host_words(spark, table_dir):
+    rows = {r.page_id: r.listed for r in queries.op1_url_filter(spark, table_dir(pages=pages(spark, URLS))).collect()}
+    listed = {URLS[i] for i, flag in rows.items() if flag}
+    assert {u for u in listed if "example.org/a" in u or "example/a" in u} == {"https://m.free-bets.example.org/a", "https://my-spam.example/a"}
+    assert "https://x.no-ads-here.example.org/de/b" in listed
