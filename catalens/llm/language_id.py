@@ -41,6 +41,8 @@ from pyspark.sql import types as T
 from catalens.llm.shared import map_texts, release_memory, ship_package, written
 
 SAMPLE_TEXTS = 1000
+#: How many times as many texts are looked at for the sample; their number is estimated.
+AMPLE = 3
 LONGEST_GRAM = 5
 LONG_GRAM = 3
 UNKNOWN = "und"
@@ -90,10 +92,15 @@ def grams_of(word: str, n: int) -> list[str]:
 def sampled(labelled: DataFrame, sample_texts: int) -> DataFrame:
     """(lang, text): the ``sample_texts`` different texts of least hash of each language."""
     hashed = F.xxhash64("text").alias("hash")
+    # Written tables of one row per language: their known size keeps texts from being shuffled.
+    sizes = labelled.select("lang", hashed).groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts"))
+    chance = F.lit(float(AMPLE * sample_texts)) / F.greatest("texts", F.lit(1))
+    chances = written(sizes.select("lang", chance.alias("chance")), "languages")
+    # The least hashes of a language, a few times as many as are taken, whatever its size.
+    low = labelled.select("lang", hashed).join(chances, "lang").where(F.col("hash") / F.lit(2.0**64) + F.lit(0.5) < F.col("chance"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    least = labelled.select("lang", hashed).distinct().withColumn("rank", rank).where(F.col("rank") <= sample_texts)
-    # A written table of one row per language: its known size keeps the texts from being shuffled.
-    last = written(least.groupBy("lang").agg(F.max("hash").alias("last")), "languages")
+    least = low.select("lang", "hash").distinct().withColumn("rank", rank).where(F.col("rank") <= sample_texts)
+    last = written(least.groupBy("lang").agg(F.max("hash").alias("last")), "last-hashes")
     rows = labelled.select("lang", "text", hashed).join(last, "lang").where("hash <= last")
     return rows.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 

@@ -45,6 +45,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # A cut within a character leaves bytes that are no text; they show as U+FFFD.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"),
     )
 
 

@@ -77,8 +77,14 @@ def test_matches_brute_force(spark, documents, table_dir, monkeypatch, seed, spl
     monkeypatch.setattr(sd, "BLOCK_ROWS", block)
     rows = corpus(random.Random(seed))
     folder = table_dir(documents=documents(rows))
-    got = sorted((tuple(r) for r in queries.op2_suffix_dedup(spark, folder).collect()), key=repr)
-    assert got == expected(rows)
+    found = queries.op2_suffix_dedup(spark, folder).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == expected(rows)
+    texts = {r[0]: r[1] or "" for r in rows}
+    for r in found:
+        # The text that is left; a character that was cut apart shows as such.
+        left = hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256
+        assert left or "\ufffd" in r.kept
+        assert r.n_removed or r.kept == texts[r.doc_id]
 
 
 def test_scans_of_long_texts_meet(monkeypatch):
