@@ -13,8 +13,9 @@ from catalens.functions.sampling import DEFAULT_SEED, seeded_top_k
 from catalens.operators.identifiers import presence_labels
 from catalens.operators.lookup import attach
 from catalens.operators.overview import row_counts
+from catalens.operators.paged import name_pages
 from catalens.plans import kpis
-from catalens.plans.flags import shared_facts
+from catalens.plans.flags import settled, shared_facts
 from catalens.sources.catalogue import Catalogue
 
 ENTITIES = {"Artist": "artist", "Work": "work", "Recording": "recording", "Release": "release"}
@@ -370,3 +371,24 @@ def confidence_pivot(cat: Catalogue, recordings: DataFrame | None = None) -> Dat
             F.avg("phase1_high_percentage").alias("avg_phase1_high_pct"),
         )
     )
+
+
+# --- whole lists of linked names ---------------------------------------------------
+
+#: Names to a row of the listings below.
+LISTED = 20
+
+
+def work_recording_names(cat: Catalogue, page: int = LISTED) -> DataFrame:
+    """Every settled work's recordings by name, ``page`` to a row."""
+    links = cat["l_recording_work"].select("entity0", F.col("entity1").alias("work_id"))
+    settled_works = settled(cat["work"]).select(F.col("id").alias("work_id"))
+    named = cat["recording"].select(F.col("id").alias("entity0"), "name")
+    names = links.join(settled_works, "work_id", "left_semi").join(named, "entity0").select("work_id", "name")
+    return name_pages(names, "work_id", "name", page)
+
+
+def credit_recording_names(cat: Catalogue, page: int = LISTED) -> DataFrame:
+    """Every credit's settled recordings by name, ``page`` to a row."""
+    names = settled(cat["recording"]).where("artist_credit is not null").select("artist_credit", "name")
+    return name_pages(names, "artist_credit", "name", page)

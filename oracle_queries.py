@@ -923,6 +923,23 @@ BODIES |= {
     "incremental_missing_ids_artist": BODIES["party_missing_ids_artist_distinct"],
     "incremental_random_sample": BODIES["random_sample"],
 }
+
+
+def _name_pages(key: str, rows: str) -> str:
+    return f"""
+        select {key}, cast((place - 1) // 20 + 1 as bigint) as page, array_to_string(list(name order by place), '|') as names
+        from (select {key}, name, row_number() over (partition by {key} order by name) as place from ({rows}) where name is not null)
+        group by {key}, (place - 1) // 20"""
+
+
+BODIES["work_recording_names"] = _name_pages(
+    "work_id",
+    "select l.entity1 as work_id, r.name from l_recording_work l join recording r on r.id = l.entity0 "
+    "join work w on w.id = l.entity1 where w.edits_pending = 0",
+)
+BODIES["credit_recording_names"] = _name_pages(
+    "artist_credit", "select artist_credit, name from recording where edits_pending = 0 and artist_credit is not null"
+)
 BODIES["catalogue_keys"] = " union all ".join(f"select * from ({_key_report(c, t)})" for c, t in KEY_COLUMNS.items())
 BODIES["key_violations"] = " union all ".join(f"select * from ({_key_violations(c, t)})" for c, t in KEY_COLUMNS.items())
 
