@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,16 +31,38 @@ def _rows(df: DataFrame, *rows: Column) -> DataFrame:
     return df.select(F.inline(F.array(*rows)))
 
 
-def _some(df: DataFrame, check: str) -> DataFrame:
-    n = F.col("n")
-    return _rows(df.agg(F.count(F.lit(1)).alias("n")), _row(check, _verdict(n > 0), n))
+#: Count -> the check that there is something to count.
+SOMETHING = {
+    "isrc.isrc": "some recording has an ISRC",
+    "iswc.iswc": "some work has an ISWC",
+    "artist ids": "some artist has an ISNI or IPI",
+}
 
 
-def _load_volume(cat: Catalogue, expected: int) -> DataFrame:
-    n = F.col("n")
-    status = F.when(n == 0, "fail").when(n < expected, "warn").otherwise("ok")
-    return _rows(
-        cat["recording"].agg(F.count(F.lit(1)).alias("n")), _row("recordings loaded", status, n)
+def counted_rows(cat: Catalogue, tables: Iterable[str] = ()) -> DataFrame:
+    """(name, rows): the rows of each of ``tables`` and those that the checks look at.
+
+    Counts of parts of a catalogue add up to those of the whole.
+    """
+    ids = cat["artist_isni"].select("artist").union(cat["artist_ipi"].select("artist"))
+    rows = {"isrc.isrc": coded_rows(cat, "isrc"), "iswc.iswc": coded_rows(cat, "iswc"), "artist ids": ids}
+    rows |= {"recording": cat["recording"]} | {t: cat[t] for t in tables}
+    frames = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in rows.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def load_checks(counts: DataFrame, expected: int = EXPECTED_RECORDINGS) -> DataFrame:
+    """check, status, value of what ``counted_rows`` found: something of each kind, and a load of
+    the volume expected."""
+    n = F.col("rows")
+    some = F.create_map(*[F.lit(x) for pair in SOMETHING.items() for x in pair])
+    volume = F.when(n == 0, "fail").when(n < expected, "warn").otherwise("ok")
+    loaded = F.col("name") == "recording"
+    checked = counts.where(loaded | F.col("name").isin(*SOMETHING))
+    return checked.select(
+        F.when(loaded, "recordings loaded").otherwise(some[F.col("name")]).alias("check"),
+        F.when(loaded, volume).otherwise(_verdict(n > 0)).alias("status"),
+        n.cast("double").alias("value"),
     )
 
 
@@ -68,12 +91,8 @@ def data_checks(
 ) -> DataFrame:
     """check, status (ok, warn or fail), value."""
     facts = shared_facts(cat) if recordings is None else recordings
-    ids = cat["artist_isni"].select("artist").union(cat["artist_ipi"].select("artist"))
     frames = [
-        _some(coded_rows(cat, "isrc"), "some recording has an ISRC"),
-        _some(coded_rows(cat, "iswc"), "some work has an ISWC"),
-        _some(ids, "some artist has an ISNI or IPI"),
-        _load_volume(cat, expected_recordings),
+        load_checks(counted_rows(cat), expected_recordings),
         *[_confidence(label, entity, cat, facts) for label, entity in ENTITIES.items()],
     ]
     return reduce(DataFrame.unionByName, frames)

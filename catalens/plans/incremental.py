@@ -3,7 +3,8 @@
 A load is a part of the catalogue: any rows of any of its tables.  Adding one reads that load
 alone and writes its state: sets of ids as bitmaps, the entities of each code as bitmaps,
 the URLs of artists, and a bottom-k sketch of each entity table: the rows whose seeded hashes
-come first, which are all that a sample of the whole can take from that load.  States are merged when figures are read, and merging is uniting, so
+come first, which are all that a sample of the whole can take from that load.  The rows of
+its tables are counted along with it, so counts and the checks on them scan nothing later.  States are merged when figures are read, and merging is uniting, so
 figures do not depend on the order of loads or on which load a row came with; a link may
 come before the row it points to, and a row that comes twice counts once.  Figures equal
 those over all loads read at once.  Rows are only ever added: what a later load says of an
@@ -30,6 +31,7 @@ from catalens.operators import bitmaps
 from catalens.operators.coverage import coverage_row
 from catalens.operators.identifiers import presence_row
 from catalens.operators.overview import overview_row
+from catalens.plans.checks import EXPECTED_RECORDINGS, counted_rows, load_checks
 from catalens.plans.flags import persons, settled
 from catalens.plans.kpis import IDENTIFIERS, SCOPE_COVERAGE, URL_IDENTIFIERS, AsOf, _stamp
 from catalens.sources.catalogue import Catalogue, conform
@@ -104,6 +106,8 @@ class PublishedState:
         for table in SAMPLED:
             bottom = seeded_top_k(conform(cat[table], table), [], ["id"], SAMPLE_ROWS, SAMPLE_SEED)
             bottom.write.parquet(f"{self.path}/{folder}/samples/{table}")
+        counts = counted_rows(cat, CONTRACT)
+        counts.write.parquet(f"{self.path}/{folder}/counts")
         # The name is the lock: of two writers of one load one commits.
         return self._files.create(f"{LOADS}/{name}.json", json.dumps({"folder": folder, "loads": [name], "replaces": []}))
 
@@ -117,6 +121,7 @@ class PublishedState:
             self._part(part, entries).write.parquet(f"{self.path}/{folder}/{part}")
         for table in SAMPLED:
             self._bottom(table, entries, SAMPLE_ROWS).write.parquet(f"{self.path}/{folder}/samples/{table}")
+        self._counts(entries).write.parquet(f"{self.path}/{folder}/counts")
         loads = sorted(name for entry in entries.values() for name in entry["loads"])
         self._files.create(f"{LOADS}/folded-{uuid.uuid4().hex}.json", json.dumps({"folder": folder, "loads": loads, "replaces": list(entries)}))
 
@@ -148,6 +153,22 @@ class PublishedState:
             raise ValueError(f"samples are kept of {SAMPLED}, {SAMPLE_ROWS} rows at most")
         return random_sample(self._bottom(table, self._entries(), n), n, SAMPLE_SEED, ["id"])
 
+    def _counts(self, entries: dict[str, dict]) -> DataFrame:
+        """Rows of all loads, as ``counted_rows`` names them."""
+        paths = [f"{self.path}/{e['folder']}/counts" for e in entries.values()]
+        schema = "name string, rows bigint"
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.groupBy("name").agg(F.sum("rows").alias("rows"))
+
+    def table_row_counts(self) -> DataFrame:
+        """table_name, row_count over all loads."""
+        counts = self._counts(self._entries()).where(F.col("name").isin(*CONTRACT))
+        return counts.select(F.col("name").alias("table_name"), F.col("rows").alias("row_count"))
+
+    def load_checks(self, expected: int = EXPECTED_RECORDINGS) -> DataFrame:
+        """The checks that look at counts alone, over all loads."""
+        return load_checks(self._counts(self._entries()), expected)
+
     # --- figures ---------------------------------------------------------------
 
     def _words(self, *names: str) -> DataFrame:

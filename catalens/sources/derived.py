@@ -197,13 +197,13 @@ class DerivedCatalogue(Mapping[str, DataFrame]):
     """The catalogue tables over one folder of test tables, each set up on first use."""
 
     def __init__(self, spark: SparkSession, directory: str) -> None:
-        self._spark, self._directory = spark, directory
+        self._spark, self.directory = spark, directory
         self._sources: dict[str, DataFrame] = {}
         self._tables: dict[str, DataFrame] = {}
 
     def _read(self, source: str) -> DataFrame:
         if source not in self._sources:
-            path = f"{self._directory}/{source}.parquet"
+            path = f"{self.directory}/{source}.parquet"
             wanted = T.StructType.fromDDL(SOURCES[source])
             rows = require_columns(self._spark.read.parquet(path), source, wanted.names)
             self._sources[source] = rows.select(

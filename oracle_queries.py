@@ -922,6 +922,9 @@ BODIES |= {
     "incremental_iswc_coverage": BODIES["kpi_iswc_coverage"],
     "incremental_missing_ids_artist": BODIES["party_missing_ids_artist_distinct"],
     "incremental_random_sample": BODIES["random_sample"],
+    "incremental_row_counts": BODIES["table_row_counts"],
+    "incremental_load_checks": f"""
+        select * from ({BODIES["data_checks"]}) where "check" like 'some %' or "check" = 'recordings loaded'""",
 }
 
 

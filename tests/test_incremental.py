@@ -125,6 +125,10 @@ def test_samples_come_from_sketches(spark, make_catalogue, tmp_path, monkeypatch
     # What is read: two states of six rows each.
     read = [f for e in state._entries().values() for f in glob.glob(f"{state.path}/{e['folder']}/samples/artist/*.parquet")]
     assert sum(spark.read.parquet(f).count() for f in read) == 12
+    counts = {r.table_name: r.row_count for r in state.table_row_counts().collect()}
+    assert counts["artist"] == 200 + 4 * 3 and counts["work"] == 0 and len(counts) == len(CONTRACT)
+    checks = {r.check: (r.status, r.value) for r in state.load_checks(5).collect()}
+    assert checks["recordings loaded"] == ("fail", 0.0) and checks["some work has an ISWC"] == ("fail", 0.0)
     assert state.sample("work", 5).collect() == []
     for table, n in (("isrc", 5), ("artist", 7)):
         with pytest.raises(ValueError, match="samples are kept"):
