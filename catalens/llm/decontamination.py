@@ -22,7 +22,9 @@ broadcast while they number at most ``BROADCAST_SHINGLES``, else joined by a shu
 Defined cases: null texts and items are empty; empty ones match nothing.  Texts or items of
 fewer than five words are one shingle; for the lengths of such items that occur, the
 windows of that length are looked up besides, so they are found within longer texts.  Repeated documents and items are all reported.
-Of several such windows at the same similarity the first is reported.
+Of several such windows at the same similarity the first is reported.  Very long texts are looked
+at whole, in all their windows.  Without documents or without items nothing matches.  Other
+columns are not read, and ``clean`` passes them on.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ source and is the only thing handled in one task.
 
 Defined cases: a null text has size 0.  A null source is a source of its own, last in
 order.  Sources of size 0 get target 0 and are not taken.  Rows with the same id and text
-share a draw.  An empty table gives an empty mix.  Other columns are kept as they are.
+share a draw.  Very long texts are measured whole.  An empty table gives an empty mix.
+Other columns are kept as they are.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ kind.  Scans are linear in the text: e-mails are looked for from the ``@`` outwa
 
 Offsets are code points, end exclusive.  Defined cases: null texts are empty and have no
 span; overlapping spans of different kinds are all reported; repeated rows get equal rows.
-Texts are judged whole, one row at a time.  Only the kept columns and the text are read.
+Texts are judged whole, one row at a time, however long.  An empty table gives an empty result.
+Only the kept columns and the text are read.
 """
 
 from __future__ import annotations

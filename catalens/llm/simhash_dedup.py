@@ -12,7 +12,8 @@ join's key would have no shuffle of its own, and AQE could not split a hub of ma
 Defined cases: a null or white-space text has fingerprint zero and links like any other.
 Texts of fewer than ``SHINGLE`` words are one shingle.  A null id gets a row; it never
 names a component unless all ids in it are null.  Repeated rows share their component.
-Empty tables give empty results.  Only the id and text columns are read.
+Very long texts are hashed whole, their bits counted in chunks.  Empty tables give empty
+results.  Only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ each); beyond that the same joins are shuffled.
 
 Defined cases: null texts are empty; shorter texts than ``length`` are kept whole; matches
 never cross documents; repeated rows are copies of each other.  Very long texts are scanned
-in pieces.  Empty tables give empty results.
+in pieces.  Empty tables give empty results.  Columns but the id and the text are not read.
 """
 
 from __future__ import annotations

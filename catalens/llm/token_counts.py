@@ -15,7 +15,8 @@ Nothing is shuffled: a worker remembers the counts of words it has met (at most
 ``REMEMBERED``), so common words cost one lookup wherever they are.
 
 Defined cases: null, empty and white-space texts have 0 words and 0 tokens.  Very long
-words are handled in time linear in their length.  Repeated rows get equal rows.
+words are handled in time linear in their length.  Repeated rows get equal rows.  An empty table
+gives an empty result.  Only the kept columns and the text are read.
 """
 
 from __future__ import annotations

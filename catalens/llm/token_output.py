@@ -15,7 +15,8 @@ holds is bounded by a shard and a batch of texts, however large the ranges.
 
 Defined cases: a null text is empty and has the end id alone.  A null document id comes
 first and is read back as null.  Rows of one id are ordered by their text's hash and are
-spread over shards by it if they are many.  An empty table writes no shard.
+spread over shards by it if they are many.  A very long text is encoded whole and may fill a
+shard by itself.  An empty table writes no shard.  Columns but the id and the text are not read.
 """
 
 from __future__ import annotations

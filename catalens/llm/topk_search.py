@@ -20,7 +20,9 @@ same files.  Terms are 64-bit hashes of lower-cased runs of letters and digits.
 Defined cases: null and empty texts have no terms, count as documents, and are never
 found.  Queries without known terms find nothing.  A document with no id can be found, and
 comes last among ties.  Repeated rows are documents of their own; repeated queries with
-the same id and text are asked once.  Empty tables give empty results.
+the same id and text are asked once.  A query without an id is asked, and its rows have a null
+query_id; several such queries are told apart by their texts alone.  Very long texts are
+indexed and asked whole.  Empty tables give empty results.  Only the id and text are read.
 """
 
 from __future__ import annotations
@@ -279,8 +281,9 @@ def write_queries(weighted: DataFrame, blocks: int, folder: str) -> DataFrame:
         def finished() -> pa.RecordBatch:
             terms, weights = ([np.array(r[k]) for r in held] for k in ("terms", "weights"))
             first = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
-            ids = np.array([r["query_id"] for r in held], dtype=np.int64)
-            _save(folder, f"queries-{held[0]['block']:06d}", {"ids": ids, "first": first, "terms": np.concatenate(terms).view(np.uint64), "weights": np.concatenate(weights)})
+            unnamed = np.array([r["query_id"] is None for r in held])
+            ids = np.array([r["query_id"] or 0 for r in held], dtype=np.int64)
+            _save(folder, f"queries-{held[0]['block']:06d}", {"ids": ids, "unnamed": unnamed, "first": first, "terms": np.concatenate(terms).view(np.uint64), "weights": np.concatenate(weights)})
             return pa.RecordBatch.from_pydict({"block": pa.array([held[0]["block"]], pa.int32()), "queries": pa.array([len(held)], pa.int32())})
 
         for batch in batches:
@@ -336,7 +339,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
                 Shard(_load(folder, name), mean_length).search(own, best)
             found = pa.array(best.id, mask=best.id == NO_ID)
             numbers = best.query + (block << 32)
-            columns = [pa.array(numbers), pa.array(asked["ids"][best.query]), found, pa.array(best.score)]
+            query_ids = pa.array(asked["ids"][best.query], mask=asked["unnamed"][best.query])
+            columns = [pa.array(numbers), query_ids, found, pa.array(best.score)]
             yield pa.RecordBatch.from_arrays(columns, names=["query_no", "query_id", "doc_id", "score"])
 
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

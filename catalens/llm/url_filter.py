@@ -12,6 +12,8 @@ tables, so each join has a shuffle on either side and AQE can split a URL of man
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, matches no
 rule and is never listed.  Repeated pages are judged one by one.  An empty list allows all.
+Of several fitting rules of one length the one given last counts.  Very long URLs are
+hashed and compared whole.
 Only the id and URL columns are read, so further columns of any name do no harm.
 """
 

@@ -48,6 +48,17 @@ def test_matches_scoring_everything(spark, documents, table_dir, monkeypatch, bl
     assert sorted(tuple(r) for r in got) == sorted(bm25(rows, asked, 10), key=lambda r: r[:2])
 
 
+def test_queries_without_an_id(spark, documents):
+    rows = [(i, prose(random.Random(i), 20, 50)) for i in range(60)]
+    asked = [(None, "w1 w2 w3"), (None, "w4 w5"), (None, "w1 w2 w3"), (7, "w1 w2 w3"), (None, None)]
+    got = ts.search(documents(rows), documents(asked), 5).collect()
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r.query_id, []).append((r.rank, r.doc_id))
+    expected = {i: [(rank, d) for q, rank, d, _ in bm25(rows, [(i, t)], 5)] for i, t in [("a", "w1 w2 w3"), ("b", "w4 w5")]}
+    assert by_query[7] == expected["a"] and sorted(by_query[None]) == sorted(expected["a"] + expected["b"])
+
+
 @pytest.mark.parametrize(("block", "common", "docs"), [(4, 0.02, 64), (16, 0.3, 200), (128, 2.0, 50)])
 def test_pruned_shards_match_scoring_everything(monkeypatch, block, common, docs):
     monkeypatch.setattr(ts, "BLOCK_DOCS", block)
