@@ -98,12 +98,17 @@ def data_checks(
     return reduce(DataFrame.unionByName, frames)
 
 
-def key_checks(report: DataFrame) -> DataFrame:
-    """check, status, value of each key column of a ``key_report``."""
+def key_checks(report: DataFrame, referred: Iterable[str]) -> DataFrame:
+    """check, status, value of each key column of a ``key_report``.
+
+    An id that repeats multiplies the rows of whatever joins it, so it fails where another
+    table refers to it (``referred``); elsewhere it is a warning, as is a missing row.
+    """
     column = F.concat("table_name", F.lit("."), "column_name")
     broken = F.col("repeated_rows") + F.col("null_rows")
     own = (F.col("table_name") == F.col("refers_to")) & (F.col("column_name") == "id")
-    unique = F.struct(F.concat(column, F.lit(" holds each id once")).alias("check"), _verdict(broken == 0).alias("status"), broken.cast("double").alias("value"))
+    repeats = F.when(broken == 0, "ok").when(F.col("table_name").isin(*referred), "fail").otherwise("warn")
+    unique = F.struct(F.concat(column, F.lit(" holds each id once")).alias("check"), repeats.alias("status"), broken.cast("double").alias("value"))
     lost = F.col("missing_ids")
     there = F.struct(
         F.concat(column, F.lit(" refers to rows of "), "refers_to").alias("check"),

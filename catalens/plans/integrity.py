@@ -28,6 +28,8 @@ REFERENCES = (
     Reference("track", "medium", "medium"),
     Reference("track", "recording", "recording"),
 )
+#: Tables that others refer to.
+REFERRED = tuple(dict.fromkeys(r.target for r in REFERENCES if not r.own))
 
 
 def stored_words(cat: Catalogue) -> DataFrame:

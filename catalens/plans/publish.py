@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalens.plans.checks import EXPECTED_RECORDINGS, data_checks, key_checks
 from catalens.plans.flags import shared_facts
-from catalens.plans.integrity import catalogue_keys
+from catalens.plans.integrity import REFERRED, catalogue_keys
 from catalens.plans.kpis import KPIS, register
 from catalens.session import tune
 from catalens.sources import runlog
@@ -41,16 +41,16 @@ def publish(
 ) -> Published:
     """Register every KPI view over the tables under ``directory`` and record the run.
 
-    The catalogue's keys are checked by value along with the figures: an id that repeats would
-    multiply rows, so it fails; a reference to a row that is not there is a warning.  The
-    recording facts behind the confidence views are worked out once and written to the
+    The catalogue's keys are checked by value along with the figures: an id that repeats and is
+    referred to would multiply rows, so it fails; a reference to a row that is not there is a
+    warning.  The recording facts behind the confidence views are worked out once and written to the
     shared folder.  Run it again and the views are replaced and the log's keys updated.
     """
     moment = as_of or dt.datetime.now()
     cat = load_catalogue(tune(spark), directory)
     facts = shared_facts(cat)
     views = register(spark, cat, as_of, recordings=facts, scope_note=scope_note)
-    rows = key_checks(catalogue_keys(cat)).unionByName(data_checks(cat, expected_recordings, recordings=facts)).collect()
+    rows = key_checks(catalogue_keys(cat), REFERRED).unionByName(data_checks(cat, expected_recordings, recordings=facts)).collect()
     done = Published(views, {r["check"]: r["status"] for r in rows})
     entries = {
         "schema_version": SCHEMA_VERSION,

@@ -80,10 +80,12 @@ def test_publishing_reports_broken_keys(spark, make_catalogue, tmp_path):
         artist=[{"id": 1, "type": 1}, {"id": 1, "type": 1}],
         artist_credit=[{"id": 1}],
         recording=[{"id": 1, "artist_credit": 5}],
+        track=[{"id": 1, "medium": 1, "recording": 1}] * 2,
     )
     for name, df in cat.items():
         df.write.parquet(str(tmp_path / "cat" / f"{name}.parquet"))
     done = publish(spark, str(tmp_path / "cat"), str(tmp_path / "log"), dt.datetime(2024, 5, 1))
     assert done.checks["artist.id holds each id once"] == "fail"
+    assert done.checks["track.id holds each id once"] == "warn"  # nothing refers to a track
     assert done.checks["recording.artist_credit refers to rows of artist_credit"] == "warn"
     assert done.checks["recording.id holds each id once"] == "ok"
