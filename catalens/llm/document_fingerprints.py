@@ -29,9 +29,10 @@ the text are not read.
 
 from __future__ import annotations
 
+import json
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalens.llm.decontamination import WHITE, let
@@ -135,6 +136,18 @@ def range_starts(keys: DataFrame) -> list[str]:
     return [r.k for r in firsts.orderBy("range").select(F.to_json("k").alias("k")).collect()]  # a row for each range
 
 
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """``n`` different numbers that a shuffle by hash deals out evenly, one to each partition in
+    turn; numbers as such would meet in some partitions and miss others."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = F.col("id").cast("int")
+    tried = spark.range(32 * parts + 1000).select(number.alias("id"), F.pmod(F.hash(number), F.lit(parts)).alias("part"))
+    # A row for each partition: of so many numbers hardly one partition gets none.
+    by_part = {r.part: r.id for r in tried.groupBy("part").agg(F.min("id").alias("id")).collect()}
+    free = 32 * parts + 1000
+    return [by_part[i] if i < parts and i in by_part else free + i for i in range(n)]
+
+
 def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, print) of each document, and the same of the ``next`` one: that with the next
     smaller id; the first for the last."""
@@ -149,9 +162,11 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = F.struct("id", "key")
     steps = [1 << b for b in reversed(range(len(starts).bit_length()))]
     later = lambda at: (at < len(starts)) & (F.get(bounds, at) >= own)
-    find = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(later(at + step), at + step).otherwise(at))
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(later(at + step), at + step).otherwise(at))
+    labels = even_labels(spark, len(starts))
+    find = F.get(F.from_json(F.lit(json.dumps(labels)), "array<int>"), place)
     # The first row of each range, as the row after the range before.
-    after = spark.createDataFrame([((i - 1) % len(starts), s) for i, s in enumerate(starts)], "range int, start string")
+    after = spark.createDataFrame([(labels[(i - 1) % len(starts)], s) for i, s in enumerate(starts)], "range int, start string")
     after = after.select("range", F.from_json("start", kind[len("array<") : -1]).alias("s")).select("range", F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
     after = written(after, "range-starts")  # its size is then known, and the texts stay where they are
     copies = rows.join(after, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).dropDuplicates(["range"])

@@ -102,6 +102,16 @@ def test_estimates_are_unbiased(spark):
     assert abs(sum(errors) / len(errors)) < 0.01 and max(map(abs, errors)) < 0.15
 
 
+def test_ranges_are_dealt_one_to_a_partition(spark):
+    from pyspark.sql import functions as F
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = dp.even_labels(spark, parts)
+    rows = spark.createDataFrame([(n,) for n in labels], "n int").select(F.pmod(F.hash("n"), F.lit(parts)).alias("p"))
+    assert sorted(r.p for r in rows.collect()) == list(range(parts))
+    assert len(set(dp.even_labels(spark, 3 * parts))) == 3 * parts
+
+
 def test_plan(spark, documents, table_dir):
     """No Python; the bounds are worked out once; a text is shuffled in one column."""
     docs = spark.read.parquet(table_dir(documents=documents([(i, f"t {i}") for i in range(50)])) + "/documents.parquet")
