@@ -74,14 +74,17 @@ def _small(values: np.ndarray) -> np.ndarray:
 def build_shard(ids: list[int | None], texts: list[str | None]) -> dict[str, np.ndarray]:
     """terms (sorted hashes), first (of each term's postings), docs, tfs, lengths, ids."""
     numbers: dict[str, int] = {}
-    counts = [terms_of(t) for t in texts]
-    order = sorted(range(len(ids)), key=lambda i: (max(counts[i], key=lambda t: (counts[i][t], t), default=""), counts[i].total()))
-    term_parts, tf_parts, sizes = [], [], []
-    for i in order:
-        own = counts[i]
-        term_parts.append(np.fromiter((numbers.setdefault(t, len(numbers)) for t in own), np.int64, len(own)))
-        tf_parts.append(np.fromiter(own.values(), np.int64, len(own)))
-        sizes.append(len(own))
+    # Of each document only numbers are kept: its terms', their counts, and what orders it.
+    terms, tfs, totals, commonest = [], [], [], []
+    for text in texts:
+        own = terms_of(text)
+        terms.append(np.fromiter((numbers.setdefault(t, len(numbers)) for t in own), np.int32, len(own)))
+        tfs.append(np.fromiter(own.values(), np.int32, len(own)))
+        totals.append(own.total())
+        commonest.append(max(own, key=lambda t: (own[t], t), default=""))  # noqa: B023
+    order = sorted(range(len(ids)), key=lambda i: (commonest[i], totals[i]))
+    term_parts, tf_parts = [terms[i] for i in order], [tfs[i] for i in order]
+    sizes = list(map(len, term_parts))
     hashes = np.fromiter(map(term_hash, numbers), np.uint64, len(numbers))
     by_hash = np.argsort(hashes)
     place = np.empty(len(hashes), dtype=np.int64)
@@ -94,7 +97,7 @@ def build_shard(ids: list[int | None], texts: list[str | None]) -> dict[str, np.
         "first": np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(hashes))))),
         "docs": _small(docs[sort]),
         "tfs": _small(np.concatenate([*tf_parts, np.empty(0, np.int64)])[sort]),
-        "lengths": np.array([counts[i].total() for i in order], dtype=np.int64),
+        "lengths": np.array([totals[i] for i in order], dtype=np.int64),
         "ids": np.array([NO_ID if ids[i] is None else ids[i] for i in order], dtype=np.int64),
     }
 
