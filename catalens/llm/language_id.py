@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalens.llm.shared import map_texts, release_memory, ship_package, written
+from catalens.llm.shared import map_texts, releasing, ship_package, written
 
 SAMPLE_TEXTS = 1000
 #: How many times as many texts are looked at for the sample; their number is estimated.
@@ -131,9 +131,8 @@ def entry_counts(sample: DataFrame) -> DataFrame:
                     yield counted()
                     words.clear()
         yield counted()
-        release_memory()
 
-    partial = sample.select("lang", "text").mapInArrow(run, ENTRIES)
+    partial = sample.select("lang", "text").mapInArrow(releasing(run), ENTRIES)
     return partial.groupBy("lang", "level", "entry").agg(F.sum("n").alias("n"))
 
 
@@ -256,11 +255,13 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_letters:
     ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.BooleanType())
-    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(held.value)
         for texts in batches:
             yield pd.Series([scorer.accepts(t if isinstance(t, str) else None, min_letters, min_known) for t in texts], dtype=bool)
-        release_memory()
+
+    @F.pandas_udf(T.BooleanType())
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from releasing(judged)(batches)
 
     return docs.where(passes(F.col(text_col)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import site
@@ -69,8 +70,22 @@ def text_key(text: Column) -> Column:
 
 def release_memory() -> None:
     """For the end of a task: workers live on between tasks and stages, and Arrow would keep
-    the buffers of the largest batches from the JVM and from whatever the worker does next."""
+    the buffers of the largest batches from the JVM and from whatever the worker does next, as
+    the C library would what numpy and others have freed."""
     pa.default_memory_pool().release_unused()
+    # Of glibc; other systems do without.
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; memory is given back once all that it held is gone."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return whole
 
 
 def map_texts(
@@ -117,9 +132,8 @@ def map_columns(
                 columns = work(batch.column(batch.num_columns - 1))
                 arrays = [pa.array(c, type=kind) for c, (_, kind) in zip(columns, new.values())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
-        release_memory()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def sliced(rows: pa.RecordBatch | pa.Array, texts: pa.Array, at_once: int) -> Iterator[pa.RecordBatch | pa.Array]:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.shared import release_memory, sliced, work_folder, written
+from catalens.llm.shared import releasing, sliced, work_folder, written
 
 END_ID = 1
 MAGIC = b"EFIDS02\0"
@@ -51,7 +51,9 @@ REMEMBERED = 300_000
 #: Characters of a word beyond which it is encoded by itself, in time that grows less with them.
 LONG_WORD = 500
 #: Bytes of texts that are encoded at a time, about.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
+#: Words whose ids are put together at a time.
+PLACED = 1 << 17
 
 
 class EliasFano:
@@ -244,15 +246,28 @@ class Encoder:
         listed = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         n = pc.list_value_length(listed).to_numpy().astype(np.int64)
         coded = listed.flatten().dictionary_encode()
+        del listed
         words = coded.dictionary.to_pylist()
         if new := [w for w in words if w not in self.place]:
             self.add(new)
-        own = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        own = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
+        del words, new, coded
         own = np.insert(own, np.cumsum(n), 0)  # the document's end, after its words
-        sizes = self.sizes[own]
-        stops = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[own] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
-        return ids, stops[np.cumsum(n + 1) - 1]
+        stops = np.cumsum(self.sizes[own])
+        return self._joined(own, int(stops[-1]) if len(stops) else 0), stops[np.cumsum(n + 1) - 1]
+
+    def _joined(self, own: np.ndarray, total: int) -> np.ndarray:
+        """The ids of words by their places, a part of the words at a time: what says where each
+        id is from takes many times the room of the ids."""
+        out, at = np.empty(total, dtype=self.kind), 0
+        for first in range(0, len(own), PLACED):
+            part = own[first : first + PLACED]
+            sizes = self.sizes[part]
+            stops = np.cumsum(sizes)
+            end = at + int(stops[-1])
+            out[at:end] = self.ids[np.repeat(self.starts[part] - (stops - sizes), sizes) + np.arange(end - at)]
+            at = end
+        return out
 
 
 def word_ranks(path: str) -> dict[bytes, int]:
@@ -333,10 +348,9 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
             yield finished()
         # The words of this range of documents are not kept for other tasks of the worker.
         coder.forget()
-        release_memory()
 
     # Written at once: the files and the list of them belong together.
-    return written(ranges.mapInArrow(run, SHARDS), "shards")
+    return written(ranges.mapInArrow(releasing(run), SHARDS), "shards")
 
 
 def shard_path(root: str, shard: int, part: int) -> str:
@@ -361,9 +375,8 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
             crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in spans]
             columns = [list(map(shard.doc_id, range(len(shard)))), [a + row["base"] for a, _ in spans], [b - a for a, b in spans], crc]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=READ_NAMES)
-        release_memory()
 
-    return frame.mapInArrow(run, ", ".join(f"{name} long" for name in READ_NAMES))
+    return frame.mapInArrow(releasing(run), ", ".join(f"{name} long" for name in READ_NAMES))
 
 
 def encode_corpus(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

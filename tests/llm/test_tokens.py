@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import brute
@@ -82,6 +83,22 @@ def test_encoder_is_the_tokenizer():
         coder.forget()
 
 
+def test_encoder_holds_few_bytes_a_word(monkeypatch):
+    """Ids are put together a part of the words at a time; the parts make the whole."""
+    path = public_tokenizers.path(queries.WORD_VOCABULARY)
+    coder, rng = token_output.Encoder(path), random.Random(12)
+    texts = pa.array([prose(rng, 2000, 5000) for _ in range(400)])
+    whole, ends = coder.encode(texts)
+    tracemalloc.start()
+    coder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * 2000 * 400
+    monkeypatch.setattr(token_output, "PLACED", 777)
+    again, stops = coder.encode(texts)
+    assert (again == whole).all() and (stops == ends).all()
+
+
 def test_repeated_ids_are_whole(spark, documents):
     rows = [(7, f"word{i % 5} again") for i in range(50)]
     path = public_tokenizers.path(queries.WORD_VOCABULARY)
