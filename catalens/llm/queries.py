@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm import decontamination, document_fingerprints, filter_audit, language_id, mixing, pii, simhash_dedup, suffix_dedup, token_alignment, token_counts, token_output, topk_search, url_filter
@@ -38,15 +38,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+    def covered(spans: str) -> Column:
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
     return out.select(
         "doc_id",
         "n_bytes",
-        removed.alias("n_removed"),
+        covered("spans").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
         # A cut within a character leaves bytes that are no text; they show as U+FFFD.
         F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"),
+        # Passages of over 50 words that another document has too; under 400 bytes they are kept.
+        F.size("passages").cast("long").alias("n_passages"),
+        covered("passages").alias("passage_bytes"),
     )
 
 

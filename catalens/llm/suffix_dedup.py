@@ -23,6 +23,14 @@ Consecutive windows with one anchor make a row: the anchor's gram, the windows'
    surroundings, the single windows are counted by hash.  So a passage that very many
    documents share meets in counts only, and in joins that AQE can split.
 
+Passages of over 50 words that another document has too are often shorter than ``length``.
+They stay, and are reported beside the removed spans, whole.  They are found the same way with
+words in place of bytes: each word is a 64-bit number, windows are ``WORDS`` words, anchors are
+strings of ``GRAM_WORDS`` words.  Contexts that two documents have are shared throughout; of
+the others with an anchor in common, the single windows are counted by hash.  So copies and
+passages of very many documents meet in counts only.  Repeats within one document do not
+count, nor does the kind of white space between words.
+
 Keys of texts are broadcast only while they number at most ``BROADCAST_KEYS`` (16 bytes
 each); beyond that the same joins are shuffled.
 
@@ -34,6 +42,7 @@ in pieces.  Empty tables give empty results.  Columns but the id and the text ar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +58,9 @@ SHALLOW = 24
 SPLIT_ABOVE = 2000
 PIECE = 16
 BROADCAST_KEYS = 2_000_000
+#: Passages of over 50 words.
+WORDS = 51
+GRAM_WORDS = 20
 #: Window starts scanned at a time; places within a scan fit in PLACE_BITS.
 SCAN = 1 << 19
 PLACE_BITS = 20
@@ -56,6 +68,7 @@ PLACE_BITS = 20
 BLOCK_ROWS = 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MASK64 = (1 << 64) - 1
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SECOND_SEED = 7
 KEY = ["__llm_k1", "__llm_k2"]
@@ -138,6 +151,70 @@ def _scanned(scan: list[tuple[int, int, bytes]], length: int, gram: int) -> tupl
     return numbers[of], start - begins[of] + bases[of], windows, offset, grams, context
 
 
+# --- words ---------------------------------------------------------------------------
+
+
+@cache
+def _powers(base: np.uint64, size: int) -> np.ndarray:
+    out = np.full(size, base)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each maximal run of other bytes than ASCII white space begins and ends."""
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = (data != 0x20) & (data - np.uint8(0x09) > 4)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_codes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, 64-bit hash) of each word."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    begins, ends = word_bounds(data)
+    codes = np.empty(len(begins), dtype=np.uint64)
+    at = 0
+    while at < len(begins):
+        first = begins[at]
+        to = int(np.searchsorted(ends, first + SCAN, side="right"))
+        if to == at:  # longer than a scan
+            codes[at] = xxhash.xxh64_intdigest(text[first : ends[at]])
+            at += 1
+            continue
+        piece = data[first : ends[to - 1]].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum(piece * _powers(BASE, SCAN)[: len(piece)], out=sums[1:])
+        a, b = begins[at:to] - first, ends[at:to] - first
+        codes[at:to] = (sums[b] - sums[a]) * _powers(INVERSE, SCAN)[a]
+        at = to
+    # Sums of these must not be sums of bytes.
+    for _ in range(2):
+        codes = (codes ^ (codes >> np.uint64(32))) * MIX
+    return begins, codes ^ (codes >> np.uint64(32))
+
+
+def word_rows(texts: list[bytes], words: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """As ``anchor_rows``, with starts, windows and offsets in words."""
+    first = 0
+    while first < len(texts):
+        to, held = first + 1, len(texts[first])
+        while to < len(texts) and held + len(texts[to]) < SCAN:
+            held += len(texts[to]) + 1
+            to += 1
+        begins, codes = word_codes(b"\n".join(texts[first:to]))
+        ends = np.cumsum([len(t) + 1 for t in texts[first:to]])
+        owner = np.searchsorted(ends, begins, side="right")
+        for at in range(0, len(codes) - words + 1, SCAN):
+            part, of = codes[at : at + SCAN + words - 1], owner[at : at + SCAN + words - 1]
+            start, windows, offset, grams = anchors(part, of[: len(part) - words + 1] == of[words - 1 :], words, gram)
+            raw, stops = part.tobytes(), start + windows + (words - 1)
+            context = np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(start.tolist(), stops.tolist())], dtype=np.uint64).view(np.int64)
+            text = of[start]
+            yield first + text, at + start - np.searchsorted(owner, text), windows, offset, grams, context
+        first = to
+
+
 # --- deep-shallow sorting ------------------------------------------------------------
 
 
@@ -306,16 +383,18 @@ def _arrow(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]]
 ANCHORS = "__llm_k1 long, __llm_k2 long, start long, windows long, offset long, gram long, context long"
 
 
-def anchor_table(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
+def anchor_table(docs: DataFrame, text_col: str, length: int, gram: int, shortest: int | None = None, rows_of: Callable = anchor_rows) -> DataFrame:
+    """The rows that ``rows_of`` finds in texts of at least ``shortest`` bytes."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
             texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            for of, start, windows, offset, grams, context in anchor_rows(texts, length, gram):
+            for of, start, windows, offset, grams, context in rows_of(texts, length, gram):
                 yield {KEY[0]: k1[of], KEY[1]: k2[of], "start": start, "windows": windows, "offset": offset, "gram": grams, "context": context}
 
     # Texts too short for a window need no look.
-    long_enough = F.octet_length(F.col(text_col)) >= length
+    long_enough = F.octet_length(F.col(text_col)) >= (length if shortest is None else shortest)
     return _arrow(_keyed(docs.select(text_col), text_col).where(long_enough).select(*KEY, text_col), ANCHORS, work)
 
 
@@ -377,6 +456,27 @@ def _pieces(data: bytes, wanted: dict, length: int) -> Iterator[tuple[int, int,
         yield core, digest(anchor - high, anchor - low + length, high), anchor - high, hashes
 
 
+WINDOWS = "gram long, hash long, __llm_k1 long, __llm_k2 long, start long, own boolean"
+
+
+def window_table(texts: DataFrame, words: int) -> DataFrame:
+    """The hash of each window of the wanted rows of ``texts``, in words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                out: dict[str, list] = {f.split()[0]: [] for f in WINDOWS.split(", ")}
+                raw = word_codes(row["text"].encode())[1].tobytes()
+                for w in row["wanted"]:
+                    for start in range(w["start"], w["start"] + w["windows"]):
+                        digest = xxhash.xxh64_intdigest(raw[8 * start : 8 * (start + words)]) - (1 << 63)
+                        for column, value in zip(out.values(), (w["gram"], digest, row[KEY[0]], row[KEY[1]], start, w["own"])):
+                            column.append(value)
+                yield {k: pa.array(v, pa.bool_() if k == "own" else pa.int64()) for k, v in out.items()}
+
+    return _arrow(texts, WINDOWS, work)
+
+
 RANGES = "__llm_k1 long, __llm_k2 long, start long, end long"
 
 
@@ -441,6 +541,12 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def _with_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(key, text, wanted): each text that rows are wanted of, once."""
+    texts = _keyed(docs.select(F.col(text_col).alias("text")), "text").join(_few(wanted.select(*KEY)), KEY, "left_semi")
+    return texts.groupBy(*KEY).agg(F.first("text").alias("text")).join(wanted, KEY).select(*KEY, "text", "wanted")
+
+
 def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, ranges): per distinct text with a repeat, its repeated byte ranges (may overlap)."""
     rows = written(anchor_table(docs, text_col, length, gram), "anchors")
@@ -465,8 +571,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     def fetched(places: DataFrame, name: str) -> DataFrame:
         wanted = places.select("place.*", F.struct("gram", "place.start", "place.windows", "place.offset", once).alias("w"))
         wanted = written(wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")), name)
-        texts = _keyed(docs.select(F.col(text_col).alias("text")), "text").join(_few(wanted.select(*KEY)), KEY, "left_semi")
-        return texts.groupBy(*KEY).agg(F.first("text").alias("text")).join(wanted, KEY).select(*KEY, "text", "wanted")
+        return _with_texts(docs, text_col, wanted)
 
     if split.isEmpty():
         parts = compared(context_table(fetched(places, "wanted"), length), length)
@@ -479,6 +584,41 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     return written(ranges, "repeated-ranges")
 
 
+def shared_passages(docs: DataFrame, text_col: str = "text", words: int = WORDS, gram: int = GRAM_WORDS) -> DataFrame:
+    """(key, passages): per distinct text with any, the ranges of words (may overlap) of the
+    strings of ``words`` words that another document has too."""
+    rows = written(anchor_table(docs, text_col, words, gram, 2 * words - 1, word_rows), "word-anchors")
+    bounds = [f(c).alias(f"{f.__name__}_{c}") for c in ("context", KEY[0]) for f in (F.min, F.max)]
+    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), *bounds)
+    # Several contexts, not all of one text.
+    mixed = F.expr(f"min_context != max_context and min_{KEY[0]} != max_{KEY[0]}").alias("mixed")
+    several = written(grams.where("rows > 1").select("gram", mixed), "repeated-word-grams")
+    # A row that occurs twice is of documents with equal texts.
+    rows = rows.join(several.hint("shuffle_hash"), "gram").groupBy(*rows.columns, "mixed").agg(F.count(F.lit(1)).alias("copies"))
+    rows = written(rows, "repeated-word-anchors")
+
+    shared = ((F.min(KEY[0]) != F.max(KEY[0])) | (F.max("copies") > 1)).alias("shared")
+    contexts = written(rows.groupBy("gram", "context").agg(shared, F.min("mixed").alias("mixed")), "word-contexts")
+    common = contexts.where("shared").select("gram", "context")
+    whole = rows.join(common, ["gram", "context"], "left_semi").select(*KEY, "start", (F.col("start") + F.col("windows") + (words - 1)).alias("end"))
+
+    # Of the grams that have several contexts: those of one document, and one place for each of the others.
+    single = contexts.where("mixed and not shared").select("gram", "context")
+    own = rows.join(single, ["gram", "context"], "left_semi").select(*KEY, F.struct("gram", "start", "windows", F.lit(True).alias("own")).alias("w"))
+    place = F.min(F.struct(*KEY, "start", "windows")).alias("place")
+    places = rows.where("mixed").join(common, ["gram", "context"], "left_semi").groupBy("gram", "context").agg(place)
+    others = places.select(*[f"place.{k}" for k in KEY], F.struct("gram", "place.start", "place.windows", F.lit(False).alias("own")).alias("w"))
+    wanted = written(own.unionByName(others).groupBy(*KEY).agg(F.collect_list("w").alias("wanted")), "wanted-words")
+
+    windows = written(window_table(_with_texts(docs, text_col, wanted), words), "word-windows")
+    found = windows.groupBy("gram", "hash").agg(F.min(KEY[0]).alias("low"), F.max(KEY[0]).alias("high"), F.min("own").alias("own"))
+    found = written(found.where("low != high or not own").select("gram", "hash"), "shared-windows")
+    parts = windows.where("own").join(found, ["gram", "hash"], "left_semi").select(*KEY, "start", (F.col("start") + words).alias("end"))
+
+    passages = whole.unionByName(parts).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("passages"))
+    return written(passages, "shared-passages")
+
+
 def _merged(ranges: list[dict]) -> list[list[int]]:
     out: list[list[int]] = []
     for r in ranges:
@@ -493,28 +633,32 @@ SPANS = "array<struct<start: bigint, end: bigint>>"
 ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per document: id, n_bytes, the removed byte spans, and the bytes kept."""
-    ranges = repeated_ranges(docs, text_col, length, gram)
-    keys = _few(ranges.select(*KEY))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: int = WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+    """Per document: id, n_bytes, the removed byte spans, the bytes kept, and as ``passages``
+    the byte spans of the passages of ``words`` words or more that another document has too."""
+    marks = repeated_ranges(docs, text_col, length, gram).join(shared_passages(docs, text_col, words, gram_words), KEY, "full")
+    marks = written(marks, "marks")
+    keys = _few(marks.select(*KEY))
     rows = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), "text")
     whole: Column = F.col("text").cast("binary")
-    size = F.octet_length("text").cast("long").alias("n_bytes")
-    untouched = rows.join(keys, KEY, "left_anti").select("doc_id", size, F.array().cast(SPANS).alias("spans"), whole.alias("kept"))
-    touched = rows.join(keys, KEY, "left_semi").join(ranges, KEY).select("doc_id", size, "ranges", "text")
+    size, none = F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(SPANS)
+    untouched = rows.join(keys, KEY, "left_anti").select("doc_id", size, none.alias("spans"), whole.alias("kept"), none.alias("passages"))
+    touched = rows.join(keys, KEY, "left_semi").join(marks, KEY).select("doc_id", size, "ranges", "passages", "text")
     id_type = touched.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, kept = [], []
-            for found, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                data, merged = text.encode(), _merged(found)
+            spans, kept, passages = [], [], []
+            for found, shared, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                data, merged = text.encode(), _merged(found or [])
                 begins = [0, *(end for _, end in merged)]
                 stops = [*(start for start, _ in merged), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(begins, stops)))
                 spans.append([{"start": a, "end": b} for a, b in merged])
-            columns = [batch.column(0), batch.column(1), pa.array(spans, ARROW_SPANS), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept"])
+                first, last = word_bounds(np.frombuffer(data, dtype=np.uint8)) if shared else ((), ())
+                passages.append([{"start": int(first[a]), "end": int(last[b - 1])} for a, b in _merged(shared or [])])
+            columns = [batch.column(0), batch.column(1), pa.array(spans, ARROW_SPANS), pa.array(kept, pa.binary()), pa.array(passages, ARROW_SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept", "passages"])
 
-    schema = f"doc_id {id_type}, n_bytes long, spans {SPANS}, kept binary"
+    schema = f"doc_id {id_type}, n_bytes long, spans {SPANS}, kept binary, passages {SPANS}"
     return untouched.unionByName(touched.mapInArrow(run, schema))

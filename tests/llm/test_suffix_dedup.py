@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import brute
 import numpy as np
@@ -136,3 +137,82 @@ def test_without_broadcast(spark, documents, monkeypatch):
 
 def test_empty_table(spark, documents):
     assert sd.deduplicated(documents([(1, "a")]).limit(0)).collect() == []
+
+
+def passages_of(rows, words=51):
+    """Per row: byte spans of the runs of words in strings of so many that another row has too."""
+    found = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t in rows]
+    where = {}
+    for d, ws in enumerate(found):
+        for i in range(len(ws) - words + 1):
+            where.setdefault(tuple(w for _, _, w in ws[i : i + words]), set()).add(d)
+    out = []
+    for ws in found:
+        marks = [False] * (len(ws) + 1)
+        for i in range(len(ws) - words + 1):
+            if len(where[tuple(w for _, _, w in ws[i : i + words])]) > 1:
+                marks[i : i + words] = [True] * words
+        begins = [i for i in range(len(ws)) if marks[i] and not (i and marks[i - 1])]
+        out.append([(ws[i][0], ws[marks.index(False, i) - 1][1]) for i in begins])
+    return out
+
+
+def passage_corpus(rng):
+    """Passages of 51 words and more, all under 400 bytes, and what must not count as such."""
+    rows = corpus(rng)
+    short, long, few, own = (prose(rng, n, 90) for n in (51, 60, 50, 55))
+    around = lambda text: f"{prose(rng, rng.randrange(70), 10**6)} {text} {prose(rng, rng.randrange(70), 10**6)}"
+    rows += [(100 + i, around(short)) for i in range(2)] + [(110 + i, around(few)) for i in range(8)]
+    rows += [(120 + i, around(long)) for i in range(30)] + [(150, long.replace(" ", "\t\n ")), (151, f"{long} {short}"), (152, long)]
+    # Only within one document; with a word changed; without white space before the next word.
+    rows += [(160, f"{own} {prose(rng, 9)} {own}"), (161, around(short.upper())), (162, around(f"{short}.")), (163, " " + "line " * 300)]
+    rows += [(170, "né à " * 60), (171, "né à " * 30 + "x"), (172, short), (None, short), (None, None), (173, "ab c " + prose(rng, 60, 10**6))]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_match_brute_force(spark, documents, table_dir, monkeypatch, seed):
+    rows = passage_corpus(random.Random(seed))
+    spans = passages_of(rows)
+    planted = {i: s for (i, _), s in zip(rows, spans)}
+    assert all(planted[i] for i in (100, 101, 120, 150, 170)) and not any(planted[i] for i in (110, 160, 161, 163, 173))
+    folder = table_dir(documents=documents(rows))
+    found = queries.op2_suffix_dedup(spark, folder).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == expected(rows)
+    want = [(i, len(s), sum(b - a for a, b in s)) for (i, _), s in zip(rows, spans)]
+    assert sorted([(r.doc_id, r.n_passages, r.passage_bytes) for r in found], key=repr) == sorted(want, key=repr)
+    got = [(r.doc_id, [(s.start, s.end) for s in r.passages]) for r in sd.deduplicated(documents(rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(i, s) for (i, _), s in zip(rows, spans)], key=repr)
+
+
+def test_words_of_long_texts(monkeypatch):
+    """Words, windows and anchors are the same however a text is scanned."""
+    rng = random.Random(7)
+    text = f"{prose(rng, 900)} {'é' * 400} {prose(rng, 900)}".encode()
+    texts = [text, b"", b"one two", text[100:900], b" " * 5 + text[:1500]]
+
+    def windows_of(scans):
+        out = {}
+        for of, start, windows, offset, gram, _ in scans:
+            for d, s, w, o, g in zip(*(a.tolist() for a in (of, start, windows, offset, gram))):
+                out |= {(d, s + k): (s + o, g) for k in range(w)}
+        return out
+
+    whole = windows_of(sd.word_rows(texts, 51, 20))
+    begins = sd.word_codes(text)[0].tolist()
+    assert begins == [m.start() for m in re.finditer(rb"\S+", text)]
+    assert sorted(s for d, s in whole if d == 0) == list(range(len(begins) - 50))
+    monkeypatch.setattr(sd, "SCAN", 900)
+    assert windows_of(sd.word_rows(texts, 51, 20)) == whole
+
+
+@settings(max_examples=60)
+@given(st.lists(st.text(alphabet="ab\0\x01é", min_size=1, max_size=4), min_size=2, max_size=60))
+def test_word_codes_tell_words_apart(words):
+    data = " ".join(words).encode()
+    begins, codes = sd.word_codes(data)
+    assert len(codes) == len(words)
+    assert len(set(codes.tolist())) == len(set(words))
+    # Nor do sums over several words stand for other words.
+    pairs = sd.rolling_hashes(codes, 2).tolist()
+    assert len(set(pairs)) == len(set(zip(words, words[1:])))
