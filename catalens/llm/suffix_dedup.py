@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.shared import ship_package, written
+from catalens.llm.shared import releasing, ship_package, written
 
 LENGTH = 400
 GRAM = 200
@@ -377,7 +377,7 @@ def _arrow(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]]
             yield pa.RecordBatch.from_pydict(columns)
 
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 ANCHORS = "__llm_k1 long, __llm_k2 long, start long, windows long, offset long, gram long, context long"
@@ -464,7 +464,8 @@ def window_table(texts: DataFrame, words: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 out: dict[str, list] = {f.split()[0]: [] for f in WINDOWS.split(", ")}
                 raw = word_codes(row["text"].encode())[1].tobytes()
                 for w in row["wanted"]:
@@ -593,9 +594,10 @@ def shared_passages(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     # Several contexts, not all of one text.
     mixed = F.expr(f"min_context != max_context and min_{KEY[0]} != max_{KEY[0]}").alias("mixed")
     several = written(grams.where("rows > 1").select("gram", mixed), "repeated-word-grams")
+    # A table of its own: counted in the same stage, all rows of a gram would have to meet.
+    rows = written(rows.join(several.hint("shuffle_hash"), "gram"), "repeated-word-anchors")
     # A row that occurs twice is of documents with equal texts.
-    rows = rows.join(several.hint("shuffle_hash"), "gram").groupBy(*rows.columns, "mixed").agg(F.count(F.lit(1)).alias("copies"))
-    rows = written(rows, "repeated-word-anchors")
+    rows = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")), "distinct-word-anchors")
 
     shared = ((F.min(KEY[0]) != F.max(KEY[0])) | (F.max("copies") > 1)).alias("shared")
     contexts = written(rows.groupBy("gram", "context").agg(shared, F.min("mixed").alias("mixed")), "word-contexts")
@@ -661,4 +663,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept", "passages"])
 
     schema = f"doc_id {id_type}, n_bytes long, spans {SPANS}, kept binary, passages {SPANS}"
-    return untouched.unionByName(touched.mapInArrow(run, schema))
+    return untouched.unionByName(touched.mapInArrow(releasing(run), schema))

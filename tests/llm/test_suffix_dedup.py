@@ -204,6 +204,10 @@ def test_words_of_long_texts(monkeypatch):
     assert sorted(s for d, s in whole if d == 0) == list(range(len(begins) - 50))
     monkeypatch.setattr(sd, "SCAN", 900)
     assert windows_of(sd.word_rows(texts, 51, 20)) == whole
+    # A word longer than a scan.
+    monkeypatch.setattr(sd, "SCAN", 300)
+    codes = sd.word_codes(text + b" " + text)[1].tolist()
+    assert len(codes) == 2 * len(begins) and codes[: len(begins)] == codes[len(begins) :]
 
 
 @settings(max_examples=60)
