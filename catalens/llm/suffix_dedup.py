@@ -608,8 +608,8 @@ def shared_passages(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     single = contexts.where("mixed and not shared").select("gram", "context")
     own = rows.join(single, ["gram", "context"], "left_semi").select(*KEY, F.struct("gram", "start", "windows", F.lit(True).alias("own")).alias("w"))
     place = F.min(F.struct(*KEY, "start", "windows")).alias("place")
-    places = rows.where("mixed").join(common, ["gram", "context"], "left_semi").groupBy("gram", "context").agg(place)
-    others = places.select(*[f"place.{k}" for k in KEY], F.struct("gram", "place.start", "place.windows", F.lit(False).alias("own")).alias("w"))
+    places = rows.where("mixed").groupBy("gram", "context").agg(shared, place)
+    others = places.where("shared").select(*[f"place.{k}" for k in KEY], F.struct("gram", "place.start", "place.windows", F.lit(False).alias("own")).alias("w"))
     wanted = written(own.unionByName(others).groupBy(*KEY).agg(F.collect_list("w").alias("wanted")), "wanted-words")
 
     windows = written(window_table(_with_texts(docs, text_col, wanted), words), "word-windows")
