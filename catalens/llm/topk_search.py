@@ -5,14 +5,17 @@ each an inverted index in a file of the shared folder, and reports document freq
 Searching uses global statistics (documents, mean length, frequency of each query term), so
 scores do not depend on the sharding and merging the shards' best is exact.
 
-Queries are taken in blocks against groups of shards.  In a shard, lists of rare terms are
-scored in full.  The lists of common terms (in over ``COMMON`` of the shard's documents) are
-cut into blocks of ``BLOCK_DOCS`` documents with the highest impact of each term.  As in
-WAND, a block is looked into only if the bound for it (the block's best rare score plus the
-sum of its maxima) reaches the query's current k-th best score; blocks go from the highest
-bound on, the threshold rises on the way, and only the lists' parts in blocks that pass are
-scored.  Documents are ordered by their commonest term and length within a shard, so that
-blocks are alike inside and bounds are tight.  Ties go to the smaller id.
+A shard's documents lie in parts that share common terms (which separates languages), each
+with its own index.  Queries are taken in blocks against groups of shards, next to others that
+are like the same part and as long, and scored a chunk at a time.  Terms that are common in a
+part and in the chunk are columns of a matrix of 32-bit impacts, the lists of all others are
+added up in 64 bits; the split is where both cost the same.  Blocks of ``BLOCK_DOCS`` documents
+have the highest impact of each column.  As in WAND, a block is looked into only if the bound
+for it (the block's best score by lists plus the sum of its maxima) reaches the query's current
+k-th best score; blocks go from the highest bound on, and the threshold rises on the way.
+Scores of 32 bits only decide, within what they may be off, which documents are scored in 64
+bits; those scores are compared.  Documents are ordered by their commonest term and length
+within a part, so that blocks are alike inside.  Ties go to the smaller id.
 
 Files are written under a temporary name and renamed; a task that runs again leaves the
 same files.  Terms are 64-bit hashes of lower-cased runs of letters and digits.
@@ -40,24 +43,41 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.llm.shared import text_key, work_folder, written
+from catalens.llm.shared import releasing, text_key, work_folder, written
 
 K = 10
 K1, B = 1.2, 0.75
 SHARD_DOCS = 1 << 14
 SHARD_WORDS = 20_000_000
 BLOCK_DOCS = 128
+#: A part of a shard has at least so many documents, and a shard at most so many parts.
+PART_DOCS, PARTS = 512, 8
 COMMON = 0.1
-QUERY_BLOCK = 512
-SHARD_GROUP = 16
+#: Lists over this share of a part's documents are also held as columns of a matrix; adding an
+#: entry of a list costs as much as so many products of matrix elements.
+DENSE, ENTRY_COST = 0.04, 800
+#: Queries and shards of a task at most, and where there are few of them.
+QUERY_BLOCK, QUERY_TASK = 8192, 1024
+SHARD_GROUP, SHARDS_TASK = 32, 8
+#: Queries scored together, and entries of lists added up together.
+QUERY_CHUNK = 256
+ENTRIES = 1 << 15
 #: Scores are compared to this many decimals.
 DECIMALS = 9
+#: Terms that are numbered together at first.
+ENCODED = 1 << 18
 TERM = re.compile(r"[^\W_]+")
 NO_ID = np.iinfo(np.int64).max
 
 
+#: ASCII characters, those that are of no term as blanks.
+ASCII = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
+
 def terms_of(text: str | None) -> Counter:
-    return Counter(TERM.findall(text.lower())) if text else Counter()
+    lower = (text or "").lower()
+    # The same terms either way.
+    return Counter(lower.encode().translate(ASCII).decode().split() if lower.isascii() else TERM.findall(lower))
 
 
 def term_hash(term: str) -> int:
@@ -71,41 +91,111 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
 
+def alike(term: np.ndarray, docs: np.ndarray, many: int, seeds: list[str]) -> np.ndarray:
+    """A part for each of ``many`` documents, so that those of a part share common terms.
+
+    ``term`` and ``docs`` are the postings.  Spherical k-means over the common terms a document
+    has, from the largest groups of equal ``seeds``; too small a part is given up.
+    """
+    df = np.bincount(term)
+    common = np.flatnonzero(df > COMMON * many)
+    part = np.zeros(many, dtype=np.int64)
+    if many < 2 * PART_DOCS or not len(common):
+        return part
+    row = np.full(len(df), -1)
+    row[common] = np.arange(len(common))
+    own = row[term] >= 0
+    points = np.zeros((many, len(common)), dtype=np.float32)
+    points[docs[own], row[term[own]]] = 1
+    points /= np.maximum(np.sqrt(points.sum(axis=1, keepdims=True)), 1)
+    first = sorted(Counter(seeds).items(), key=lambda r: (-r[1], r[0]))[:PARTS]
+    number = {seed: i for i, (seed, _) in enumerate(first)}
+    part = np.array([number.get(seed, -1) for seed in seeds])
+    for _ in range(4 + len(first)):
+        centres = np.stack([points[part == i].sum(axis=0) for i in range(part.max() + 1)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        part = (points @ centres.T).argmax(axis=1)
+        sizes = np.bincount(part, minlength=len(centres))
+        if sizes.min() < PART_DOCS:
+            part[part == sizes.argmin()] = -1
+            left = part >= 0
+            part[left] = np.unique(part[left], return_inverse=True)[1]
+            part = part if left.any() else part + 1
+    # Those whose part was given up last go to the one whose centre is nearest.
+    if (part < 0).any():
+        centres = np.stack([points[part == i].sum(axis=0) for i in range(part.max() + 1)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        lost = part < 0
+        part[lost] = (points[lost] @ centres.T).argmax(axis=1)
+    return np.unique(part, return_inverse=True)[1]
+
+
 def build_shard(ids: list[int | None], texts: list[str | None]) -> dict[str, np.ndarray]:
-    """terms (sorted hashes), first (of each term's postings), docs, tfs, lengths, ids."""
-    numbers: dict[str, int] = {}
-    # Of each document only numbers are kept: its terms', their counts, and what orders it.
-    terms, tfs, totals, commonest = [], [], [], []
+    """The documents in parts of alike ones, each an index of its own, one after the other:
+    terms (sorted hashes), first (of each term's postings), docs (within the part), tfs,
+    lengths, ids; part_terms and part_docs say where each part begins."""
+    # Of each document only numbers are kept: its terms' within some documents, their counts,
+    # and what orders it.
+    words, terms, tfs, totals, commonest = [], [], [], [], []
     for text in texts:
         own = terms_of(text)
-        terms.append(np.fromiter((numbers.setdefault(t, len(numbers)) for t in own), np.int32, len(own)))
+        words += own
+        if len(words) >= ENCODED:
+            terms.append(pa.array(words, pa.string()).dictionary_encode())
+            words = []
         tfs.append(np.fromiter(own.values(), np.int32, len(own)))
         totals.append(own.total())
-        commonest.append(max(own, key=lambda t: (own[t], t), default=""))  # noqa: B023
-    order = sorted(range(len(ids)), key=lambda i: (commonest[i], totals[i]))
-    term_parts, tf_parts = [terms[i] for i in order], [tfs[i] for i in order]
-    sizes = list(map(len, term_parts))
-    hashes = np.fromiter(map(term_hash, numbers), np.uint64, len(numbers))
+        most = max(own.values(), default=0)
+        commonest.append(max((t for t, n in own.items() if n == most), default=""))
+    sizes = np.fromiter(map(len, tfs), np.int64, len(tfs))
+    terms.append(pa.array(words, pa.string()).dictionary_encode())
+    terms = pa.chunked_array(terms).unify_dictionaries().chunks
+    hashes = np.fromiter(map(term_hash, terms[0].dictionary.to_pylist()), np.uint64, len(terms[0].dictionary))
     by_hash = np.argsort(hashes)
-    place = np.empty(len(hashes), dtype=np.int64)
+    place = np.empty(len(hashes), dtype=np.int32)
     place[by_hash] = np.arange(len(hashes))
-    term = place[np.concatenate([*term_parts, np.empty(0, np.int64)])]
-    docs = np.repeat(np.arange(len(order)), sizes)
-    sort = np.argsort(term, kind="stable")
+    hashes = hashes[by_hash]
+    term = place[np.concatenate([t.indices.to_numpy() for t in terms])]
+    del terms, place
+    part = alike(term, np.repeat(np.arange(len(ids), dtype=np.int32), sizes), len(ids), commonest)
+    order = sorted(range(len(ids)), key=lambda i: (part[i], commonest[i], totals[i]))
+    part_docs = np.concatenate(([0], np.cumsum(np.bincount(part)))).astype(np.int64)
+    begins, part, sizes = (np.cumsum(sizes) - sizes)[order], part[order], sizes[order]
+    # The postings by document as they are ordered, then by part and term.
+    entries = _ranges(begins, sizes)
+    keys, counts = term[entries].astype(np.int64), np.concatenate([*tfs, np.empty(0, np.int32)])[entries]
+    del entries, term, tfs
+    keys += np.repeat(part * len(hashes), sizes)
+    sort = np.argsort(keys, kind="stable")
+    keys, counts = keys[sort], _small(counts[sort])
+    docs = _small(np.repeat((np.arange(len(order)) - part_docs[part]).astype(np.int32), sizes)[sort])
+    del sort
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    in_part, of = np.divmod(keys[first], max(len(hashes), 1))
     return {
-        "terms": hashes[by_hash],
-        "first": np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(hashes))))),
-        "docs": _small(docs[sort]),
-        "tfs": _small(np.concatenate([*tf_parts, np.empty(0, np.int64)])[sort]),
+        "terms": hashes[of],
+        "first": np.append(first, len(keys)),
+        "docs": docs,
+        "tfs": counts,
         "lengths": np.array([totals[i] for i in order], dtype=np.int64),
         "ids": np.array([NO_ID if ids[i] is None else ids[i] for i in order], dtype=np.int64),
+        "part_terms": np.searchsorted(in_part, np.arange(len(part_docs))),
+        "part_docs": part_docs,
     }
 
 
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """begins[0], begins[0] + 1, ... for each range, one after the other."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+    out = np.repeat(begins - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def find(terms: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of the sorted ``wanted`` is in the sorted ``terms``, or -1."""
+    at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+    return np.where(terms[at] == wanted, at, -1)
 
 
 class Best:
@@ -113,84 +203,221 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.queries = k, queries
-        self.query = np.empty(0, dtype=np.int64)
-        self.score, self.id = np.empty(0), np.empty(0, dtype=np.int64)
+        #: By query, best first; places that are not taken have no score.
+        self.scores, self.ids = np.full((queries, k), -np.inf), np.full((queries, k), NO_ID)
         #: The score to reach; above zero, as documents without a query term are not found.
         self.threshold = np.full(queries, 10.0**-DECIMALS)
 
+    query = property(lambda self: np.nonzero(self.scores > -np.inf)[0])
+    score = property(lambda self: self.scores[self.scores > -np.inf])
+    id = property(lambda self: self.ids[self.scores > -np.inf])
+
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        query = np.concatenate((self.query, query))
-        score, ids = np.concatenate((self.score, score)), np.concatenate((self.id, ids))
+        touched, query = np.unique(query, return_inverse=True)
+        query = np.concatenate((np.repeat(np.arange(len(touched)), self.k), query))
+        score, ids = np.concatenate((self.scores[touched].ravel(), score)), np.concatenate((self.ids[touched].ravel(), ids))
         order = np.lexsort((ids, -score, query))
         query = query[order]
-        begins = np.searchsorted(query, np.arange(self.queries))
-        rank = np.arange(len(query)) - begins[query]
-        kept = rank < self.k
-        self.query, self.score, self.id = query[kept], score[order][kept], ids[order][kept]
-        full = rank == self.k - 1
-        self.threshold[query[full]] = score[order][full]
-
-
-class Shard:
-    def __init__(self, arrays: dict[str, np.ndarray], mean_length: float):
-        self.terms, self.first, self.ids = arrays["terms"], arrays["first"].astype(np.int64), arrays["ids"]
-        self.docs = arrays["docs"].astype(np.int64)
-        tfs, lengths = arrays["tfs"].astype(float), arrays["lengths"]
-        norm = K1 * (1 - B + B * lengths / mean_length)
-        self.impacts = tfs * (K1 + 1) / (tfs + norm[self.docs])
-        self.count = len(self.ids)
-        self.blocks = -(-self.count // BLOCK_DOCS)
-        self.common = np.flatnonzero(np.diff(self.first) > COMMON * self.count)
-        dense = np.zeros((len(self.common), self.blocks * BLOCK_DOCS))
-        for row, t in enumerate(self.common):
-            own = slice(self.first[t], self.first[t + 1])
-            dense[row, self.docs[own]] = self.impacts[own]
-        #: Common lists by block, and the highest impact in each block.
-        self.parts = dense.reshape(len(self.common), self.blocks, BLOCK_DOCS)
-        self.maxima = self.parts.max(axis=2)
-        self.row_of = np.full(len(self.terms), -1)
-        self.row_of[self.common] = np.arange(len(self.common))
-
-    def rare_scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by rare terms (query x document), and the weights of common terms."""
-        width = self.blocks * BLOCK_DOCS
-        scores, weights = np.zeros((len(queries), width)), np.zeros((len(queries), len(self.common)))
-        for q, (terms, weight) in enumerate(queries):
-            at = np.searchsorted(self.terms, terms)
-            known = at < len(self.terms)
-            known[known] = self.terms[at[known]] == terms[known]
-            at, weight = at[known], weight[known]
-            row = self.row_of[at]
-            weights[q, row[row >= 0]] = weight[row >= 0]
-            at, weight = at[row < 0], weight[row < 0]
-            sizes = self.first[at + 1] - self.first[at]
-            entries = _ranges(self.first[at], sizes)
-            if len(entries):
-                scores[q] = np.bincount(self.docs[entries], self.impacts[entries] * np.repeat(weight, sizes), width)
-        return scores, weights
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: Best) -> None:
-        if not self.count or not len(self.terms):
+        begins = np.searchsorted(query, np.arange(len(touched)))
+        kept = order[np.arange(len(query)) - begins[query] < self.k]
+        self.scores[touched], self.ids[touched] = score[kept].reshape(-1, self.k), ids[kept].reshape(-1, self.k)
+        self.threshold[touched] = np.maximum(self.threshold[touched], self.scores[touched, -1])
+
+
+class Asked:
+    """Queries of (terms, weights): their distinct terms, and of each entry the term's number."""
+
+    def __init__(self, queries: list[tuple[np.ndarray, np.ndarray]]):
+        self.first = np.concatenate(([0], np.cumsum([len(t) for t, _ in queries]))).astype(np.int64)
+        self.weights = np.concatenate([*(w for _, w in queries), np.empty(0)])
+        self.terms, number = np.unique(np.concatenate([*(t for t, _ in queries), np.empty(0, np.uint64)]), return_inverse=True)
+        self.number = number.astype(np.int32)
+        #: The place of each query among those given.
+        self.place, self.arranged = np.arange(len(queries)), False
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def arrange(self, shard: Shard) -> None:
+        """Queries next to others that are like the same part of ``shard`` and as long."""
+        sizes = np.diff(self.first)
+        query = np.repeat(np.arange(len(self)), sizes)
+        like = np.zeros((max(1, len(shard.spans)), len(self)))
+        for i, (terms, docs) in enumerate(shard.spans):
+            if terms.stop > terms.start:
+                at = find(shard.arrays["terms"][terms], self.terms)
+                share = np.diff(shard.arrays["first"][terms.start : terms.stop + 1]) / (docs.stop - docs.start)
+                like[i] = np.bincount(query, np.where(at >= 0, share[at], 0)[self.number], len(self))
+        order = np.lexsort((sizes, like.argmax(axis=0)))
+        entries = _ranges(self.first[:-1][order], sizes[order])
+        self.first = np.concatenate(([0], np.cumsum(sizes[order])))
+        self.weights, self.number, self.place = self.weights[entries], self.number[entries], self.place[order]
+        self.arranged = True
+
+
+class Nearly:
+    """Documents that could be among the best of some queries, by scores that are not exact."""
+
+    def __init__(self, best: Best, numbers: np.ndarray, off: float):
+        self.k, self.off = best.k, off
+        self.least = best.threshold[numbers] * (1 - off) - 10.0**-DECIMALS
+        #: The highest scores of each query, in no order; some may be those of ``best`` already.
+        self.scores = np.zeros((len(numbers), best.k))
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, begin: int) -> None:
+        reached = (scores >= self.least[queries][:, None]) & (scores > 0)
+        some = np.flatnonzero(reached.any(axis=1))
+        if not len(some):
             return
-        rare, weights = self.rare_scores(queries)
-        rare = rare.reshape(len(queries), self.blocks, BLOCK_DOCS)
-        bounds = rare.max(axis=2) + weights @ self.maxima
-        bounds += 1e-9 * (1 + bounds)
+        queries, scores, reached = queries[some], scores[some], reached[some]
+        both = np.concatenate((self.scores[queries], scores), axis=1)
+        self.scores[queries] = np.partition(both, -self.k, axis=1)[:, -self.k :]
+        # k documents surely score more than those that are further off.
+        sure = self.scores[queries].min(axis=1) * (1 - 2 * self.off) - 10.0**-DECIMALS
+        self.least[queries] = np.maximum(self.least[queries], sure)
+        q, d = np.nonzero(reached & (scores >= self.least[queries][:, None]))
+        self.found.append((queries[q], begin + d, scores[q, d]))
+
+    def left(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and documents that still could be."""
+        if not self.found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        query, doc, score = map(np.concatenate, zip(*self.found))
+        kept = score >= self.least[query]
+        return query[kept], doc[kept]
+
+
+class Part:
+    """Documents of a shard that share common terms, and the lists of all terms in them."""
+
+    def __init__(self, terms: np.ndarray, first: np.ndarray, docs: np.ndarray, tfs: np.ndarray, lengths: np.ndarray, ids: np.ndarray, mean_length: float):
+        self.terms, self.first, self.ids = terms, first, ids
+        self.blocks = -(-len(ids) // BLOCK_DOCS)
+        self.width = self.blocks * BLOCK_DOCS
+        self.norm = np.ones(self.width)
+        self.norm[: len(ids)] = K1 * (1 - B + B * lengths / mean_length)
+        self.df = np.diff(first)
+        #: Lists: documents and impacts.
+        self.docs, counts = docs, tfs.astype(float)
+        self.impacts = counts * (K1 + 1) / (counts + self.norm[self.docs])
+        #: Of common terms counts and impacts by document, and the highest impact in each block;
+        #: columns by falling document frequency.
+        common = np.flatnonzero(self.df > DENSE * len(ids))
+        common = common[np.argsort(-self.df[common], kind="stable")]
+        self.row_of = np.full(len(terms), -1)
+        self.row_of[common] = np.arange(len(common))
+        entries = _ranges(first[common], self.df[common])
+        cells = self.docs[entries], np.repeat(np.arange(len(common)), self.df[common])
+        self.counts = np.zeros((self.width, len(common)), dtype=tfs.dtype)
+        self.counts[cells] = tfs[entries]
+        self.products = np.zeros((self.width, len(common)), dtype=np.float32)
+        self.products[cells] = self.impacts[entries]
+        self.maxima = self.products.reshape(self.blocks, BLOCK_DOCS, len(common)).max(axis=1)
+        self.common_df = self.df[common]
+        # Sums of 32-bit products of so many terms are off by less.
+        self.off = (len(common) + 16) * 2.0**-23
+
+    def search(self, asked: Asked, best: Best) -> None:
+        at = find(self.terms, asked.terms)
+        for begin in range(0, len(asked), QUERY_CHUNK):
+            self._search(asked, at, begin, min(begin + QUERY_CHUNK, len(asked)), best)
+
+    def _search(self, asked: Asked, at: np.ndarray, begin: int, end: int, best: Best) -> None:
+        entries = slice(asked.first[begin], asked.first[end])
+        term = at[asked.number[entries]]
+        known = np.flatnonzero(term >= 0)
+        term, weight = term[known], asked.weights[entries][known]
+        query = np.repeat(np.arange(end - begin), np.diff(asked.first[begin : end + 1]))[known]
+        numbers = asked.place[begin:end]
+        # Common terms that many of the queries have cost less as a matrix, others as lists.
+        row = self.row_of[term]
+        listed = np.bincount(row[row >= 0], minlength=len(self.common_df)) * self.common_df * ENTRY_COST
+        columns = int(np.argmin(np.concatenate(([0], np.cumsum((end - begin) * self.width - listed)))))
+        common = (row >= 0) & (row < columns)
+        weights = np.zeros((end - begin, columns))
+        weights[query[common], row[common]] = weight[common]
+        left = np.flatnonzero(~common)
+        rare, bounds = self.rare_scores(term[left], weight[left], query[left], end - begin)
+        single = weights.astype(np.float32)
+        bounds += single @ self.maxima[:, :columns].T
+        bounds *= 1 + self.off
+        bounds += 10.0**-DECIMALS
         # First each query's most promising block, which sets a threshold; then the others.
         top = bounds.argmax(axis=1)
+        nearly = Nearly(best, numbers, self.off)
         for block in np.unique(top):
-            self._look(block, np.flatnonzero(top == block), rare, weights, bounds, best)
-        bounds[np.arange(len(queries)), top] = -1.0
+            self._look(block, np.flatnonzero(top == block), rare, single, bounds, nearly)
+        bounds[np.arange(end - begin), top] = -1.0
         for block in np.argsort(-bounds.max(axis=0)):
-            self._look(block, np.arange(len(queries)), rare, weights, bounds, best)
+            self._look(block, np.arange(end - begin), rare, single, bounds, nearly)
+        query, doc = nearly.left()
+        for some in range(0, len(query), 256):
+            self._add(query[some : some + 256], doc[some : some + 256], numbers, rare, weights, best)
+
+    def rare_scores(self, term: np.ndarray, weight: np.ndarray, query: np.ndarray, queries: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by the lists of terms (query x document), and the highest in each block;
+        entries come by query."""
+        scores, highest = np.empty((queries, self.width)), np.empty((queries, self.blocks))
+        sizes = self.df[term]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(query, np.arange(queries + 1))]
+        begin = 0
+        while begin < queries:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + ENTRIES, side="right")) - 1)
+            if ends[end] == ends[begin]:
+                scores[begin:end] = highest[begin:end] = 0
+            else:
+                own = slice(*np.searchsorted(query, (begin, end)))
+                of = sizes[own]
+                entries = _ranges(self.first[term[own]], of)
+                cell = np.repeat((query[own] - begin) * self.width, of)
+                cell += self.docs.take(entries)
+                score = np.repeat(weight[own], of)
+                score *= self.impacts.take(entries)
+                sums = np.bincount(cell, score, (end - begin) * self.width)
+                scores[begin:end] = sums.reshape(-1, self.width)
+                highest[begin:end] = sums.reshape(-1, self.blocks, BLOCK_DOCS).max(axis=2)
+            begin = end
+        return scores, highest
+
+    def _look(self, block: int, queries: np.ndarray, rare: np.ndarray, single: np.ndarray, bounds: np.ndarray, nearly: Nearly) -> None:
+        queries = queries[bounds[queries, block] >= nearly.least[queries]]
+        if len(queries):
+            own = slice(block * BLOCK_DOCS, (block + 1) * BLOCK_DOCS)
+            nearly.add(queries, rare[queries, own] + single[queries] @ self.products[own, : single.shape[1]].T, own.start)
+
+    def _add(self, query: np.ndarray, doc: np.ndarray, numbers: np.ndarray, rare: np.ndarray, weights: np.ndarray, best: Best) -> None:
+        """Exact scores of single documents."""
+        counts = self.counts[doc, : weights.shape[1]].astype(float)
+        impacts = counts * (K1 + 1) / (counts + self.norm[doc][:, None])
+        score = np.round(rare[query, doc] + np.einsum("ij,ij->i", weights[query], impacts), DECIMALS)
+        reached = score >= best.threshold[numbers[query]]
+        if reached.any():
+            best.add(numbers[query[reached]], score[reached], self.ids[doc[reached]])
 
-    def _look(self, block: int, queries: np.ndarray, rare: np.ndarray, weights: np.ndarray, bounds: np.ndarray, best: Best) -> None:
-        alive = queries[bounds[queries, block] >= best.threshold[queries]]
-        if len(alive):
-            scores = np.round(rare[alive, block] + weights[alive] @ self.parts[:, block], DECIMALS)
-            q, d = np.nonzero(scores >= best.threshold[alive][:, None])
-            if len(q):
-                best.add(alive[q], scores[q, d], self.ids[block * BLOCK_DOCS + d])
+
+class Shard:
+    def __init__(self, arrays: dict[str, np.ndarray], mean_length: float):
+        self.arrays, self.mean_length = arrays, mean_length
+        terms, docs = (arrays[k].tolist() for k in ("part_terms", "part_docs"))
+        #: Where the terms and the documents of each part are.
+        self.spans = [(slice(*t), slice(*d)) for t, d in zip(zip(terms, terms[1:]), zip(docs, docs[1:]))]
+        self.blocks = sum(-(-(d.stop - d.start) // BLOCK_DOCS) for _, d in self.spans)
+
+    def part(self, terms: slice, docs: slice) -> Part:
+        first = self.arrays["first"][terms.start : terms.stop + 1]
+        entries = slice(first[0], first[-1])
+        lists, lengths = (self.arrays[k][entries] for k in ("docs", "tfs")), self.arrays["lengths"][docs]
+        return Part(self.arrays["terms"][terms], first - first[0], *lists, lengths, self.arrays["ids"][docs], self.mean_length)
+
+    def search(self, queries: Asked | list[tuple[np.ndarray, np.ndarray]], best: Best) -> None:
+        asked = queries if isinstance(queries, Asked) else Asked(queries)
+        if not asked.arranged:
+            asked.arrange(self)
+        for terms, docs in self.spans:
+            # One part at a time is held as a matrix.
+            if terms.stop > terms.start:
+                self.part(terms, docs).search(asked, best)
 
 
 # --- files ---------------------------------------------------------------------------
@@ -231,10 +458,11 @@ def write_index(docs: DataFrame, folder: str, id_col: str, text_col: str) -> Dat
             arrays = build_shard(ids, texts)
             name = f"shard-{TaskContext.get().partitionId():06d}-{made:04d}"
             _save(folder, name, arrays)
-            df = np.diff(arrays["first"])
+            terms, of = np.unique(arrays["terms"], return_inverse=True)
+            df = np.bincount(of, np.diff(arrays["first"])).astype(np.int64)
             for shard, docs, words, term, count in (
                 ([name], [len(ids)], [int(arrays["lengths"].sum())], [None], [None]),
-                ([None] * len(df), [None] * len(df), [None] * len(df), arrays["terms"].view(np.int64), df),
+                ([None] * len(df), [None] * len(df), [None] * len(df), terms.view(np.int64), df),
             ):
                 columns = [pa.array(shard, pa.string()), *(pa.array(c, pa.int64()) for c in (docs, words, term, count))]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "docs", "words", "term", "df"])
@@ -251,7 +479,7 @@ def write_index(docs: DataFrame, folder: str, id_col: str, text_col: str) -> Dat
             yield from finished()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(run, SHARD_ROWS), "index")
+    return written(rows.mapInArrow(releasing(run), SHARD_ROWS), "index")
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -267,7 +495,7 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(terms), pa.array(numbers)]
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "key", "term", "count"])
 
-    return rows.dropDuplicates(["query_id", "key"]).mapInArrow(run, "query_id long, key string, term long, count long")
+    return rows.dropDuplicates(["query_id", "key"]).mapInArrow(releasing(run), "query_id long, key string, term long, count long")
 
 
 QUERY_FILES = "block int, queries int"
@@ -279,26 +507,32 @@ def write_queries(weighted: DataFrame, blocks: int, folder: str) -> DataFrame:
     dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block", "query_id", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        ids: list[int | None] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        current = None
 
         def finished() -> pa.RecordBatch:
-            terms, weights = ([np.array(r[k]) for r in held] for k in ("terms", "weights"))
+            terms, weights = zip(*held)
             first = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
-            unnamed = np.array([r["query_id"] is None for r in held])
-            ids = np.array([r["query_id"] or 0 for r in held], dtype=np.int64)
-            _save(folder, f"queries-{held[0]['block']:06d}", {"ids": ids, "unnamed": unnamed, "first": first, "terms": np.concatenate(terms).view(np.uint64), "weights": np.concatenate(weights)})
-            return pa.RecordBatch.from_pydict({"block": pa.array([held[0]["block"]], pa.int32()), "queries": pa.array([len(held)], pa.int32())})
+            unnamed = np.array([i is None for i in ids])
+            named = np.array([i or 0 for i in ids], dtype=np.int64)
+            _save(folder, f"queries-{current:06d}", {"ids": named, "unnamed": unnamed, "first": first, "terms": np.concatenate(terms).view(np.uint64), "weights": np.concatenate(weights)})
+            return pa.RecordBatch.from_pydict({"block": pa.array([current], pa.int32()), "queries": pa.array([len(ids)], pa.int32())})
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[-1]["block"] != row["block"]:
+            own, blocks = batch.column("query_id").to_pylist(), batch.column("block").to_pylist()
+            pairs = zip(*(([r.values.to_numpy() for r in batch.column(k)]) for k in ("terms", "weights")))
+            for query, block, pair in zip(own, blocks, pairs):
+                if held and current != block:
                     yield finished()
-                    held = []
-                held.append(row)
+                    ids, held = [], []
+                current = block
+                ids.append(query)
+                held.append(pair)
         if held:
             yield finished()
 
-    return written(dealt.mapInArrow(run, QUERY_FILES), "query-files")
+    return written(dealt.mapInArrow(releasing(run), QUERY_FILES), "query-files")
 
 
 FOUND = "query_no long, query_id long, doc_id long, score double"
@@ -324,28 +558,33 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
     pair = F.struct("term", (F.col("count") * idf).alias("weight"))
     weighted = asked.join(df, "term").groupBy("query_id", "key").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
     weighted = weighted.select("query_id", "key", F.col("pairs.term").alias("terms"), F.col("pairs.weight").alias("weights"))
-    blocks = -(-asked.select("query_id", "key").distinct().count() // QUERY_BLOCK)
+    many = asked.select("query_id", "key").distinct().count()
+    blocks = -(-many // QUERY_BLOCK)
     if not blocks:
         return empty
+    # Two tasks for each core, if that leaves them enough shards and queries.
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    groups = max(-(-len(names) // SHARD_GROUP), min(-(-len(names) // SHARDS_TASK), -(-wanted // blocks)))
+    blocks = max(blocks, min(-(-many // QUERY_TASK), -(-wanted // groups)))
     filled = [r.block for r in write_queries(weighted, blocks, folder).select("block").orderBy("block").collect()]
-    groups = -(-len(names) // SHARD_GROUP)
     tasks = spark.range(0, len(filled) * groups, 1, max(1, len(filled) * groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number in (n for batch in batches for n in batch.column(0).to_pylist()):
             block, group = filled[number // groups], number % groups
             asked = _load(folder, f"queries-{block:06d}")
-            first = asked["first"]
-            own = [(asked["terms"][a:b], asked["weights"][a:b]) for a, b in zip(first, first[1:])]
+            first, ids, unnamed = asked["first"], asked["ids"], asked["unnamed"]
+            own = Asked([(asked["terms"][a:b], asked["weights"][a:b]) for a, b in zip(first, first[1:])])
+            del asked
             best = Best(len(own), k)
-            for name in names[group * SHARD_GROUP : (group + 1) * SHARD_GROUP]:
-                Shard(_load(folder, name), mean_length).search(own, best)
+            for at in range(group, len(names), groups):
+                Shard(_load(folder, names[at]), mean_length).search(own, best)
             found = pa.array(best.id, mask=best.id == NO_ID)
             numbers = best.query + (block << 32)
-            query_ids = pa.array(asked["ids"][best.query], mask=asked["unnamed"][best.query])
+            query_ids = pa.array(ids[best.query], mask=unnamed[best.query])
             columns = [pa.array(numbers), query_ids, found, pa.array(best.score)]
             yield pa.RecordBatch.from_arrays(columns, names=["query_no", "query_id", "doc_id", "score"])
 
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    merged = tasks.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(order))
+    merged = tasks.mapInArrow(releasing(run), FOUND).withColumn("rank", F.row_number().over(order))
     return merged.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -100,3 +100,52 @@ def test_empty_tables(spark, documents):
     assert ts.search(docs.limit(0), docs).collect() == []
     assert ts.search(docs, docs.limit(0)).collect() == []
     assert ts.search(docs, documents([(50, None), (100, "zzz")])).collect() == []
+
+
+def two_languages(rng, n=300):
+    """Texts of two vocabularies in turns, numerals that both have, and repeats."""
+    texts = [prose(rng, rng.randrange(20, 90), 300).replace("w", "wv"[i % 3 == 0]) + f" {rng.randrange(40)}" for i in range(n)]
+    return [(i, t) for i, t in enumerate(texts)] + [(n + i, texts[9 * i]) for i in range(20)] + [(None, texts[3]), (900, None)]
+
+
+def vectors_of(rows, asked):
+    df = Counter(t for _, text in rows for t in ts.terms_of(text))
+    pairs = [sorted((ts.term_hash(t), n * math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5))) for t, n in ts.terms_of(text).items()) for _, text in asked]
+    return [(np.array([p[0] for p in own], np.uint64), np.array([p[1] for p in own])) for own in pairs]
+
+
+@pytest.mark.parametrize(("dense", "cost", "chunk", "entries"), [(0.04, 800, 256, 1 << 15), (0.0, 10**9, 7, 64), (2.0, 0, 3, 1), (0.02, 300, 50, 500)])
+def test_parts_of_alike_documents_match_scoring_everything(monkeypatch, dense, cost, chunk, entries):
+    for name, value in {"PART_DOCS": 20, "BLOCK_DOCS": 16, "COMMON": 0.05, "DENSE": dense, "ENTRY_COST": cost, "QUERY_CHUNK": chunk, "ENTRIES": entries}.items():
+        monkeypatch.setattr(ts, name, value)
+    rows = two_languages(random.Random(6))
+    arrays = ts.build_shard(*map(list, zip(*rows)))
+    language = {i: (t or "wv")[0] for i, t in rows}
+    spans = list(zip(arrays["part_docs"], arrays["part_docs"][1:]))
+    assert len(spans) > 1 and all(len({language[i] for i in arrays["ids"][a:b].tolist() if i not in (900, ts.NO_ID)}) == 1 for a, b in spans)
+    asked = rows[:300:7]
+    best = ts.Best(len(asked), 6)
+    ts.Shard(arrays, sum(ts.terms_of(t).total() for _, t in rows) / len(rows)).search(vectors_of(rows, asked), best)
+    got, seen = [], Counter()
+    for q, score, i in zip(best.query, best.score, best.id):
+        seen[q] += 1
+        got.append((asked[q][0], seen[q], None if i == ts.NO_ID else i, score))
+    assert got == bm25(rows, asked, 6)
+
+
+def test_common_terms_of_many_queries_are_not_added_up_by_lists(monkeypatch):
+    monkeypatch.setattr(ts, "PART_DOCS", 20)
+    rows = two_languages(random.Random(7))
+    vectors = vectors_of(rows, rows[:300])
+    walked, lists = [], ts.Part.rare_scores
+    monkeypatch.setattr(ts.Part, "rare_scores", lambda self, term, *rest: (walked.append(int(self.df[term].sum())), lists(self, term, *rest))[1])
+    shard = ts.Shard(ts.build_shard(*map(list, zip(*rows))), 50.0)
+    shard.search(vectors, ts.Best(300, 3))
+    counts = [set(ts.terms_of(t)) for _, t in rows]
+    matches = sum(len(a & b) for a in counts[:300] for b in counts)
+    assert 0 < sum(walked) < matches / 4
+
+
+def test_terms_are_the_same_with_and_without_other_characters():
+    for text in ("Ab_c d-1 x²", "K_ß 12a_b", "tab\tnew\nline\x1c\x00z_9", "", "İ_é", "\u212a_x"):
+        assert ts.terms_of(text) == Counter(ts.TERM.findall(text.lower()))
