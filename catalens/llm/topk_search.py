@@ -51,11 +51,13 @@ SHARD_DOCS = 1 << 14
 SHARD_WORDS = 20_000_000
 BLOCK_DOCS = 128
 #: A part of a shard has at least so many documents, and a shard at most so many parts.
-PART_DOCS, PARTS = 512, 8
+PART_DOCS, PARTS = 1024, 8
 COMMON = 0.1
 #: Lists over this share of a part's documents are also held as columns of a matrix; adding an
 #: entry of a list costs as much as so many products of matrix elements.
-DENSE, ENTRY_COST = 0.04, 800
+DENSE, ENTRY_COST = 0.05, 800
+#: Bits for the length of a list and for where it begins.
+DF_BITS, FIRST_BITS = 15, 27
 #: Queries and shards of a task at most, and where there are few of them.
 QUERY_BLOCK, QUERY_TASK = 8192, 1024
 SHARD_GROUP, SHARDS_TASK = 32, 8
@@ -292,53 +294,57 @@ class Part:
     """Documents of a shard that share common terms, and the lists of all terms in them."""
 
     def __init__(self, terms: np.ndarray, first: np.ndarray, docs: np.ndarray, tfs: np.ndarray, lengths: np.ndarray, ids: np.ndarray, mean_length: float):
-        self.terms, self.first, self.ids = terms, first, ids
+        self.terms, self.ids = terms, ids
         self.blocks = -(-len(ids) // BLOCK_DOCS)
         self.width = self.blocks * BLOCK_DOCS
         self.norm = np.ones(self.width)
         self.norm[: len(ids)] = K1 * (1 - B + B * lengths / mean_length)
-        self.df = np.diff(first)
+        df = np.diff(first)
         #: Lists: documents and impacts.
         self.docs, counts = docs, tfs.astype(float)
         self.impacts = counts * (K1 + 1) / (counts + self.norm[self.docs])
         #: Of common terms counts and impacts by document, and the highest impact in each block;
         #: columns by falling document frequency.
-        common = np.flatnonzero(self.df > DENSE * len(ids))
-        common = common[np.argsort(-self.df[common], kind="stable")]
-        self.row_of = np.full(len(terms), -1)
-        self.row_of[common] = np.arange(len(common))
-        entries = _ranges(first[common], self.df[common])
-        cells = self.docs[entries], np.repeat(np.arange(len(common)), self.df[common])
+        common = np.flatnonzero(df > DENSE * len(ids))
+        common = common[np.argsort(-df[common], kind="stable")]
+        self.common_df = df[common]
+        entries = _ranges(first[common], self.common_df)
+        cells = self.docs[entries], np.repeat(np.arange(len(common)), self.common_df)
         self.counts = np.zeros((self.width, len(common)), dtype=tfs.dtype)
         self.counts[cells] = tfs[entries]
         self.products = np.zeros((self.width, len(common)), dtype=np.float32)
         self.products[cells] = self.impacts[entries]
         self.maxima = self.products.reshape(self.blocks, BLOCK_DOCS, len(common)).max(axis=1)
-        self.common_df = self.df[common]
+        #: Of each term the column (from 1 on, or 0), where its list begins, and how long it is.
+        self.places = first[:-1] << DF_BITS | df
+        self.places[common] |= np.arange(1, len(common) + 1) << DF_BITS + FIRST_BITS
         # Sums of 32-bit products of so many terms are off by less.
         self.off = (len(common) + 16) * 2.0**-23
 
     def search(self, asked: Asked, best: Best) -> None:
         at = find(self.terms, asked.terms)
+        at = np.where(at >= 0, self.places[at], 0)
         for begin in range(0, len(asked), QUERY_CHUNK):
             self._search(asked, at, begin, min(begin + QUERY_CHUNK, len(asked)), best)
 
     def _search(self, asked: Asked, at: np.ndarray, begin: int, end: int, best: Best) -> None:
         entries = slice(asked.first[begin], asked.first[end])
-        term = at[asked.number[entries]]
-        known = np.flatnonzero(term >= 0)
-        term, weight = term[known], asked.weights[entries][known]
+        place = at[asked.number[entries]]
+        known = np.flatnonzero(place)
+        place, weight = place[known], asked.weights[entries][known]
         query = np.repeat(np.arange(end - begin), np.diff(asked.first[begin : end + 1]))[known]
         numbers = asked.place[begin:end]
         # Common terms that many of the queries have cost less as a matrix, others as lists.
-        row = self.row_of[term]
-        listed = np.bincount(row[row >= 0], minlength=len(self.common_df)) * self.common_df * ENTRY_COST
+        column = (place >> DF_BITS + FIRST_BITS) - 1
+        listed = np.bincount(column + 1, minlength=len(self.common_df) + 1)[1:] * self.common_df * ENTRY_COST
         columns = int(np.argmin(np.concatenate(([0], np.cumsum((end - begin) * self.width - listed)))))
-        common = (row >= 0) & (row < columns)
+        common = np.flatnonzero((column >= 0) & (column < columns))
         weights = np.zeros((end - begin, columns))
-        weights[query[common], row[common]] = weight[common]
-        left = np.flatnonzero(~common)
-        rare, bounds = self.rare_scores(term[left], weight[left], query[left], end - begin)
+        weights[query[common], column[common]] = weight[common]
+        left = np.flatnonzero((column < 0) | (column >= columns))
+        place = place[left]
+        begins, sizes = place >> DF_BITS & (1 << FIRST_BITS) - 1, place & (1 << DF_BITS) - 1
+        rare, bounds = self.rare_scores(begins, sizes, weight[left], query[left], end - begin)
         single = weights.astype(np.float32)
         bounds += single @ self.maxima[:, :columns].T
         bounds *= 1 + self.off
@@ -355,11 +361,9 @@ class Part:
         for some in range(0, len(query), 256):
             self._add(query[some : some + 256], doc[some : some + 256], numbers, rare, weights, best)
 
-    def rare_scores(self, term: np.ndarray, weight: np.ndarray, query: np.ndarray, queries: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by the lists of terms (query x document), and the highest in each block;
-        entries come by query."""
+    def rare_scores(self, begins: np.ndarray, sizes: np.ndarray, weight: np.ndarray, query: np.ndarray, queries: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by lists (query x document), and the highest in each block; lists come by query."""
         scores, highest = np.empty((queries, self.width)), np.empty((queries, self.blocks))
-        sizes = self.df[term]
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(query, np.arange(queries + 1))]
         begin = 0
         while begin < queries:
@@ -369,7 +373,7 @@ class Part:
             else:
                 own = slice(*np.searchsorted(query, (begin, end)))
                 of = sizes[own]
-                entries = _ranges(self.first[term[own]], of)
+                entries = _ranges(begins[own], of)
                 cell = np.repeat((query[own] - begin) * self.width, of)
                 cell += self.docs.take(entries)
                 score = np.repeat(weight[own], of)
