@@ -14,7 +14,7 @@ have the highest impact of each column.  As in WAND, a block is looked into only
 for it (the block's best score by lists plus the sum of its maxima) reaches the query's current
 k-th best score; blocks go from the highest bound on, and the threshold rises on the way.
 Scores of 32 bits only decide, within what they may be off, which documents are scored in 64
-bits; those scores are compared.  Documents are ordered by their commonest term and length
+bits; those scores are compared, and are the same however they are split.  Documents are ordered by their commonest term and length
 within a part, so that blocks are alike inside.  Ties go to the smaller id.
 
 Files are written under a temporary name and renamed; a task that runs again leaves the
@@ -234,6 +234,9 @@ class Asked:
         self.weights = np.concatenate([*(w for _, w in queries), np.empty(0)])
         self.terms, number = np.unique(np.concatenate([*(t for t, _ in queries), np.empty(0, np.uint64)]), return_inverse=True)
         self.number = number.astype(np.int32)
+        # A power of two over the highest score that each could have.
+        most = np.bincount(np.repeat(np.arange(len(queries)), np.diff(self.first)), self.weights, len(queries)) * (K1 + 1)
+        self.scale = np.ldexp(1.0, np.frexp(most)[1])
         #: The place of each query among those given.
         self.place, self.arranged = np.arange(len(queries)), False
 
@@ -253,10 +256,19 @@ class Asked:
         order = np.lexsort((sizes, like.argmax(axis=0)))
         entries = _ranges(self.first[:-1][order], sizes[order])
         self.first = np.concatenate(([0], np.cumsum(sizes[order])))
-        self.weights, self.number, self.place = self.weights[entries], self.number[entries], self.place[order]
+        self.weights, self.number = self.weights[entries], self.number[entries]
+        self.scale, self.place = self.scale[order], self.place[order]
         self.arranged = True
 
 
+def even(products: np.ndarray) -> np.ndarray:
+    """Numbers under 1 in place to 51 binary digits: their sums are exact if they are under 1,
+    so the same in any order, however a score is split."""
+    products += 3
+    products -= 3
+    return products
+
+
 class Nearly:
     """Documents that could be among the best of some queries, by scores that are not exact."""
 
@@ -344,7 +356,8 @@ class Part:
         left = np.flatnonzero((column < 0) | (column >= columns))
         place = place[left]
         begins, sizes = place >> DF_BITS & (1 << FIRST_BITS) - 1, place & (1 << DF_BITS) - 1
-        rare, bounds = self.rare_scores(begins, sizes, weight[left], query[left], end - begin)
+        scale = asked.scale[begin:end]
+        rare, bounds = self.rare_scores(begins, sizes, weight[left], query[left], scale)
         single = weights.astype(np.float32)
         bounds += single @ self.maxima[:, :columns].T
         bounds *= 1 + self.off
@@ -359,10 +372,11 @@ class Part:
             self._look(block, np.arange(end - begin), rare, single, bounds, nearly)
         query, doc = nearly.left()
         for some in range(0, len(query), 256):
-            self._add(query[some : some + 256], doc[some : some + 256], numbers, rare, weights, best)
+            self._add(query[some : some + 256], doc[some : some + 256], numbers, rare, weights, scale, best)
 
-    def rare_scores(self, begins: np.ndarray, sizes: np.ndarray, weight: np.ndarray, query: np.ndarray, queries: int) -> tuple[np.ndarray, np.ndarray]:
+    def rare_scores(self, begins: np.ndarray, sizes: np.ndarray, weight: np.ndarray, query: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores by lists (query x document), and the highest in each block; lists come by query."""
+        queries, weight = len(scale), weight / scale[query]
         scores, highest = np.empty((queries, self.width)), np.empty((queries, self.blocks))
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(query, np.arange(queries + 1))]
         begin = 0
@@ -378,9 +392,9 @@ class Part:
                 cell += self.docs.take(entries)
                 score = np.repeat(weight[own], of)
                 score *= self.impacts.take(entries)
-                sums = np.bincount(cell, score, (end - begin) * self.width)
-                scores[begin:end] = sums.reshape(-1, self.width)
-                highest[begin:end] = sums.reshape(-1, self.blocks, BLOCK_DOCS).max(axis=2)
+                sums = np.bincount(cell, even(score), (end - begin) * self.width)
+                np.multiply(sums.reshape(-1, self.width), scale[begin:end, None], out=scores[begin:end])
+                highest[begin:end] = sums.reshape(-1, self.blocks, BLOCK_DOCS).max(axis=2) * scale[begin:end, None]
             begin = end
         return scores, highest
 
@@ -390,11 +404,12 @@ class Part:
             own = slice(block * BLOCK_DOCS, (block + 1) * BLOCK_DOCS)
             nearly.add(queries, rare[queries, own] + single[queries] @ self.products[own, : single.shape[1]].T, own.start)
 
-    def _add(self, query: np.ndarray, doc: np.ndarray, numbers: np.ndarray, rare: np.ndarray, weights: np.ndarray, best: Best) -> None:
+    def _add(self, query: np.ndarray, doc: np.ndarray, numbers: np.ndarray, rare: np.ndarray, weights: np.ndarray, scale: np.ndarray, best: Best) -> None:
         """Exact scores of single documents."""
         counts = self.counts[doc, : weights.shape[1]].astype(float)
         impacts = counts * (K1 + 1) / (counts + self.norm[doc][:, None])
-        score = np.round(rare[query, doc] + np.einsum("ij,ij->i", weights[query], impacts), DECIMALS)
+        impacts *= weights[query] / scale[query][:, None]
+        score = np.round(rare[query, doc] + even(impacts).sum(axis=1) * scale[query], DECIMALS)
         reached = score >= best.threshold[numbers[query]]
         if reached.any():
             best.add(numbers[query[reached]], score[reached], self.ids[doc[reached]])

@@ -133,6 +133,21 @@ def test_parts_of_alike_documents_match_scoring_everything(monkeypatch, dense, c
     assert got == bm25(rows, asked, 6)
 
 
+def test_scores_do_not_depend_on_the_split(monkeypatch):
+    for name, value in {"PART_DOCS": 20, "BLOCK_DOCS": 16, "COMMON": 0.05, "DECIMALS": 15}.items():
+        monkeypatch.setattr(ts, name, value)
+    rows = two_languages(random.Random(8))
+    vectors, found = vectors_of(rows, rows[:300:5]), set()
+    for dense, cost, size in [(0.0, 10**9, 1000), (2.0, 0, 1000), (0.1, 500, 90)]:
+        monkeypatch.setattr(ts, "DENSE", dense)
+        monkeypatch.setattr(ts, "ENTRY_COST", cost)
+        best = ts.Best(len(vectors), 8)
+        for at in range(0, len(rows), size):
+            ts.Shard(ts.build_shard(*map(list, zip(*rows[at : at + size]))), 50.0).search(vectors, best)
+        found.add((best.query.tobytes(), best.score.tobytes(), best.id.tobytes()))
+    assert len(found) == 1
+
+
 def test_common_terms_of_many_queries_are_not_added_up_by_lists(monkeypatch):
     monkeypatch.setattr(ts, "PART_DOCS", 20)
     rows = two_languages(random.Random(7))
